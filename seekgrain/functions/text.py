@@ -177,14 +177,17 @@ def has_phrase(token_array: Column, phrase: Column | str) -> Column:
 
 def matching_labels(text: Column, label_rules: Iterable[tuple[str, Sequence[str]]]) -> Column:
     """Labels with a needle anywhere in the folded, space-padded text (substring test)."""
-    padded = F.concat(F.lit(" "), fold(text), F.lit(" "))
-    hits = []
-    for label, needles in label_rules:
-        test = F.lit(False)
-        for needle in needles:
-            test = test | F.contains(padded, F.lit(needle))
-        hits.append(F.when(test, F.lit(label)))
-    return F.array_compact(F.array(*hits))
+
+    def labels(padded: Column) -> Column:
+        hits = []
+        for label, needles in label_rules:
+            test = F.lit(False)
+            for needle in needles:
+                test = test | F.contains(padded, F.lit(needle))
+            hits.append(F.when(test, F.lit(label)))
+        return F.array_compact(F.array(*hits))
+
+    return bind(F.concat(F.lit(" "), fold(text), F.lit(" ")), labels)
 
 
 def json_strings(value: Column | str) -> Column:

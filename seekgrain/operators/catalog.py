@@ -41,36 +41,53 @@ class FilterError(ValueError):
 # ---- projections -------------------------------------------------------------------------------
 def country(raw: Column) -> Column:
     """Struct(label, code): alias lookup on the facet key, else the cleaned raw value."""
-    value = tx.clean(raw)
-    key = tx.facet_key(value)
-    label, code = value, F.lit(None).cast("string")
-    for alias, (name, iso) in vocab.COUNTRIES.items():
-        label = F.when(key == alias, F.lit(name)).otherwise(label)
-        code = F.when(key == alias, F.lit(iso)).otherwise(code)
-    return F.struct(label.alias("label"), code.alias("code"))
+    names = F.create_map(*[F.lit(x) for alias, (name, _) in vocab.COUNTRIES.items() for x in (alias, name)])
+    codes = F.create_map(*[F.lit(x) for alias, (_, iso) in vocab.COUNTRIES.items() for x in (alias, iso)])
+
+    def resolve(value: Column) -> Column:
+        return tx.bind(
+            tx.facet_key(value),
+            lambda key: F.struct(
+                F.coalesce(F.try_element_at(names, key), value).alias("label"),
+                F.try_element_at(codes, key).alias("code"),
+            ),
+        )
+
+    return tx.bind(tx.clean(raw), resolve)
 
 
 def period(raw: Column, current_year: int) -> Column:
     """Struct(start_year, end_year, source_end_year, period, status) from a free-text period."""
-    value = tx.clean(raw)
-    years = F.array_sort(
-        F.transform(F.regexp_extract_all(value, F.lit(vocab.YEAR_PATTERN), F.lit(0)), lambda y: y.cast("int"))
-    )
-    ongoing = F.regexp_like(value, F.lit(vocab.ONGOING_PATTERN))
-    start, last = F.try_element_at(years, F.lit(1)), F.try_element_at(years, F.lit(-1))
-    end = F.when(ongoing & start.isNotNull(), F.lit(current_year)).otherwise(last)
-    shown = (
-        F.when(start.isNotNull() & ongoing, F.concat(start.cast("string"), F.lit("–present")))
-        .when(start.isNotNull() & (start != end), F.concat(start.cast("string"), F.lit("–"), end.cast("string")))
-        .when(start.isNotNull(), start.cast("string"))
-        .otherwise("")
-    )
-    return F.struct(
-        start.alias("start_year"),
-        end.alias("end_year"),
-        last.alias("source_end_year"),
-        shown.alias("period"),
-        F.when(ongoing, "ongoing").when(start.isNotNull(), "completed").alias("status"),
+    def years_of(value: Column) -> Column:
+        found = F.regexp_extract_all(value, F.lit(vocab.YEAR_PATTERN), F.lit(0))
+        return F.struct(
+            F.array_sort(F.transform(found, lambda y: y.cast("int"))).alias("years"),
+            F.regexp_like(value, F.lit(vocab.ONGOING_PATTERN)).alias("ongoing"),
+        )
+
+    def ends(found: Column) -> Column:
+        start, last = F.try_element_at(found["years"], F.lit(1)), F.try_element_at(found["years"], F.lit(-1))
+        end = F.when(found["ongoing"] & start.isNotNull(), F.lit(current_year)).otherwise(last)
+        return F.struct(start.alias("s"), end.alias("e"), last.alias("l"), found["ongoing"].alias("o"))
+
+    def shown(p: Column) -> Column:
+        first = p["s"].cast("string")
+        return (
+            F.when(p["s"].isNotNull() & p["o"], F.concat(first, F.lit("–present")))
+            .when(p["s"].isNotNull() & (p["s"] != p["e"]), F.concat(first, F.lit("–"), p["e"].cast("string")))
+            .when(p["s"].isNotNull(), first)
+            .otherwise("")
+        )
+
+    return tx.bind(
+        tx.bind(tx.bind(tx.clean(raw), years_of), ends),
+        lambda p: F.struct(
+            p["s"].alias("start_year"),
+            p["e"].alias("end_year"),
+            p["l"].alias("source_end_year"),
+            shown(p).alias("period"),
+            F.when(p["o"], "ongoing").when(p["s"].isNotNull(), "completed").alias("status"),
+        ),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seekgrain import presets
 from seekgrain.functions import text as tx
 from seekgrain.operators.lexical import idf, term_score
-from seekgrain.session import broadcast_if_small
+from seekgrain.session import hint_broadcast
 
 EDGE = "[ .;:|\\-–—…]"
 LEADING_EDGE = "[ .;:|\\-–—]"
@@ -18,35 +18,48 @@ LEADING_EDGE = "[ .;:|\\-–—]"
 
 def remainder(full: Column, prefix: Column) -> Column:
     """The part of ``full`` after a prefix it starts with in search form, else ``full``."""
+
+    def rest(parts: Column) -> Column:
+        cut = F.substring(full, F.length(parts["prefix"]) + 1, F.length(full))
+        return (
+            F.when((full == "") | (prefix == ""), "")
+            .when(parts["whole"] == parts["start"], "")
+            .when(F.startswith(parts["whole"], parts["start"]), tx.lstrip(cut, LEADING_EDGE))
+            .otherwise(full)
+        )
+
     trimmed = tx.rstrip(prefix, EDGE)
-    starts = F.startswith(tx.fold(full), tx.fold(trimmed))
-    rest = tx.lstrip(F.substring(full, F.length(trimmed) + 1, F.length(full)), LEADING_EDGE)
-    return (
-        F.when((full == "") | (prefix == ""), "")
-        .when(tx.fold(full) == tx.fold(trimmed), "")
-        .when(starts, rest)
-        .otherwise(full)
+    return tx.bind(
+        F.struct(trimmed.alias("prefix"), tx.fold(trimmed).alias("start"), tx.fold(full).alias("whole")), rest
     )
 
 
 def own_fields(references: DataFrame) -> DataFrame:
     """(reference_id, field, text) of the catalog's own fields; empty fields stay as rows so that
     every field's corpus counts all references. The description field is always empty."""
-    title = tx.clean("project_title")
-    mission = tx.clean("mission_name")
-    folded_title = tx.fold(tx.rstrip(title, "[ .;:|\\-–—…]"))
+    cleaned = references.select(
+        "reference_id",
+        "technologies",
+        *[
+            tx.clean(c).alias(c)
+            for c in ("project_title", "mission_name", "service_nature", "offering", "sector", "client")
+        ],
+    )
+    mission = F.col("mission_name")
     fields = {
-        "title": title,
-        "mission_name": F.when(
-            (folded_title != "") & F.startswith(tx.fold(mission), folded_title), ""
-        ).otherwise(mission),
-        "services_delivered": remainder(tx.clean("service_nature"), title),
+        "title": F.col("project_title"),
+        "mission_name": tx.bind(
+            tx.fold(tx.rstrip("project_title", EDGE)),
+            lambda t: F.when((t != "") & F.startswith(tx.fold(mission), t), "").otherwise(mission),
+        ),
+        "services_delivered": remainder(F.col("service_nature"), F.col("project_title")),
         "description": F.lit(""),
         "technologies": F.array_join("technologies", " "),
-        "offerings": tx.clean("offering"),
-        "sector": tx.clean("sector"),
-        "client": tx.clean("client"),
+        "offerings": F.col("offering"),
+        "sector": F.col("sector"),
+        "client": F.col("client"),
     }
+    references = cleaned
     return long_fields(references, "reference_id", fields)
 
 
@@ -89,6 +102,7 @@ def score_fields(
     weights: Mapping[str, float] = presets.FIELD_WEIGHTS,
     k1: float = 1.2,
     b: float = 0.75,
+    few_query_terms: bool = False,
 ) -> DataFrame:
     """(query, reference, field, raw, normalized, weighted).
 
@@ -100,12 +114,12 @@ def score_fields(
     lengths = tokens.groupBy(key, "field").agg(F.sum("tf").alias("length"))
     averages = lengths.groupBy("field").agg((F.sum("length") / n).alias("average"))
     frequencies = tokens.groupBy("field", "term").agg(F.count("*").alias("df"))
-    wanted = broadcast_if_small(query_terms.select(query, "term").distinct())
+    wanted = hint_broadcast(query_terms.select(query, "term").distinct(), few_query_terms)
     hits = (
-        tokens.join(broadcast_if_small(query_terms.select("term").distinct()), "term", "left_semi")
+        tokens.join(hint_broadcast(query_terms.select("term").distinct(), few_query_terms), "term", "left_semi")
         .join(references.select(key).distinct(), key, "left_semi")
         .join(lengths, [key, "field"])
-        .join(F.broadcast(averages), "field")
+        .join(averages, "field")
         .join(frequencies, ["field", "term"])
         .withColumn(
             "part", term_score(idf(F.col("df"), n), F.col("tf"), F.col("length"), F.col("average"), k1, b)
@@ -126,14 +140,19 @@ def score_fields(
 
 
 def exact_matches(
-    tokens: DataFrame, references: DataFrame, query_terms: DataFrame, query: str, key: str
+    tokens: DataFrame,
+    references: DataFrame,
+    query_terms: DataFrame,
+    query: str,
+    key: str,
+    few_query_terms: bool = False,
 ) -> DataFrame:
     """(query, reference, field, terms, strong_terms, bonus) of whole-token matches.
 
     ``query_terms`` has (query, term, category).
     """
     strong = F.col("category").isin("technology", "acronym")
-    wanted = broadcast_if_small(query_terms.select(query, "term", "category").distinct())
+    wanted = hint_broadcast(query_terms.select(query, "term", "category").distinct(), few_query_terms)
     multipliers = F.create_map(*[F.lit(x) for pair in presets.FIELD_BONUS_MULTIPLIERS.items() for x in pair])
     per_term = F.when(strong, presets.EXACT_PER_TERM * presets.EXACT_STRONG_MULTIPLIER).otherwise(
         presets.EXACT_PER_TERM

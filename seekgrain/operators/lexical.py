@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from seekgrain.functions import text as tx
 from seekgrain.functions import vocabulary as vocab
 from seekgrain.presets import TermSettings
-from seekgrain.session import broadcast_if_small
+from seekgrain.session import BROADCAST_ROWS, is_bounded, reliable_checkpoint
 
 POSTING_SALTS = 32
+LENGTH_ROW = ""
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class LexicalIndex:
     postings: DataFrame
     totals: DataFrame
     key: str
+    few_query_terms: bool = False
 
     def terms(self) -> DataFrame:
         counts = self.postings.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
@@ -58,15 +60,32 @@ def build_index(
     docs: DataFrame, key: str, text: str, query_terms: DataFrame | None = None
 ) -> LexicalIndex:
     """Index a corpus. With ``query_terms(term)`` only their postings are kept; the totals and
-    the document frequencies still describe the whole corpus."""
+    the document frequencies still describe the whole corpus.
+
+    A query-time index reads and tokenises the corpus once: each document also emits one row
+    without a term that carries its length, and the reduced table is checkpointed for the
+    statistics, the analysis and the scores that follow.
+    """
     tokens = token_table(docs, key, text)
-    exploded = tokens.select(key, "doc_length", F.explode("tokens").alias("term"))
-    if query_terms is not None:
-        exploded = exploded.join(
-            broadcast_if_small(query_terms.select("term").distinct()), "term", "left_semi"
-        )
-    postings = exploded.groupBy(key, "doc_length", "term").agg(F.count("*").alias("tf"))
-    return LexicalIndex(postings, totals_of(tokens), key)
+    if query_terms is None:
+        exploded = tokens.select(key, "doc_length", F.explode("tokens").alias("term"))
+        postings = exploded.groupBy(key, "doc_length", "term").agg(F.count("*").alias("tf"))
+        return LexicalIndex(postings, totals_of(tokens), key)
+    few = is_bounded(query_terms, BROADCAST_ROWS)
+    mark = docs.sparkSession.createDataFrame([(LENGTH_ROW,)], "term string")
+    wanted = query_terms.select("term").distinct().unionByName(mark)
+    exploded = tokens.select(
+        key, "doc_length", F.explode(F.array_append("tokens", F.lit(LENGTH_ROW))).alias("term")
+    ).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    counted = reliable_checkpoint(
+        exploded.groupBy(key, "doc_length", "term").agg(F.count("*").alias("tf"))
+    )
+    return LexicalIndex(
+        counted.filter(F.col("term") != LENGTH_ROW),
+        totals_of(counted.filter(F.col("term") == LENGTH_ROW)),
+        key,
+        few,
+    )
 
 
 def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -75,7 +94,7 @@ def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
     raw = queries.select(query, F.posexplode(tx.words(composed)).alias("position", "raw"))
     folded = raw.withColumn("parts", tx.tokens("raw")).filter(F.size("parts") == 1)
     return (
-        folded.withColumn("term", F.col("parts")[0])
+        folded.withColumn("term", F.get("parts", F.lit(0)))
         .groupBy(query, "term")
         .agg(F.min(F.struct("position", "raw")).alias("first"))
         .select(query, "term", F.col("first.position").alias("position"), F.col("first.raw").alias("raw"))
@@ -152,31 +171,39 @@ def phrase_terms(analyzed: DataFrame, queries: DataFrame, query: str, text: str)
     )
 
 
-def concepts(token_array: Column) -> Column:
-    """Capability concepts named by a query's tokens."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(_any_phrase(token_array, phrases), F.lit(name))
-                for name, phrases in vocab.QUERY_CONCEPTS.items()
-            ]
-        )
-    )
+def _padded(token_array: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(token_array, " "), F.lit(" "))
 
 
-def _any_phrase(token_array: Column, phrases) -> Column:
+def _any_phrase(padded: Column, phrases) -> Column:
     test = F.lit(False)
     for phrase in phrases:
-        test = test | tx.has_phrase(token_array, phrase)
+        test = test | F.contains(padded, F.lit(f" {phrase} "))
     return test
 
 
+def concepts(token_array: Column) -> Column:
+    """Capability concepts named by a query's tokens."""
+    return tx.bind(
+        _padded(token_array),
+        lambda padded: F.array_compact(
+            F.array(
+                *[F.when(_any_phrase(padded, p), F.lit(name)) for name, p in vocab.QUERY_CONCEPTS.items()]
+            )
+        ),
+    )
+
+
 def supports_concepts(concept_names: Column, token_array: Column) -> Column:
     """Every concept has one of its evidence phrases among the tokens; true without concepts."""
-    test = F.lit(True)
-    for name, phrases in vocab.CONCEPT_EVIDENCE.items():
-        test = test & (~F.array_contains(concept_names, name) | _any_phrase(token_array, phrases))
-    return test
+
+    def test(padded: Column) -> Column:
+        held = F.lit(True)
+        for name, phrases in vocab.CONCEPT_EVIDENCE.items():
+            held = held & (~F.array_contains(concept_names, name) | _any_phrase(padded, phrases))
+        return held
+
+    return F.when(F.size(concept_names) == 0, F.lit(True)).otherwise(tx.bind(_padded(token_array), test))
 
 
 def score(
@@ -193,12 +220,15 @@ def score(
     of a frequent term are spread over slices, so its part of the join is never one task.
     """
     per_query = query_terms.groupBy(query, "term").agg(F.count("*").alias("query_tf"))
-    weights = index.terms().join(broadcast_if_small(per_query), "term")
-    slices = F.sequence(F.lit(0), F.lit(POSTING_SALTS - 1))
-    weights = weights.select(query, "term", "idf", "query_tf", F.explode(slices).alias("_slice"))
-    postings = index.postings.withColumn(
-        "_slice", F.pmod(F.xxhash64(index.key), F.lit(POSTING_SALTS)).cast("int")
-    )
+    weights = index.terms().join(per_query, "term").select(query, "term", "idf", "query_tf")
+    if index.few_query_terms:
+        matched = index.postings.join(F.broadcast(weights), "term")
+    else:
+        slices = F.sequence(F.lit(0), F.lit(POSTING_SALTS - 1))
+        spread = index.postings.withColumn(
+            "_slice", F.pmod(F.xxhash64(index.key), F.lit(POSTING_SALTS)).cast("int")
+        )
+        matched = spread.join(weights.withColumn("_slice", F.explode(slices)), ["term", "_slice"])
     part = term_score(
         F.col("idf"),
         F.col("tf"),
@@ -207,8 +237,6 @@ def score(
         k1,
         b,
     )
-    return (
-        postings.join(weights, ["term", "_slice"])
-        .groupBy(query, index.key)
-        .agg(F.round(F.sum(part * F.col("query_tf")), digits).alias("score"))
+    return matched.groupBy(query, index.key).agg(
+        F.round(F.sum(part * F.col("query_tf")), digits).alias("score")
     )

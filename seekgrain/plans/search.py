@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 from seekgrain.functions import language, text as tx
 from seekgrain.operators import catalog, dense, evidence, fields, gates, lexical, ranking
 from seekgrain.presets import SELECTED, Preset
-from seekgrain.session import broadcast_if_small
+from seekgrain.session import hint_broadcast, is_bounded, reliable_checkpoint
 
 KEY = "chunk_id"
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """passages, normalised references and links(chunk_id, reference_id)."""
+    """passages, normalised references, links(chunk_id, reference_id) and, once indexed, the
+    term counts of every reference field."""
 
     passages: DataFrame
     references: DataFrame
     links: DataFrame
+    field_terms: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -71,6 +73,8 @@ def search(
 
     Document frequencies come from the whole corpus; filters only restrict what is ranked.
     """
+    if preset.field_scoring and corpus.field_terms is None:
+        corpus = index_fields(corpus)
     references = corpus.references
     if request is not None:
         references = catalog.apply_filters(references, request, catalog.standard_facets())
@@ -81,11 +85,12 @@ def search(
     index = lexical.build_index(corpus.passages, KEY, "chunk_text", tokens)
     terms = lexical.analyze_terms(tokens, index.terms(), "query_id", preset.terms)
     meaningful = terms.filter("status = 'meaningful'").select("query_id", "term", "category")
-    profile = query_profile(queries, terms)
+    profile = reliable_checkpoint(query_profile(queries, terms))
 
     field_scores = None
     if preset.field_scoring:
-        field_scores = field_lexical(corpus, references, links, meaningful, preset)
+        field_scores = field_lexical(corpus, references, links, meaningful, preset, index.few_query_terms)
+        field_scores = reliable_checkpoint(field_scores)
         hits = fields.project_to_passages(field_scores, links, "query_id", KEY)
     else:
         hits = lexical.score(index, meaningful, "query_id", preset.k1, preset.b)
@@ -102,7 +107,8 @@ def search(
     fused = ranking.top_k(
         fused, ["query_id"], [F.desc("fused"), F.col(KEY)], preset.depth, "fused_rank", salt_on=KEY
     )
-    fused = complete_scores(fused, hits, eligible, queries)
+    few_queries = is_bounded(queries, dense.QUERY_BLOCK)
+    fused = reliable_checkpoint(complete_scores(fused, hits, eligible, queries, few_queries))
 
     groups = evidence.reference_groups(fused, links, KEY, preset.agreement_depth)
     groups = groups.join(
@@ -114,14 +120,16 @@ def search(
     about = reference_text(references)
     pool = (
         evidence.evidence_pool(fused, links, KEY, preset.evidence.pool)
-        .join(broadcast_if_small(profile), "query_id")
+        .join(hint_broadcast(profile, few_queries), "query_id")
         .join(about, "reference_id")
     )
     wanted = corpus.passages.join(pool.select(KEY).distinct(), KEY, "left_semi").drop("embedding")
-    evaluated = evidence.evaluate_pool(pool, evidence.measured_passages(wanted), KEY, preset)
+    evaluated = reliable_checkpoint(
+        evidence.evaluate_pool(pool, evidence.measured_passages(wanted), KEY, preset).drop("display_tokens")
+    )
     selected = evidence.select_evidence(evaluated, KEY, preset.evidence)
 
-    features = candidate_features(groups, selected, profile, about, eligible)
+    features = candidate_features(groups, selected, hint_broadcast(profile, few_queries), about, eligible)
     scope = gates.scope_terms_hit(F.col("raw_tokens"), scope_terms)
     if preset.relevance_gate:
         decided = gates.decide(features, preset.relevance, scope)
@@ -135,19 +143,28 @@ def search(
     )
 
 
-def field_lexical(corpus, references, links, meaningful, preset: Preset) -> DataFrame:
+def index_fields(corpus: Corpus) -> Corpus:
+    """Count the terms of every reference field once, for all later searches."""
     valid = corpus.passages.filter(F.coalesce("approved_for_retrieval", F.lit(True)) & evidence.lineage_ok())
-    tokens = fields.field_tokens(fields.own_fields(corpus.references), "reference_id").unionByName(
+    counts = fields.field_tokens(fields.own_fields(corpus.references), "reference_id").unionByName(
         fields.evidence_tokens(valid, corpus.links, KEY, "chunk_text")
     )
+    return replace(corpus, field_terms=reliable_checkpoint(counts))
+
+
+def field_lexical(corpus, references, links, meaningful, preset: Preset, few: bool) -> DataFrame:
+    tokens = corpus.field_terms
     scores = fields.score_fields(
-        tokens, references, meaningful, "query_id", "reference_id", k1=preset.k1, b=preset.b
+        tokens, references, meaningful, "query_id", "reference_id",
+        k1=preset.k1, b=preset.b, few_query_terms=few,
     )
-    matches = fields.exact_matches(tokens, references, meaningful, "query_id", "reference_id")
+    matches = fields.exact_matches(tokens, references, meaningful, "query_id", "reference_id", few)
     return fields.combine(scores, matches, "query_id", "reference_id")
 
 
-def complete_scores(fused: DataFrame, hits: DataFrame, eligible: DataFrame, queries: DataFrame) -> DataFrame:
+def complete_scores(
+    fused: DataFrame, hits: DataFrame, eligible: DataFrame, queries: DataFrame, few_queries: bool
+) -> DataFrame:
     """Give each fused row both of its scores, also where one lane did not rank it."""
     vectors = queries.select("query_id", "query_vector")
     product = F.round(dense.inner_product(F.col("embedding"), F.col("query_vector")), 6)
@@ -155,7 +172,7 @@ def complete_scores(fused: DataFrame, hits: DataFrame, eligible: DataFrame, quer
         fused.drop("lexical_score", "dense_score")
         .join(hits.select("query_id", KEY, F.col("score").alias("lexical")), ["query_id", KEY], "left")
         .join(eligible.select(KEY, "embedding"), KEY, "left")
-        .join(broadcast_if_small(vectors, 20_000), "query_id", "left")
+        .join(hint_broadcast(vectors, few_queries), "query_id", "left")
         .withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
         .withColumn("dense", F.coalesce(product, F.lit(-1.0)))
         .drop("embedding", "query_vector")
@@ -226,7 +243,7 @@ def candidate_features(groups, selected, profile, about, eligible) -> DataFrame:
     n_eligible = F.lit(eligible.agg(F.count("*").alias("n")).scalar())
     rows = (
         groups.join(evidence.evidence_features(selected), ["query_id", "reference_id"], "left")
-        .join(broadcast_if_small(profile), "query_id")
+        .join(profile, "query_id")
         .join(about.select("reference_id", "all_reference_tokens"), "reference_id")
         .fillna(
             {

@@ -51,6 +51,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def hint_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
+    """Hint a broadcast of a table whose bound has been checked upstream."""
+    return F.broadcast(df) if bounded else df
+
+
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 

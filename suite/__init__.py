@@ -1,4 +1,4 @@
 """Registered queries and their SQL oracles."""
 
-from suite import retrieval  # noqa: F401
+from suite import retrieval, searches, texts  # noqa: F401
 from suite.base import ORACLES, QUERIES  # noqa: F401
