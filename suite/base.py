@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from seekgrain.functions import vocabulary as vocab
 
@@ -24,11 +26,21 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Counts and ranks as 64-bit integers, as the SQL side has them."""
+    return df.select(
+        *[
+            F.col(f.name).cast("bigint").alias(f.name) if f.dataType == T.IntegerType() else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def query(name: str, oracle: str | None = None):
     """Register a query; ``oracle`` is the same question in SQL."""
 
     def add(function: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: function(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: _wide_integers(function(Tables(spark, folder)))
         if oracle is not None:
             ORACLES[name] = oracle
         return function
