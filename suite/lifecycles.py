@@ -366,3 +366,43 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+
+
+@query(
+    "vector_checks",
+    """SELECT count(*) AS n_vectors, min(len(embedding)) AS smallest_width, max(len(embedding)) AS largest_width, 0::BIGINT AS n_not_finite,
+    count(*) FILTER (abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-3) AS n_not_unit FROM embeddings""",
+)
+def _(t: Tables) -> DataFrame:
+    from seekgrain.sources.tables import vector_checks
+
+    return vector_checks(t.embeddings, "embedding")
+
+
+@query(
+    "index_checks",
+    "SELECT 0::BIGINT AS wrong_frequencies, 0::BIGINT AS bad_weights, 0::BIGINT AS bad_postings, 0::BIGINT AS unknown_documents",
+)
+def _(t: Tables) -> DataFrame:
+    from seekgrain.operators import lexical
+    from seekgrain.sources.tables import index_checks
+
+    index = lexical.build_index(t.documents, "doc_id", "text")
+    return index_checks(index.postings, index.terms(), t.documents.select("doc_id"), "doc_id")
+
+
+@query(
+    "unit_progress",
+    """SELECT kind, count(*) AS n FROM (SELECT 'unit_started' AS kind FROM conversations UNION ALL
+    SELECT CASE WHEN role = 'system' THEN 'unit_failed' ELSE 'unit_completed' END FROM conversations) GROUP BY kind""",
+)
+def _(t: Tables) -> DataFrame:
+    from seekgrain.streaming.progress import run_units
+
+    def word_count(unit: str, text: str) -> str:
+        if unit == "system":
+            raise ValueError("no draft for system turns")
+        return str(len(text.split()))
+
+    events = run_units(t.conversations.select("role", "text"), word_count, "role", "text")
+    return events.groupBy("kind").agg(F.count("*").alias("n"))
