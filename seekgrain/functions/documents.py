@@ -113,7 +113,7 @@ def strip_markup(decoded: Column | str, maximum: int | None = None) -> Column:
         tx._col(decoded), r"(?is)<(?:script|style)(?![\p{L}\p{N}_])[^>]*>.*?</(?:script|style)>", ""
     )
     body = F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", ""), r"[\p{C}&&[^\n\r]]+", "")
-    lines = F.transform(F.split(F.regexp_replace(body, " +", " "), tx.LINE_BREAK), tx.strip)
+    lines = F.transform(F.split(F.regexp_replace(body, " +", " "), tx.LINE_BREAK), lambda line: tx.strip(line))
     tidy = F.array_join(F.filter(lines, lambda line: line != ""), "\n")
     return tidy if maximum is None else F.left(tidy, F.lit(maximum))
 

@@ -22,7 +22,7 @@ FEW_WORDS = 3
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, tx.LINE_BREAK), tx.strip), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, tx.LINE_BREAK), lambda line: tx.strip(line)), lambda line: line != "")
 
 
 def _few_words(lines: Column) -> Column:

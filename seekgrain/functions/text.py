@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from seekgrain.functions import unicode_rules as rules
 
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}]+"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # Words that stand for a missing value.
 NULL_WORDS = ("", "nan", "none", "null", "#value!", "n/a", "na")
@@ -21,9 +22,19 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _replace_pairs(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+@lru_cache(maxsize=None)
+def _joined(pairs: tuple[tuple[str, str], ...]) -> str:
+    return "\u0001".join(a + "\u0002" + b for a, b in pairs)
+
+
+@lru_cache(maxsize=None)
+def _class_of_first(pairs: tuple[tuple[str, str], ...]) -> str:
+    return rules.character_class(first for first, _ in pairs)
+
+
+def _replace_pairs(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     """Apply every literal replacement in order; the pair list folds into one constant."""
-    table = F.split(F.lit("\u0001".join(a + "\u0002" + b for a, b in pairs)), "\u0001")
+    table = F.split(F.lit(_joined(pairs)), "\u0001")
     return F.aggregate(
         table,
         text,
@@ -66,12 +77,19 @@ LATIN_ONLY = (range(0x250), range(0x2010, 0x2028))
 NOT_LATIN = r"[^\x00-\x{24F}\x{2010}-\x{2027}]"
 
 
+@lru_cache(maxsize=None)
+def _latin_compatibility_class() -> str:
+    source, _, several = _latin_part(True)
+    return rules.character_class(list(source) + [char for char, _ in several])
+
+
 def _is_latin(char: str) -> bool:
     return any(ord(char) in span for span in LATIN_ONLY)
 
 
-def _latin_part(table):
-    source, target, several = table
+@lru_cache(maxsize=None)
+def _latin_part(compose_only: bool):
+    source, target, several = rules.compatibility_table() if compose_only else rules.folding_table()
     kept = [(a, b) for a, b in zip(source, target) if _is_latin(a)]
     gone = [a for a in source[len(target):] if _is_latin(a)]
     return (
@@ -82,18 +100,17 @@ def _latin_part(table):
 
 
 def _replace_rare(text: Column, pairs) -> Column:
-    rare = rules.character_class(char for char, _ in pairs)
+    rare = _class_of_first(pairs)
     return bind(
         text, lambda t: F.when(F.regexp_like(t, F.lit(rare)), _replace_pairs(t, pairs)).otherwise(t)
     )
 
 
 def _fold_latin(text: Column) -> Column:
-    source, target, several = _latin_part(rules.folding_table())
+    source, target, several = _latin_part(False)
     plain = F.replace(F.translate(text, source, target), F.lit("ß"), F.lit("ss"))
     rest = tuple(pair for pair in several if pair[0] != "ß")
-    rare = rules.character_class(char for char, _ in rest)
-    return F.when(F.regexp_like(text, F.lit(rare)), _replace_pairs(plain, rest)).otherwise(plain)
+    return F.when(F.regexp_like(text, F.lit(_class_of_first(rest))), _replace_pairs(plain, rest)).otherwise(plain)
 
 
 def _fold_any(text: Column) -> Column:
@@ -119,8 +136,7 @@ def compatible(text: Column | str) -> Column:
     """Compatibility form (NFKC); composes base and mark pairs only where marks occur."""
     text = F.coalesce(_col(text).cast("string"), F.lit(""))
     source, target, several = rules.compatibility_table()
-    latin_source, _, latin_several = _latin_part((source, target, several))
-    latin_touched = rules.character_class(list(latin_source) + [char for char, _ in latin_several])
+    latin_touched = _latin_compatibility_class()
     composed = bind(
         _replace_rare(F.translate(text, source, target), several),
         lambda t: F.when(

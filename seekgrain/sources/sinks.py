@@ -19,7 +19,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = True, bom: bool = False) -> None:
     if bom:
-        df = df.toDF("﻿" + df.columns[0], *df.columns[1:])
+        df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
     df.write.mode("errorifexists").option("quoteAll", quote_all).option("escape", '"').csv(path, header=True)
 
 

@@ -47,7 +47,7 @@ def read_pinned(spark: SparkSession, path: str, expected: Mapping[str, str], sch
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, missing values as the empty string, no value coercion, no BOM."""
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    renamed = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+    renamed = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     return renamed.na.fill("")
 
 
