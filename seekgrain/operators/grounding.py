@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -295,12 +297,18 @@ def resolve_supports(claims: DataFrame, supports: DataFrame, selected: DataFrame
     ).drop("records", "unknown", "unselected", "wrong")
 
 
-def _mentions(padded: Column, phrases) -> Column:
-    test = F.lit(False)
-    for phrase in phrases:
-        folded = "".join(c if c.isalnum() or c in "_%" else " " for c in vocab.fold_word(phrase))
-        test = test | F.contains(padded, F.lit(" " + " ".join(folded.split()) + " "))
-    return test
+def _invented(groups: Iterable[Sequence[str]], said: Column, allowed: Column) -> Column:
+    """Some group of equivalent names is mentioned although none of its names is allowed."""
+
+    def folded(name: str) -> str:
+        kept = "".join(c if c.isalnum() or c in "_%" else " " for c in vocab.fold_word(name))
+        return " " + " ".join(kept.split()) + " "
+
+    table = F.from_json(F.lit(json.dumps([[folded(n) for n in names] for names in groups])), "array<array<string>>")
+    return F.exists(
+        table,
+        lambda names: F.exists(names, lambda n: F.contains(said, n)) & ~F.exists(names, lambda n: F.contains(allowed, n)),
+    )
 
 
 def _unbacked(matches: Column, padded: Column) -> Column:
@@ -344,13 +352,10 @@ def validate_claims(claims: DataFrame, supports: DataFrame, selected: DataFrame,
     new_numbers = F.size(F.array_except("_numbers", numbers(F.col("completed_text")))) > 0
     covered = overlap_share(F.col("_tokens"), F.col("_support_tokens"))
     cautious = F.regexp_like("text", F.lit(CAUTIOUS_BENEFIT_PATTERN)) & (covered >= 0.25)
-    technologies = {**{label: (label, *n) for label, n in vocab.TECHNOLOGY_LABELS}, **{k: (k, *v) for k, v in MORE_TECHNOLOGIES.items()}}
-    invented = F.lit(False)
-    for names in technologies.values():
-        invented = invented | (_mentions(F.col("_text"), names) & ~_mentions(F.col("_allowed"), names))
-    country = F.lit(False)
-    for names in CLAIM_COUNTRIES.values():
-        country = country | (_mentions(F.col("_text"), names) & ~_mentions(F.col("_allowed"), names))
+    technologies = [(label, *names) for label, names in vocab.TECHNOLOGY_LABELS]
+    technologies += [(label, *names) for label, names in MORE_TECHNOLOGIES.items()]
+    invented = _invented(technologies, F.col("_text"), F.col("_allowed"))
+    country = _invented(CLAIM_COUNTRIES.values(), F.col("_text"), F.col("_allowed"))
     named = F.array_union(_all_matches(F.col("text"), NAME_PATTERN), _all_matches(F.col("text"), PERSON_PATTERN))
     expansions = F.zip_with(
         F.regexp_extract_all("text", F.lit(EXPANSION_PATTERN), F.lit(1)),
