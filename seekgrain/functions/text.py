@@ -22,45 +22,48 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-@lru_cache(maxsize=None)
-def _joined(pairs: tuple[tuple[str, str], ...]) -> str:
-    return "\u0001".join(a + "\u0002" + b for a, b in pairs)
+# The character tables are large, so the functions that use them are written as SQL lambdas: the
+# text is built once and each use adds a handful of nodes on the Python side.
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-@lru_cache(maxsize=None)
-def _class_of_first(pairs: tuple[tuple[str, str], ...]) -> str:
-    return rules.character_class(first for first, _ in pairs)
+def _pattern(java_regex: str) -> str:
+    return f"r'{java_regex}'"
 
 
-def _replace_pairs(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
-    """Apply every literal replacement in order; the pair list folds into one constant."""
-    table = F.split(F.lit(_joined(pairs)), "\u0001")
-    return F.aggregate(
-        table,
-        text,
-        lambda acc, pair: F.replace(
-            acc, F.substring_index(pair, "\u0002", 1), F.substring_index(pair, "\u0002", -1)
-        ),
+def _replace_pairs(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    """SQL that applies every literal replacement in order; the pair list is one constant."""
+    table = _quoted("\u0001".join(a + "\u0002" + b for a, b in pairs))
+    return (
+        f"aggregate(split({table}, '\u0001'), {text}, (acc, pair) -> replace(acc, "
+        "substring_index(pair, '\u0002', 1), substring_index(pair, '\u0002', -1)))"
     )
 
 
-def _hangul_parts(text: Column) -> Column:
-    def unit(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
-    def one(char: Column) -> Column:
-        index = F.ascii(char) - F.lit(rules.HANGUL[0])
-        tail = index % 28
-        return F.when(
-            char.between(chr(rules.HANGUL[0]), chr(rules.HANGUL[1])),
-            F.concat(
-                unit(F.floor(index / 588) + 0x1100),
-                unit(F.floor((index % 588) / 28) + 0x1161),
-                F.when(tail > 0, unit(tail + 0x11A7)).otherwise(""),
-            ),
-        ).otherwise(char)
+def _if_found(text: str, java_class: str, then: str, otherwise: str) -> str:
+    return f"CASE WHEN regexp_like({text}, {_pattern(java_class)}) THEN {then} ELSE {otherwise} END"
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+def _hangul_parts(text: str) -> str:
+    def unit(code: str) -> str:
+        return f"decode(unhex(lpad(hex({code}), 4, '0')), 'UTF-16BE')"
+
+    low, high = (chr(code) for code in rules.HANGUL)
+    parts = (
+        f"concat({unit('4352 + i DIV 588')}, {unit('4449 + (i % 588) DIV 28')}, "
+        f"CASE WHEN i % 28 > 0 THEN {unit('4519 + i % 28')} ELSE '' END)"
+    )
+    one = _let("i", f"ascii(c) - {rules.HANGUL[0]}", parts)
+    return f"array_join(transform(split({text}, ''), c -> CASE WHEN c BETWEEN '{low}' AND '{high}' THEN {one} ELSE c END), '')"
+
+
+def _apply(lambda_sql: str, text: Column) -> Column:
+    return F.element_at(F.call_function("transform", F.array(text), F.expr(lambda_sql)), 1)
 
 
 def is_ascii(text: Column | str) -> Column:
@@ -77,12 +80,6 @@ LATIN_ONLY = (range(0x250), range(0x2010, 0x2028))
 NOT_LATIN = r"[^\x00-\x{24F}\x{2010}-\x{2027}]"
 
 
-@lru_cache(maxsize=None)
-def _latin_compatibility_class() -> str:
-    source, _, several = _latin_part(True)
-    return rules.character_class(list(source) + [char for char, _ in several])
-
-
 def _is_latin(char: str) -> bool:
     return any(ord(char) in span for span in LATIN_ONLY)
 
@@ -99,54 +96,55 @@ def _latin_part(compose_only: bool):
     )
 
 
-def _replace_rare(text: Column, pairs) -> Column:
-    rare = _class_of_first(pairs)
-    return bind(
-        text, lambda t: F.when(F.regexp_like(t, F.lit(rare)), _replace_pairs(t, pairs)).otherwise(t)
-    )
+def _class_of_first(pairs) -> str:
+    return rules.character_class(first for first, _ in pairs)
 
 
-def _fold_latin(text: Column) -> Column:
+@lru_cache(maxsize=None)
+def _fold_sql() -> str:
     source, target, several = _latin_part(False)
-    plain = F.replace(F.translate(text, source, target), F.lit("ß"), F.lit("ss"))
     rest = tuple(pair for pair in several if pair[0] != "ß")
-    return F.when(F.regexp_like(text, F.lit(_class_of_first(rest))), _replace_pairs(plain, rest)).otherwise(plain)
+    latin = _let(
+        "p",
+        f"replace(translate(t, {_quoted(source)}, {_quoted(target)}), 'ß', 'ss')",
+        _if_found("p", _class_of_first(rest), _replace_pairs("p", rest), "p"),
+    )
+    source, target, several = rules.folding_table()
+    spread = _let(
+        "p",
+        f"translate(t, {_quoted(source)}, {_quoted(target)})",
+        _if_found("p", _class_of_first(several), _replace_pairs("p", several), "p"),
+    )
+    whole = _let("h", spread, _if_found("h", "[가-힣]", _hangul_parts("h"), "h"))
+    return (
+        f"t -> CASE WHEN length(t) = octet_length(t) THEN lower(t) "
+        f"WHEN NOT regexp_like(t, {_pattern(NOT_LATIN)}) THEN {latin} ELSE {whole} END"
+    )
 
 
-def _fold_any(text: Column) -> Column:
-    source, target, several = rules.folding_table()
-    expanded = _replace_rare(F.translate(text, source, target), several)
-    return bind(
-        expanded,
-        lambda t: F.when(F.regexp_like(t, F.lit("[가-힣]")), _hangul_parts(t)).otherwise(t),
+@lru_cache(maxsize=None)
+def _compatible_sql() -> str:
+    latin_source, _, latin_several = _latin_part(True)
+    touched = rules.character_class(list(latin_source) + [char for char, _ in latin_several])
+    unsafe = NOT_LATIN[:-1].replace("[^", "[[^") + "]" + touched[1:]
+    source, target, several = rules.compatibility_table()
+    spread = _let(
+        "p",
+        f"translate(t, {_quoted(source)}, {_quoted(target)})",
+        _if_found("p", _class_of_first(several), _replace_pairs("p", several), "p"),
     )
+    composed = _let("c", spread, _if_found("c", r"\p{M}", _replace_pairs("c", rules.composition_pairs()), "c"))
+    return f"t -> CASE WHEN length(t) = octet_length(t) OR NOT regexp_like(t, {_pattern(unsafe)}) THEN t ELSE {composed} END"
 
 
 def fold(text: Column | str) -> Column:
     """Search form: compatibility form, case folded, accents and Arabic marks dropped."""
-    text = F.coalesce(_col(text).cast("string"), F.lit(""))
-    return (
-        F.when(is_ascii(text), F.lower(text))
-        .when(~F.regexp_like(text, F.lit(NOT_LATIN)), _fold_latin(text))
-        .otherwise(_fold_any(text))
-    )
+    return _apply(_fold_sql(), F.coalesce(_col(text).cast("string"), F.lit("")))
 
 
 def compatible(text: Column | str) -> Column:
     """Compatibility form (NFKC); composes base and mark pairs only where marks occur."""
-    text = F.coalesce(_col(text).cast("string"), F.lit(""))
-    source, target, several = rules.compatibility_table()
-    latin_touched = _latin_compatibility_class()
-    composed = bind(
-        _replace_rare(F.translate(text, source, target), several),
-        lambda t: F.when(
-            F.regexp_like(t, F.lit(r"\p{M}")), _replace_pairs(t, rules.composition_pairs())
-        ).otherwise(t),
-    )
-    untouched = is_ascii(text) | ~F.regexp_like(
-        text, F.lit(NOT_LATIN[:-1].replace("[^", "[[^") + "]" + latin_touched[1:])
-    )
-    return F.when(untouched, text).otherwise(composed)
+    return _apply(_compatible_sql(), F.coalesce(_col(text).cast("string"), F.lit("")))
 
 
 def words(text: Column | str) -> Column:

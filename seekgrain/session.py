@@ -27,11 +27,6 @@ def build_session(app: str = "seekgrain", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def skip_call_sites(spark: SparkSession) -> None:
-    """Build large expressions without recording a Python call site for each node."""
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
-
-
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage on shared storage so that a lost executor costs no recomputation.
 

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from seekgrain.functions import vocabulary as vocab
-from seekgrain.session import skip_call_sites
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +21,6 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        skip_call_sites(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
