@@ -403,15 +403,30 @@ def _finding(code: Column, severity: str, detail: Column) -> Column:
 def unknown_facts(claims: DataFrame, known: DataFrame, facts: DataFrame, values: str = "value") -> DataFrame:
     """Known catalog values (field, value) that a claim names although its own facts do not.
 
-    Values are found through their first word: a claim is joined to the values that start with one
-    of its words, and only those are tested as whole phrases.
+    A claim is cut into word sequences of the lengths the known values have, and sequences meet
+    values by equality, so no claim is ever paired with a value it does not contain.
     """
     shaped = known.select("field", values, tx.strip(phrase_form(F.col(values))).alias("phrase")).filter("length(phrase) >= 4")
-    keyed = shaped.withColumn("word", F.substring_index("phrase", " ", 1))
-    words = claims.select("claim_id", "reference_id", phrase_form(F.col("text")).alias("padded")).withColumn(
-        "word", F.explode(F.array_distinct(F.split(F.trim("padded"), " ")))
+    shaped = shaped.withColumn("n_words", F.size(F.split("phrase", " ")))
+    lengths = F.lit(shaped.agg(F.sort_array(F.collect_set("n_words")).alias("n")).scalar())
+    words = F.split(F.trim(phrase_form(F.col("text"))), " ")
+    cut = claims.select("claim_id", "reference_id", words.alias("words")).withColumn("n", F.explode(lengths))
+    spoken = (
+        cut.filter(F.size("words") >= F.col("n"))
+        .select(
+            "claim_id",
+            "reference_id",
+            F.explode(
+                F.array_distinct(
+                    F.transform(
+                        F.sequence(F.lit(1), F.size("words") - F.col("n") + 1),
+                        lambda i: F.array_join(F.slice("words", i, F.col("n")), " "),
+                    )
+                )
+            ).alias("phrase"),
+        )
     )
-    hit = words.join(keyed, "word").filter(F.contains("padded", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
+    hit = spoken.join(shaped, "phrase")
     allowed = facts.select("reference_id", phrase_form(F.col("fact_text")).alias("allowed"))
     return (
         hit.join(allowed, "reference_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekgrain.operators.ranking import top_k
+from seekgrain.operators.ranking import row_numbers, top_k
 
 
 def gain(grade: Column, rank: Column) -> Column:
@@ -67,6 +67,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
     ``runs`` has query_language, cross_language_expected, no_answer_expected, result_count and
     latency_ms.
     """
+    latency = quantiles_by(runs, [], "latency_ms", p50=0.5, p95=0.95)
     no_answer, some = truthy(F.col("no_answer_expected")), F.col("result_count") > 0
     return runs.agg(
         F.count("*").alias("evaluated_queries"),
@@ -79,15 +80,34 @@ def run_summary(runs: DataFrame) -> DataFrame:
             F.count_if(~no_answer & ~some) / F.nullif(F.count_if(~no_answer), F.lit(0)), 6
         ).alias("answerable_zero_result_rate"),
         F.count_if(truthy(F.col("cross_language_expected"))).alias("cross_language_sample_count"),
-        F.round(F.percentile("latency_ms", F.lit(0.5)), 2).alias("p50_latency_ms"),
-        F.round(F.percentile("latency_ms", F.lit(0.95)), 2).alias("p95_latency_ms"),
+        F.round(F.lit(latency.select("p50").scalar()), 2).alias("p50_latency_ms"),
+        F.round(F.lit(latency.select("p95").scalar()), 2).alias("p95_latency_ms"),
     )
 
 
 def quantiles_by(df: DataFrame, keys: list[str], value: str, **points: float) -> DataFrame:
-    """Exact interpolated quantiles per group; values are first counted, so a task holds the
-    distinct values of a group with their counts, not its rows."""
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(p), F.col("_n")).alias(n) for n, p in points.items()]
-    )
+    """Exact interpolated quantiles of groups of any size.
+
+    Values are ranked over range partitions; only the two ranks around each quantile are kept, so
+    no task ever holds the values of a whole group.
+    """
+    rows = df.select(*keys, value).filter(F.col(value).isNotNull())
+    ranked = row_numbers(rows, [value], "_r", keys)
+    if not keys:
+        ranked = ranked.withColumn("_all", F.lit(1))
+    groups = keys or ["_all"]
+    sizes = ranked.groupBy(*groups).agg(F.max("_r").alias("_n"))
+    near = F.lit(False)
+    for p in points.values():
+        place = (F.col("_n") - 1) * F.lit(float(p)) + 1
+        near = near | F.col("_r").isin(F.floor(place), F.ceil(place))
+    kept = ranked.join(sizes, groups).filter(near)
+
+    def quantile(p: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(float(p)) + 1
+        low = F.max(F.when(F.col("_r") == F.floor(place), F.col(value)))
+        high = F.max(F.when(F.col("_r") == F.ceil(place), F.col(value)))
+        part = F.max(place - F.floor(place))
+        return low + (high - low) * part
+
+    return kept.groupBy(*groups).agg(*[quantile(p).alias(n) for n, p in points.items()]).select(*keys, *points)
