@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seekgrain import presets
 from seekgrain.functions import text as tx
-from seekgrain.operators import catalog, fields, gates, metrics, ranking
+from seekgrain.operators import catalog, fields, gates, metrics, ranking, reasons
 from seekgrain.session import BROADCAST_ROWS, is_bounded
 from suite.base import Tables, query, sql_fold, sql_tokens
 
@@ -380,3 +380,31 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "value")
     return ranking.top_k(rows, ["user_id"], [F.desc("value"), F.col("event_id")], 3)
+
+
+@query(
+    "match_reasons",
+    """WITH r AS (SELECT p_partkey, list_filter([
+      CASE WHEN contains(' ' || p_name || ' ', ' ring ') THEN 'Confirmed technology or capability: ring' END,
+      CASE WHEN p_type IN ('ECONOMY', 'SMALL', 'RING') THEN 'Matching offering: ' || p_type END,
+      CASE WHEN contains(' ' || p_name || ' ', ' small ') OR contains(' ' || p_name || ' ', ' ring ') THEN 'Matching capability: ' ||
+        array_to_string(list_filter(['small', 'ring'], lambda w: contains(' ' || p_name || ' ', ' ' || w || ' ')), ',') END,
+      CASE WHEN p_size >= 35 THEN 'Semantic similarity: ' END,
+      CASE WHEN p_size % 2 = 0 THEN 'Confirmed delivery evidence: ' || p_brand END], lambda x: x IS NOT NULL) AS reasons FROM part)
+    SELECT p_partkey, array_to_string(reasons, '|') AS reasons, len(reasons) AS n_reasons FROM r""",
+)
+def _(t: Tables) -> DataFrame:
+    """Parts as results of the request "small ring economy"."""
+    asked = (("small", "small", "term"), ("ring", "ring", "technology"), ("economy", "Economy", "term"))
+    terms = F.array(
+        *[F.struct(F.lit(a).alias("term"), F.lit(b).alias("display"), F.lit(c).alias("category")) for a, b, c in asked]
+    )
+    rows = t.part.select(
+        "p_partkey", terms.alias("query_terms"), tx.tokens("p_name").alias("exact_terms"), F.col("p_type").alias("offering"),
+        F.lit("").alias("sector"), F.col("p_name").alias("service_nature"), (F.col("p_size") / 50).alias("best_dense"),
+        F.lit("en").alias("query_language"), F.lit("en").alias("evidence_language"), F.lit("").alias("display_text"),
+        F.col("p_brand").alias("citation_label"), (F.col("p_size") % 2 == 0).alias("project_delivery_signal"),
+    )
+    found = rows.withColumn("r", reasons.match_reasons())
+    shown = F.transform("r", lambda x: F.concat(x["category"], F.lit(": "), F.array_join(x["values"], ",")))
+    return found.select("p_partkey", F.array_join(shown, "|").alias("reasons"), F.size("r").alias("n_reasons"))
