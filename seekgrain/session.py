@@ -45,13 +45,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def hint_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     """Hint a broadcast of a table whose bound has been checked upstream."""
     return F.broadcast(df) if bounded else df
