@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekgrain.llm import exact_dedup, host_rules, mixing, pii, sharding
+from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, pii, quality, sharding
+from seekgrain.llm.common import held_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +157,25 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = exact_dedup.kept_rows(exact_dedup.equal_texts(documents(spark, folder).select("doc_id", "text")))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op2_language_id")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    model = language_id.fit(documents(spark, folder).select("doc_id", "lang", "text"))
+    texts = documents(spark, folder).select("doc_id", "text", held_out().alias("held_out"))
+    told = language_id.with_language(texts, model)
+    return told.select("doc_id", "held_out", "lang_pred", "score", "second", "ambiguous")
+
+
+@query("op4_quality")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    trees = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = quality.with_score(docs.withColumn("held_out", held_out()), trees)
+    return scored.select("doc_id", "held_out", "score", quality.predicted(F.col("score")).alias("predicted"))
+
+
+@query("op9_jaccard_join")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    texts = documents(spark, folder).select("doc_id", "text")
+    return jaccard_join.similar_components(texts, width=4, percent=85)
