@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, pii, quality, sharding
+from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, pii, quality, sharding, substring_dedup
 from seekgrain.llm.common import held_out
 
 QUERIES: dict = {}
@@ -179,3 +179,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     texts = documents(spark, folder).select("doc_id", "text")
     return jaccard_join.similar_components(texts, width=4, percent=85)
+
+
+@query("op1_substring_dedup")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_passages(documents(spark, folder).select("doc_id", "text"))
