@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, pii, quality, sharding, substring_dedup
+from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, piece_scan, pii, quality, sharding, substring_dedup
 from seekgrain.llm.common import held_out
 
 QUERIES: dict = {}
@@ -184,3 +184,16 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_substring_dedup")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_passages(documents(spark, folder).select("doc_id", "text"))
+
+
+@query("op3_piece_encoding")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = piece_scan.load_pieces(piece_scan.default_model(spark))
+    texts = documents(spark, folder).select("doc_id", "text")
+    back = piece_scan.decode(piece_scan.encode(texts, pieces), pieces, "ids", "decoded")
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        "ids",
+        F.expr("decoded <=> text").alias("round_trip"),
+    )
