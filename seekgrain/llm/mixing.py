@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekgrain.llm.common import WORD, counted_broadcast, written
+from seekgrain.llm.common import WORD, counted_broadcast, unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -142,3 +142,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", "passes", "first_word", "taken_once", taken.alias("taken")
     )
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """The mix itself: every row of ``docs`` none, one or two times, with the columns of ``docs``.
+
+    Documents stay whole: one that the last, partial pass takes in part comes in when at least half of it
+    is taken. Repeated rows are told apart by number, so each gets its own share.
+    """
+    key, number, shares, times = (unused(docs, n) for n in ("_key", "_number", "_shares", "_times"))
+    copies = F.col("passes") + ((F.col("taken_once") > 0) & (2 * F.col("taken_once") >= F.col("size"))).cast("long")
+    decided = mix(docs, doc_id, text, source, seed).select(
+        F.xxhash64("doc_id", "source", "size").alias("key"), F.struct("doc_id", "source", "size", copies.alias("copies")).alias("share")
+    )
+    decided = written(decided.groupBy("key").agg(F.sort_array(F.collect_list("share")).alias("shares")))
+    decided = decided.select(F.col("key").alias(key), F.col("shares.copies").alias(shares))
+    size = unused(docs, "_size")
+    rows = docs.withColumn(size, n_words(F.col(text))).withColumn(key, F.xxhash64(doc_id, source, size))
+    alike = Window.partitionBy(key).orderBy(doc_id, source, size)
+    rows = rows.withColumn(number, F.row_number().over(alike)).join(decided, key)
+    rows = rows.withColumn(times, F.get(shares, F.col(number) - 1).cast("int")).filter(F.col(times) > 0)
+    again = unused(docs, "_again")
+    return rows.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

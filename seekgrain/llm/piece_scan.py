@@ -30,8 +30,10 @@ CHUNK_CHARS = 1 << 16
 #: Characters that are segmented in one go; longer runs without a sure boundary are cut by matrices.
 LONG = 256
 UNIT = 1 << 16
+RUN_BYTES = 1 << 23
 SPACE_SIGN = "▁"
 NEVER = np.int64(1) << 60
+SLOT_BITS = 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +42,7 @@ class Pieces:
     """Hashed prefixes of all pieces with the id (or -1) and cost of those that are pieces themselves."""
 
     prefixes: np.ndarray
+    slots: np.ndarray
     ids: np.ndarray
     costs: np.ndarray
     unknown_cost: int
@@ -51,6 +54,13 @@ class Pieces:
     dummy_prefix: bool
     texts: list[bytes]
 
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Row of the first prefix hash not below each code, from the slot of its leading bits."""
+        at = self.slots[codes >> np.uint64(64 - SLOT_BITS)]
+        while (below := self.prefixes[at] < codes).any():
+            at = at + below
+        return at
+
 
 def _hash_of(piece: str) -> int:
     h = np.zeros(1, np.uint64)
@@ -91,8 +101,12 @@ def load_pieces(path: str) -> Pieces:
     table = {p[:k] for p in found for k in range(1, len(p) + 1)}
     rows = sorted((_hash_of(p), *found.get(p, (-1, 0))) for p in table)
     known = {sign for p in found for sign in p}
+    prefixes = np.array([*(r[0] for r in rows), 2**64 - 1], np.uint64)  # the last one ends every search
+    slots = np.searchsorted(prefixes, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+    rows.append((0, -1, 0))
     return Pieces(
-        np.array([r[0] for r in rows], np.uint64),
+        prefixes,
+        slots.astype(np.int32),
         np.array([r[1] for r in rows], np.int32),
         np.array([r[2] for r in rows], np.int64),
         max(c for _, c in found.values()) + 10 * UNIT,
@@ -127,7 +141,7 @@ def best_paths(pieces: Pieces, signs: np.ndarray, offsets: np.ndarray):
     with np.errstate(over="ignore"):
         for length in range(1, pieces.longest + 1):
             code = mixed(code * _STEP + (signs[at + length - 1].astype(np.uint64) + np.uint64(1)))
-            spot = np.minimum(np.searchsorted(pieces.prefixes, code), len(pieces.prefixes) - 1)
+            spot = pieces.find(code)
             alive = pieces.prefixes[spot] == code
             at, code, spot = at[alive], code[alive], spot[alive]
             whole = pieces.ids[spot] >= 0
@@ -314,7 +328,7 @@ def _encoded(column: str, result: str, pieces, prefix: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         for batch in batches:
-            for part in text_runs(batch, column):
+            for part in text_runs(batch, column, RUN_BYTES):
                 texts = part.column(column).to_pylist()
                 ids, offsets = encode_texts(known, [_with_prefix(known, t) if prefix else t or "" for t in texts])
                 lists = pa.ListArray.from_arrays(
