@@ -30,7 +30,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Every distinct word of the batch is hashed once.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    # take() makes own buffers; the case function reads those of a slice from the wrong place.
+    own = texts.fill_null("").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
     flat = lists.flatten()
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
