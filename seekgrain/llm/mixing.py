@@ -60,7 +60,7 @@ def apportion(parties: DataFrame, group: list[str], vote: str, seats: str, name:
     """
     keys = [c for c in parties.columns if c not in (vote, seats, *group)]
     every = Window.partitionBy(*group)
-    fair = F.floor(F.col(vote) * F.col(seats) / F.sum(vote).over(every) + F.lit(0.5))
+    fair = F.floor(F.try_divide(F.col(vote) * F.col(seats), F.sum(vote).over(every)) + F.lit(0.5))
     around = parties.withColumn("_fair", F.coalesce(fair, F.lit(0)).cast("long"))
     around = around.withColumn("_sure", F.greatest(F.col("_fair") - 3, F.lit(0)).cast("long"))
     around = around.withColumn("_left", (F.col(seats) - F.sum("_sure").over(every)).cast("long"))
