@@ -29,7 +29,8 @@ from seekgrain.llm.shingles import mixed, shingle_sets, text_runs
 FREQUENT, FREQUENT_MOST = 500, 1 << 16
 BLOCK_ROWS = 2048
 SMALL, LEAF = 16, 16
-SIGNATURE_WORDS = 32
+#: Bitmaps have 2 to the power of this many 64-bit words at least.
+LEAST_CLASS = 3
 #: Nodes of rows without an id start here.
 NAMELESS = 1 << 62
 SET_SCHEMA = "node long, n long, fp_a long, fp_b long, signature binary, prefix array<long>"
@@ -44,13 +45,59 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-def bitmaps(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    bits = np.zeros((rows, SIGNATURE_WORDS * 64), dtype=bool)
-    place = (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (SIGNATURE_WORDS * 64).bit_length() + 1)
-    bits[owner, place.astype(np.int64)] = True
+def signature_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmap of a set of size n: a power of two with 4 to 8 bits per member."""
+    return 1 << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 16)), LEAST_CLASS).astype(np.int64)
+
+
+def bitmaps(values: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """One bitmap per row; the low bits of a hash are its place, so OR-ing the halves gives the next smaller bitmap."""
+    bits = np.zeros((rows, words * 64), dtype=bool)
+    bits[owner, ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = True
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def signatures(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    out: list[bytes] = [b""] * (len(offsets) - 1)
+    n = np.diff(offsets)
+    words = signature_words(n)
+    owner = np.repeat(np.arange(len(n)), n)
+    for width in np.unique(words):
+        rows = np.flatnonzero(words == width)
+        for s in range(0, len(rows), max(1, (1 << 18) // int(width))):
+            some = rows[s : s + max(1, (1 << 18) // int(width))]
+            spot = np.full(len(n), -1)
+            spot[some] = np.arange(len(some))
+            mine = spot[owner] >= 0
+            for row, bits in zip(some, bitmaps(values[mine], spot[owner[mine]], len(some), int(width))):
+                out[row] = bits.tobytes()
+    return out
+
+
+class Bitmaps:
+    """Bitmaps of different widths; rows are read at any common, smaller width."""
+
+    def __init__(self, bodies: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in bodies], dtype=np.int64)
+        self.spot = np.zeros(len(bodies), dtype=np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        for width in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == width)
+            self.spot[rows] = np.arange(len(rows))
+            self.tables[width] = np.frombuffer(b"".join(bodies[r] for r in rows), dtype=np.uint64).reshape(-1, width)
+
+    def at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(rows), width), dtype=np.uint64)
+        for own in np.unique(self.words[rows]).tolist():
+            here = self.words[rows] == own
+            table = self.tables[own][self.spot[rows[here]]]
+            while table.shape[1] > width:
+                half = table.shape[1] // 2
+                table = table[:, :half] | table[:, half:]
+            out[here] = table
+        return out
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -72,7 +119,7 @@ def _sets(width: int, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("node"), pa.array(n), pa.array(fp_a.view(np.int64)), pa.array(fp_b.view(np.int64)),
-                        pa.array([row.tobytes() for row in bitmaps(values, owner, len(n))], pa.binary()),
+                        pa.array(signatures(values, offsets), pa.binary()),
                         _lists(taken, first),
                     ],
                     names=["node", "n", "fp_a", "fp_b", "signature", "prefix"],
@@ -138,30 +185,50 @@ class Forest:
             parent = up
 
 
-def possible(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def possible(n: np.ndarray, bits: Bitmaps, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of sets whose bitmaps allow the overlap they need: a set bit that the other lacks is a shingle it lacks."""
-    ok = np.zeros(len(i), dtype=bool)
-    for s in range(0, len(i), 1 << 16):
-        a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-        need = least_overlap(n[a], n[b], percent)
-        at = np.flatnonzero(np.minimum(n[a], n[b]) >= need)
-        x, y = bits[a[at]], bits[b[at]]
-        both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
-        most_a = n[a[at]] - (np.bitwise_count(x).sum(axis=1, dtype=np.int64) - both)
-        most_b = n[b[at]] - (np.bitwise_count(y).sum(axis=1, dtype=np.int64) - both)
-        ok[s + at] = np.minimum(most_a, most_b) >= need[at]
+    need = least_overlap(n[i], n[j], percent)
+    ok = np.minimum(n[i], n[j]) >= need
+    width = np.minimum(bits.words[i], bits.words[j])
+    for w in np.unique(width[ok]).tolist():
+        at = np.flatnonzero(ok & (width == w))
+        for s in range(0, len(at), max(1, (1 << 21) // w)):
+            some = at[s : s + max(1, (1 << 21) // w)]
+            a, b = i[some], j[some]
+            x, y = bits.at(a, w), bits.at(b, w)
+            both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+            most_a = n[a] - (np.bitwise_count(x).sum(axis=1, dtype=np.int64) - both)
+            most_b = n[b] - (np.bitwise_count(y).sum(axis=1, dtype=np.int64) - both)
+            ok[some] = np.minimum(most_a, most_b) >= need[some]
     return ok
 
 
-def tree_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that the signature tree over rows ordered by size cannot rule out."""
+def tree_pairs(n: np.ndarray, bits: Bitmaps, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j that signature trees over rows ordered by size cannot rule out.
+
+    One tree per bitmap width holds the rows of that width and the larger ones that are near enough in size.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for width in np.unique(bits.words).tolist():
+        own = bits.words == width
+        rows = np.flatnonzero(own | ((bits.words > width) & (percent * n <= 100 * n[own].max())))
+        i, j = _one_tree(n[rows], bits.at(rows, width), percent)
+        i, j = rows[i], rows[j]
+        mine = np.minimum(bits.words[i], bits.words[j]) == width
+        i, j = i[mine], j[mine]
+        ok = possible(n, bits, i, j, percent)
+        found.append((i[ok], j[ok]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _one_tree(n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     at = np.arange(0, len(n), LEAF)
-    levels = [(np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(spare, at))]
+    levels = [tuple(f.reduceat(v, at, axis=0) for f, v in ((np.bitwise_or, bits), (np.minimum, n), (np.maximum, n), (np.maximum, spare)))]
     while len(levels[-1][1]) > 1:
         masks, low, high, extra = levels[-1]
         at = np.arange(0, len(low), 2)
-        levels.append((np.bitwise_or.reduceat(masks, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
+        levels.append(tuple(f.reduceat(v, at, axis=0) for f, v in ((np.bitwise_or, masks), (np.minimum, low), (np.maximum, high), (np.maximum, extra))))
     a = b = np.zeros(1, dtype=np.int64)
     for depth in range(len(levels) - 1, -1, -1):
         masks, low, high, extra = levels[depth]
@@ -172,21 +239,17 @@ def tree_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarra
         near = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
         a, b = a[near], b[near]
         fits = np.zeros(len(a), dtype=bool)
-        for s in range(0, len(a), 1 << 14):
-            x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+        step = max(1, (1 << 20) // bits.shape[1])
+        for s in range(0, len(a), step):
+            x, y = a[s : s + step], b[s : s + step]
             shared = np.bitwise_count(masks[x] & masks[y]).sum(axis=1, dtype=np.int64) + np.minimum(extra[x], extra[y])
-            fits[s : s + (1 << 14)] = shared >= least_overlap(low[x], low[y], percent)
+            fits[s : s + step] = shared >= least_overlap(low[x], low[y], percent)
         a, b = a[fits], b[fits]
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     cell = np.arange(LEAF)
-    for s in range(0, len(a), 256):
-        i = (a[s : s + 256, None, None] * LEAF + cell[None, :, None] + 0 * cell).ravel()
-        j = (b[s : s + 256, None, None] * LEAF + cell[None, None, :] + 0 * cell[None, :, None]).ravel()
-        inside = (i < j) & (j < len(n))
-        i, j = i[inside], j[inside]
-        ok = possible(n, bits, i, j, percent)
-        found.append((i[ok], j[ok]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    i = (a[:, None, None] * LEAF + cell[None, :, None] + 0 * cell).ravel()
+    j = (b[:, None, None] * LEAF + cell[None, None, :] + 0 * cell[None, :, None]).ravel()
+    inside = (i < j) & (j < len(n))
+    return i[inside], j[inside]
 
 
 def spanning(rows: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -222,17 +285,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield kept
 
 
-def _binary_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, width)
-
-
 def _forest_edges(percent: int):
     """(block, a, b, more) of a spanning forest of the possible pairs of every block; more: pairs were left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "block"):
             block, node, n = (table.column(c).to_numpy() for c in ("block", "node", "n"))
-            bits = _binary_rows(table.column("signature"), SIGNATURE_WORDS)
+            bits = Bitmaps(table.column("signature").to_pylist())
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             sizes = np.diff(np.r_[starts, len(block)])
             group = np.repeat(np.arange(len(starts)), sizes)
@@ -247,7 +306,7 @@ def _forest_edges(percent: int):
             i, j = i[ok], j[ok]
             for g in np.flatnonzero(sizes > SMALL):
                 s, e = starts[g], starts[g] + sizes[g]
-                x, y = tree_pairs(n[s:e], bits[s:e], percent)
+                x, y = tree_pairs(n[s:e], Bitmaps(table.column("signature").slice(s, e - s).to_pylist()), percent)
                 i, j = np.r_[i, x + s], np.r_[j, y + s]
             differ = node[i] != node[j]
             i, j = i[differ], j[differ]
@@ -272,7 +331,7 @@ def _exact_edges(percent: int):
                 part = table.slice(s, e - s)
                 node, n, comp, side = (part.column(c).to_numpy() for c in ("node", "n", "component", "side"))
                 members = [np.frombuffer(v, dtype=np.uint64) for v in part.column("members").to_pylist()]
-                bits = bitmaps(np.concatenate(members), np.repeat(np.arange(len(n)), n), len(n))
+                bits = Bitmaps(signatures(np.concatenate(members), np.r_[0, np.cumsum(n)]))
                 i, j = tree_pairs(n, bits, percent)
                 cross = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
                 i, j = i[cross], j[cross]
@@ -382,11 +441,19 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     open_blocks = written(forest.filter("more").join(failed, ["a", "b"], "left_semi").select("block").distinct())
     big = inside.filter("parts > 1")
     if not (open_blocks.isEmpty() and big.isEmpty()):
-        known = inside.withColumn("block", block).join(labels, "node", "left")
-        known = known.withColumn("component", F.coalesce("component", "node")).drop("c")
-        again = known.join(open_blocks, "block", "left_semi").select("block", "node", "component", F.lit(2).alias("side"))
-        several = known.filter("parts > 1").groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h"))
-        split = known.filter("parts > 1").join(several.filter("l <> h").select("token"), "token", "left_semi")
+        known = big.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        met = forest.join(open_blocks, "block", "left_semi").select("block", F.explode(F.array("a", "b")).alias("node"))
+        met = written(met.distinct())
+        # Blocks that met the same nodes are one.
+        lists = met.groupBy("block").agg(
+            F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count("*").alias("c")
+        )
+        met = met.join(lists.groupBy("x", "y", "c").agg(F.min("block").alias("block")).select("block"), "block", "left_semi")
+        again = met.join(labels, "node", "left").select(
+            "block", "node", F.coalesce("component", "node").alias("component"), F.lit(2).alias("side")
+        )
+        several = known.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h"))
+        split = known.join(several.filter("l <> h").select("token"), "token", "left_semi")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
         split = split.select("token", "node", "component", "part", other).filter("part <> other")
         split = split.select(

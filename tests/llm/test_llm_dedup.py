@@ -152,10 +152,10 @@ def test_bounds_never_exclude_a_link():
 
     rng = np.random.default_rng(3)
     for _ in range(200):
-        n, m = rng.integers(1, 60, 2)
-        x, y = (np.unique(rng.integers(0, 80, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (n, m))
+        n, m = rng.integers(1, 3000, 2)
+        x, y = (np.unique(rng.integers(0, int(1.2 * k) + 1, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (n, m))
         sizes = np.array([len(x), len(y)])
-        bits = jaccard_join.bitmaps(np.r_[x, y], np.repeat([0, 1], sizes), 2)
+        bits = jaccard_join.Bitmaps(jaccard_join.signatures(np.r_[x, y], np.r_[0, np.cumsum(sizes)]))
         if jaccard_join.linked(x, y, 60):
             assert jaccard_join.possible(sizes, bits, np.array([0]), np.array([1]), 60).all()
             assert len(set(x[: jaccard_join.prefix_sizes(sizes, 60)[0]]) & set(y[: jaccard_join.prefix_sizes(sizes, 60)[1]]))
