@@ -45,9 +45,9 @@ def audit_class(reasons: Column, wrong_page: Column | None = None, boilerplate:
     )
 
 
-def quality_summary(rows: DataFrame, source: str, language: str) -> DataFrame:
+def quality_summary(rows: DataFrame, source: str, language: str, flagged: Column | None = None) -> DataFrame:
     """One row per source. A first aggregate by (source, language) keeps the second one tiny, so a
-    source with a third of the corpus is summed in parts."""
+    source with a third of the corpus is summed in parts. ``flagged`` marks rows to count."""
     def has(reason: str) -> Column:
         return F.count_if(F.array_contains("text_reasons", reason))
 
@@ -56,7 +56,7 @@ def quality_summary(rows: DataFrame, source: str, language: str) -> DataFrame:
         F.count_if(F.size("text_reasons") == 0).alias("n_passing"),
         has("OCR_GIBBERISH").alias("n_gibberish"),
         has("REPETITIVE_TEXT").alias("n_repetitive"),
-        F.count_if(F.col("toxic") == 1).alias("n_flagged"),
+        F.count_if(F.lit(False) if flagged is None else flagged).alias("n_flagged"),
         F.sum("quality_score").alias("score_sum"),
         F.min("quality_score").alias("min_score"),
     )

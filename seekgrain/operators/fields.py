@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seekgrain import presets
 from seekgrain.functions import text as tx
+from seekgrain.functions import vocabulary as vocab
 from seekgrain.operators.lexical import idf, term_score
 from seekgrain.session import hint_broadcast
 
@@ -77,6 +78,13 @@ def field_tokens(fields: DataFrame, key: str) -> DataFrame:
     )
 
 
+def field_phrases(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, term): the known phrases whose words stand next to each other in a text."""
+    phrases = F.array(*[F.lit(p) for p, _, _ in vocab.PHRASES])
+    found = rows.select(*keys, tx.tokens(text).alias("_tokens"))
+    return found.select(*keys, F.explode(F.filter(phrases, lambda p: tx.has_phrase(F.col("_tokens"), p))).alias("term"))
+
+
 def evidence_tokens(passages: DataFrame, links: DataFrame, key: str, text: str) -> DataFrame:
     """The evidence field of a reference is the text of all its linked passages. Term counts are
     taken per passage and summed, so no reference's text is ever joined into one value."""
@@ -103,24 +111,28 @@ def score_fields(
     k1: float = 1.2,
     b: float = 0.75,
     few_query_terms: bool = False,
+    everything: DataFrame | None = None,
 ) -> DataFrame:
     """(query, reference, field, raw, normalized, weighted).
 
-    Term statistics describe all references in ``tokens``; only the normalisation by the best
-    score looks at the eligible ``references``, and it is a partial-aggregate maximum joined back,
-    so a query that matches everything is not sorted in one task.
+    Term statistics describe ``everything``, the whole catalog with its references without any token
+    (else the references in ``tokens``); only the normalisation by the best score looks at the eligible
+    ``references``. Averages (one row per field), and with few query terms the best scores and the
+    frequencies of the asked terms, are broadcast, so no join shuffles on a field or a broad query.
     """
-    n = F.lit(tokens.select(key).distinct().agg(F.count("*").alias("n")).scalar())
+    counted = tokens if everything is None else everything
+    n = F.lit(counted.select(key).distinct().agg(F.count("*").alias("n")).scalar())
     lengths = tokens.groupBy(key, "field").agg(F.sum("tf").alias("length"))
     averages = lengths.groupBy("field").agg((F.sum("length") / n).alias("average"))
-    frequencies = tokens.groupBy("field", "term").agg(F.count("*").alias("df"))
+    asked = hint_broadcast(query_terms.select("term").distinct(), few_query_terms)
+    frequencies = tokens.join(asked, "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
     wanted = hint_broadcast(query_terms.select(query, "term").distinct(), few_query_terms)
     hits = (
-        tokens.join(hint_broadcast(query_terms.select("term").distinct(), few_query_terms), "term", "left_semi")
+        tokens.join(asked, "term", "left_semi")
         .join(references.select(key).distinct(), key, "left_semi")
         .join(lengths, [key, "field"])
-        .join(averages, "field")
-        .join(frequencies, ["field", "term"])
+        .join(F.broadcast(averages), "field")
+        .join(hint_broadcast(frequencies, few_query_terms), ["field", "term"])
         .withColumn(
             "part", term_score(idf(F.col("df"), n), F.col("tf"), F.col("length"), F.col("average"), k1, b)
         )
@@ -129,7 +141,7 @@ def score_fields(
     best = raw.groupBy(query, "field").agg(F.max("raw").alias("best"))
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     normalized = F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(0.0)
-    return raw.join(best, [query, "field"]).select(
+    return raw.join(hint_broadcast(best, few_query_terms), [query, "field"]).select(
         query,
         key,
         "field",

@@ -33,15 +33,17 @@ class FieldPolicy:
     most: int
     facts: tuple[str, ...] = ()
     pattern: str | None = None
+    #: Source field whose absence leaves this one empty.
+    source: str | None = None
 
 
 FIELD_POLICIES = {
     "headline": FieldPolicy((FACT, COMPLETED, CATALOG), 2, ("mission_title", "client")),
     "short_description": FieldPolicy((FACT, COMPLETED, CATALOG), 3, ("mission_title", "client")),
-    "challenge": FieldPolicy((CONTRACT, PROPOSAL, CATALOG), 1, pattern=CHALLENGE_PATTERN),
+    "challenge": FieldPolicy((CONTRACT, PROPOSAL, CATALOG), 1, pattern=CHALLENGE_PATTERN, source="challenge"),
     "contribution": FieldPolicy((COMPLETED, ATTESTED, CONTRACT, CATALOG), 1),
-    "realisations": FieldPolicy((COMPLETED, ATTESTED), 1),
-    "benefits": FieldPolicy((COMPLETED, ATTESTED), 1, pattern=OUTCOME_PATTERN),
+    "realisations": FieldPolicy((COMPLETED, ATTESTED), 1, source="completed_work_details"),
+    "benefits": FieldPolicy((COMPLETED, ATTESTED), 1, pattern=OUTCOME_PATTERN, source="benefits"),
     "why_relevant": FieldPolicy((FACT, CATALOG, COMPLETED), 2, ("mission_title", "offering", "sector")),
 }
 NUMBER_PATTERN = r"(?<![\p{L}\p{N}_])\p{Nd}+(?:[.,]\p{Nd}+)?(?:[\t-\r\x1c-\x20\x85\p{Z}]*%)?"
@@ -195,11 +197,12 @@ def support_types(document_type: Column) -> Column:
 
 
 # ---- plans ------------------------------------------------------------------------------------------
-def field_plan(supports: DataFrame, unavailable: dict[str, str] | None = None) -> DataFrame:
+def field_plan(supports: DataFrame, unavailable: DataFrame | None = None) -> DataFrame:
     """(reference_id, field, position, support_id): facts first, then records by type preference.
 
     ``supports`` has reference_id, support_id, support_types, text and fact_field (null for
     records). Each support is matched to the field policies by itself; nothing is paired.
+    ``unavailable`` has (reference_id, source_field): what a reference does not tell stays empty.
     """
     entries = []
     for name, policy in FIELD_POLICIES.items():
@@ -218,6 +221,11 @@ def field_plan(supports: DataFrame, unavailable: dict[str, str] | None = None) -
     matched = supports.select("reference_id", "support_id", F.explode(F.array(*entries)).alias("e")).select(
         "reference_id", "support_id", "e.*"
     )
+    if unavailable is not None:
+        sources = {p.source: name for name, p in FIELD_POLICIES.items() if p.source}
+        named = F.create_map(*[F.lit(x) for pair in sources.items() for x in pair])
+        empty = unavailable.select("reference_id", F.try_element_at(named, F.col("source_field")).alias("field"))
+        matched = matched.join(empty.distinct(), ["reference_id", "field"], "left_anti")
     most = max(policy.most for policy in FIELD_POLICIES.values())
     ranked = top_k(
         matched.filter(F.col("order").isNotNull()),
@@ -321,12 +329,14 @@ def _all_matches(text: Column, pattern: str) -> Column:
 
 
 def validate_claims(claims: DataFrame, supports: DataFrame, selected: DataFrame, facts: DataFrame) -> DataFrame:
-    """(claim_id, code, severity, detail) of every rule a claim breaks, without repeats.
+    """(claim_id, code, severity, detail) of every rule a claim breaks, once per code.
 
     claims: claim_id, reference_id (null for the section), field_path, text, support_ids and
-    planned_ids (null without a plan). facts: reference_id, fact_text.
+    planned_ids (null without a plan). facts: reference_id, fact_text. A section claim may use the
+    facts of the references whose records it cites. A number that is not backed counts once per
+    code and claim; ``detail`` shows the smallest.
     """
-    rows = resolve_supports(claims, supports, selected).join(facts, "reference_id", "left")
+    rows = resolve_supports(claims, supports, selected).join(claim_facts(claims, supports, facts), "claim_id", "left")
     rows = rows.withColumns(
         {
             "_text": phrase_form(F.col("text")),
@@ -386,8 +396,11 @@ def validate_claims(claims: DataFrame, supports: DataFrame, selected: DataFrame,
         ),
         rule("WEAK_SOURCE_SUPPORT", has_types & ~done & ~F.array_contains("types", ATTESTED), "WARNING"),
     ]
-    loose = F.array_except("_numbers", numbers(F.col("support_text")))
+    loose = F.array_sort(F.array_except("_numbers", numbers(F.col("support_text"))))
     per_number = F.transform(F.when(filled, loose), lambda n: _finding(number_code(n), "BLOCKING", n))
+    per_number = F.filter(
+        per_number, lambda f, i: F.array_position(F.transform(per_number, lambda g: g["code"]), f["code"]) == i + 1
+    )
     per_id = F.transform(F.when(filled, F.col("id_issues")), lambda i: _finding(i["code"], "BLOCKING", i["id"]))
     empty = F.array().cast("array<struct<code:string,severity:string,detail:string>>")
     findings = F.concat(F.array_compact(F.array(*rules)), F.coalesce(per_number, empty), F.coalesce(per_id, empty))
@@ -400,9 +413,21 @@ def _finding(code: Column, severity: str, detail: Column) -> Column:
     return F.struct(code.alias("code"), F.lit(severity).alias("severity"), detail.alias("detail"))
 
 
-def unknown_facts(claims: DataFrame, known: DataFrame, facts: DataFrame, values: str = "value") -> DataFrame:
+def claim_facts(claims: DataFrame, supports: DataFrame, facts: DataFrame) -> DataFrame:
+    """(claim_id, fact_text): the facts of a claim's reference, or of all references it cites."""
+    own = claims.filter(F.col("reference_id").isNotNull()).select("claim_id", "reference_id")
+    cited = claims.filter(F.col("reference_id").isNull()).select("claim_id", F.explode("support_ids").alias("support_id"))
+    cited = cited.join(supports.select("support_id", "reference_id"), "support_id").select("claim_id", "reference_id")
+    told = own.unionByName(cited.distinct()).join(facts.select("reference_id", "fact_text"), "reference_id")
+    return told.groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_set("fact_text")), " ").alias("fact_text"))
+
+
+def unknown_facts(
+    claims: DataFrame, known: DataFrame, facts: DataFrame, values: str = "value", backing: DataFrame | None = None
+) -> DataFrame:
     """Known catalog values (field, value) that a claim names although its own facts do not.
 
+    ``backing`` (claim_id, support_text) allows what the cited records say.
     A claim is cut into word sequences of the lengths the known values have, and sequences meet
     values by equality, so no claim is ever paired with a value it does not contain.
     """
@@ -428,10 +453,15 @@ def unknown_facts(claims: DataFrame, known: DataFrame, facts: DataFrame, values:
     )
     hit = spoken.join(shaped, "phrase")
     allowed = facts.select("reference_id", phrase_form(F.col("fact_text")).alias("allowed"))
+    padded = F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))
+    if backing is not None:
+        said = backing.select("claim_id", phrase_form(F.col("support_text")).alias("said"))
+        hit = hit.join(said, "claim_id", "left").filter(~F.contains(F.coalesce("said", F.lit("")), padded)).drop("said")
+    name = F.when(F.col("field") == "project_year", "YEAR").otherwise(F.upper("field"))
     return (
         hit.join(allowed, "reference_id", "left")
-        .filter(~F.contains(F.coalesce("allowed", F.lit("")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-        .select("claim_id", "reference_id", F.concat(F.lit("UNSUPPORTED_"), F.upper("field")).alias("code"), F.col(values).alias("detail"))
+        .filter(~F.contains(F.coalesce("allowed", F.lit("")), padded))
+        .select("claim_id", "reference_id", F.concat(F.lit("UNSUPPORTED_"), name).alias("code"), F.col(values).alias("detail"))
         .distinct()
     )
 

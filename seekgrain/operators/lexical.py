@@ -102,7 +102,7 @@ def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def _stopword(term: Column) -> Column:
-    rest = F.substring(term, 2, 1_000_000)
+    rest = F.substring(term, F.lit(2), F.length(term))
     prefixed = F.substring(term, 1, 1).isin(*vocab.ARABIC_PREFIXES) & (F.length(term) > 2)
     return F.when(term.isin(*vocab.STOPWORDS), term).when(
         prefixed & rest.isin(*vocab.STOPWORDS), rest

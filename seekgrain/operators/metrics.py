@@ -92,7 +92,9 @@ def quantiles_by(df: DataFrame, keys: list[str], value: str, **points: float) ->
     no task ever holds the values of a whole group.
     """
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    ranked = row_numbers(rows, [value], "_r", keys)
+    # With a tie-breaker one value that many rows share can be split over slices.
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranked = row_numbers(rows, [value, F.xxhash64("_tie")], "_r", keys)
     if not keys:
         ranked = ranked.withColumn("_all", F.lit(1))
     groups = keys or ["_all"]

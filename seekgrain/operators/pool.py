@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seekgrain.operators.ranking import top_k
 
 POOL_SIZE = 25
-NO_HYBRID_RANK = 999
 
 
 def priority(lane_ranks: DataFrame, query: str, item: str, lanes: list[str], size: int = POOL_SIZE) -> DataFrame:
@@ -20,9 +19,7 @@ def priority(lane_ranks: DataFrame, query: str, item: str, lanes: list[str], siz
     merged = lane_ranks.groupBy(query, item).agg(
         F.min("rank").alias("best_rank"),
         F.count_distinct("lane").alias("n_lanes"),
-        F.coalesce(F.min(F.when(F.col("lane").endswith("hybrid"), F.col("rank"))), F.lit(NO_HYBRID_RANK)).alias(
-            "hybrid_rank"
-        ),
+        F.min(F.when(F.col("lane").endswith("hybrid"), F.col("rank"))).alias("hybrid_rank"),
     )
     joined = merged.join(leads, [query, item], "left").withColumn("_lead", F.coalesce("_lead", F.lit(len(lanes) + 1)))
     ranked = top_k(
@@ -32,7 +29,7 @@ def priority(lane_ranks: DataFrame, query: str, item: str, lanes: list[str], siz
             F.col("_lead"),
             F.when(F.col("_lead") <= len(lanes), 0).otherwise(F.col("best_rank")),
             F.desc("n_lanes"),
-            F.col("hybrid_rank"),
+            F.col("hybrid_rank").asc_nulls_last(),
             F.col(item),
         ],
         size,

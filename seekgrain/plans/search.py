@@ -18,12 +18,13 @@ KEY = "chunk_id"
 @dataclass(frozen=True)
 class Corpus:
     """passages, normalised references, links(chunk_id, reference_id) and, once indexed, the
-    term counts of every reference field."""
+    term counts and the known phrases of every reference field."""
 
     passages: DataFrame
     references: DataFrame
     links: DataFrame
     field_terms: DataFrame | None = None
+    field_phrases: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -71,12 +72,16 @@ def search(
 ) -> Trace:
     """Search ``queries(query_id, query_text, query_vector)``.
 
-    Document frequencies come from the whole corpus; filters only restrict what is ranked.
+    Document frequencies come from the whole corpus; filters only restrict what is ranked. Unusable
+    queries (null, empty, too long, control characters) are not scored; ``outcomes`` names them. A
+    filter value that the catalog does not know raises an error.
     """
-    if preset.field_scoring and corpus.field_terms is None:
+    if preset.field_scoring and (corpus.field_terms is None or corpus.field_phrases is None):
         corpus = index_fields(corpus)
+    queries = queries.filter(gates.query_problem(F.col("query_text"), preset.maximum_query_length).isNull())
     references = corpus.references
     if request is not None:
+        refuse_unknown_values(references, request)
         references = catalog.apply_filters(references, request, catalog.standard_facets())
     links = corpus.links.join(references.select("reference_id"), "reference_id", "left_semi")
     eligible = catalog.secured(corpus.passages).join(links.select(KEY).distinct(), KEY, "left_semi")
@@ -89,7 +94,9 @@ def search(
 
     field_scores = None
     if preset.field_scoring:
-        field_scores = field_lexical(corpus, references, links, meaningful, preset, index.few_query_terms)
+        phrases = lexical.phrase_terms(terms, queries, "query_id", "query_text")
+        phrases = phrases.select("query_id", "term", "category")
+        field_scores = field_lexical(corpus, references, meaningful, phrases, preset, index.few_query_terms)
         field_scores = reliable_checkpoint(field_scores)
         hits = fields.project_to_passages(field_scores, links, "query_id", KEY)
     else:
@@ -115,7 +122,7 @@ def search(
         evidence.mean_of_best(fused.join(links, KEY), ["query_id", "reference_id"], "dense", 5, KEY),
         ["query_id", "reference_id"],
     )
-    groups = attach_lane_agreement(groups, field_scores, preset.agreement_depth)
+    groups = attach_lane_agreement(groups, field_scores, queries, references, preset.agreement_depth)
 
     about = reference_text(references)
     pool = (
@@ -144,21 +151,45 @@ def search(
 
 
 def index_fields(corpus: Corpus) -> Corpus:
-    """Count the terms of every reference field once, for all later searches."""
+    """Count the terms and find the known phrases of every reference field once, for all later searches."""
     valid = corpus.passages.filter(F.coalesce("approved_for_retrieval", F.lit(True)) & evidence.lineage_ok())
-    counts = fields.field_tokens(fields.own_fields(corpus.references), "reference_id").unionByName(
+    own = fields.own_fields(corpus.references)
+    counts = fields.field_tokens(own, "reference_id").unionByName(
         fields.evidence_tokens(valid, corpus.links, KEY, "chunk_text")
     )
-    return replace(corpus, field_terms=reliable_checkpoint(counts))
+    spoken = fields.field_phrases(own, ["reference_id", "field"], "text").unionByName(
+        fields.field_phrases(valid, [KEY], "chunk_text")
+        .join(corpus.links, KEY)
+        .select("reference_id", F.lit("evidence").alias("field"), "term")
+        .distinct()
+    )
+    return replace(corpus, field_terms=reliable_checkpoint(counts), field_phrases=reliable_checkpoint(spoken))
+
+
+def refuse_unknown_values(references: DataFrame, request: catalog.FilterRequest) -> None:
+    """Raise where a requested value is the label of no reference."""
+    facets = catalog.standard_facets()
+    asked = [c for c, values in request.values.items() if any(v.strip() for v in values)]
+    if not asked:
+        return
+    rows = None
+    for category in asked:
+        one = references.select(F.lit(category).alias("category"), F.explode(F.array_compact(facets[category])).alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    labels = rows.withColumn("facet", tx.facet_key("value")).groupBy("category", "facet").agg(F.min("value").alias("value"))
+    catalog.canonical_values(request, labels)
 
 
-def field_lexical(corpus, references, links, meaningful, preset: Preset, few: bool) -> DataFrame:
+def field_lexical(corpus, references, meaningful, phrases, preset: Preset, few: bool) -> DataFrame:
+    """Words are scored; words and known phrases give the exact-match bonus."""
     tokens = corpus.field_terms
     scores = fields.score_fields(
         tokens, references, meaningful, "query_id", "reference_id",
-        k1=preset.k1, b=preset.b, few_query_terms=few,
+        k1=preset.k1, b=preset.b, few_query_terms=few, everything=corpus.references,
     )
-    matches = fields.exact_matches(tokens, references, meaningful, "query_id", "reference_id", few)
+    present = tokens.select("reference_id", "field", "term").unionByName(corpus.field_phrases)
+    asked = meaningful.unionByName(phrases)
+    matches = fields.exact_matches(present, references, asked, "query_id", "reference_id", few)
     return fields.combine(scores, matches, "query_id", "reference_id")
 
 
@@ -179,8 +210,11 @@ def complete_scores(
     )
 
 
-def attach_lane_agreement(groups: DataFrame, field_scores: DataFrame | None, depth: int) -> DataFrame:
-    """1 when both lanes rank the reference within ``depth``."""
+def attach_lane_agreement(
+    groups: DataFrame, field_scores: DataFrame | None, queries: DataFrame, references: DataFrame, depth: int
+) -> DataFrame:
+    """1 when both lanes rank the reference within ``depth``: by field score among all eligible
+    references, by dense score among the grouped ones."""
     blank = F.array().cast("array<string>")
     if field_scores is None:
         return groups.withColumns(
@@ -204,9 +238,11 @@ def attach_lane_agreement(groups: DataFrame, field_scores: DataFrame | None, dep
         }
     ).withColumn("matched_fields", F.coalesce("matched_fields", blank))
 
-    def lane(score: str, name: str) -> DataFrame:
+    everywhere = ranking.zero_filled(field_scores, queries, references, depth, "query_id", "reference_id")
+
+    def lane(rows: DataFrame, score: str, name: str) -> DataFrame:
         best = ranking.top_k(
-            joined.select("query_id", "reference_id", score),
+            rows.select("query_id", "reference_id", score),
             ["query_id"],
             [F.desc(score), F.col("reference_id")],
             depth,
@@ -216,8 +252,8 @@ def attach_lane_agreement(groups: DataFrame, field_scores: DataFrame | None, dep
 
     keys = ["query_id", "reference_id"]
     return (
-        joined.join(lane("field_score", "_f"), keys, "left")
-        .join(lane("best_dense", "_d"), keys, "left")
+        joined.join(lane(everywhere, "score", "_f"), keys, "left")
+        .join(lane(joined, "best_dense", "_d"), keys, "left")
         .withColumn(
             "reference_retriever_agreement", F.coalesce(F.col("_f") * F.col("_d"), F.lit(0))
         )
@@ -273,7 +309,7 @@ def candidate_features(groups, selected, profile, about, eligible) -> DataFrame:
 
 
 def final_order(decided: DataFrame, selected: DataFrame, preset: Preset) -> DataFrame:
-    """Aggregated score desc, dense desc, id; up to the result ceiling per query."""
+    """Every retained reference of every query, ranked by aggregated score, dense score and id."""
     pairs = gates.best_two(selected, ["query_id", "reference_id"], KEY)
     agreement = F.size(
         F.filter(
@@ -288,10 +324,39 @@ def final_order(decided: DataFrame, selected: DataFrame, preset: Preset) -> Data
         "reference_score",
         F.round(gates.strategy_score(preset.aggregation, preset.support_bonus, agreement), 8),
     )
-    return ranking.top_k(
+    return ranking.row_numbers(
         scored,
-        ["query_id"],
         [F.desc("reference_score"), F.desc("best_dense"), F.col("reference_id")],
-        preset.result_ceiling,
         "relevance_rank",
+        ["query_id"],
+    )
+
+
+def result_page(
+    trace: Trace, references: DataFrame, page: int, size: int, mode: str = "relevance", preset: Preset = SELECTED
+) -> DataFrame:
+    """One page of every query's answer in the order of ``mode``; only here is an answer cut."""
+    if not 1 <= size <= preset.largest_page or page < 1:
+        raise ValueError(f"pages have 1 to {preset.largest_page} rows and start at 1")
+    shown = trace.results
+    if mode != "relevance":
+        columns = ["start_year", "end_year", "project_title", "client", "country"]
+        about = references.select("reference_id", *[c for c in columns if c in references.columns])
+        shown = shown.join(about, "reference_id")
+    placed = ranking.row_numbers(shown, gates.sort_order(mode), "place", ["query_id"])
+    return ranking.page_of(placed, page, size, "place")
+
+
+def outcomes(queries: DataFrame, trace: Trace, preset: Preset = SELECTED, size: int = 10) -> DataFrame:
+    """(query_id, outcome, n_candidates, n_relevant, n_pages) of every query, unusable ones included."""
+    found = gates.outcome(trace.decided, "query_id")
+    problem = gates.query_problem(F.col("query_text"), preset.maximum_query_length)
+    rows = queries.select("query_id", problem.alias("problem")).join(found, "query_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_candidates", "n_relevant")})
+    return rows.select(
+        "query_id",
+        F.coalesce("problem", "outcome", F.lit("NO_ELIGIBLE_REFERENCE")).alias("outcome"),
+        "n_candidates",
+        "n_relevant",
+        ranking.page_count(F.col("n_relevant"), size).alias("n_pages"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# The thresholds, depths and weights of the settings classes and both presets.
 @dataclass(frozen=True)
 class TermSettings:
     minimum_idf: float = 0.5
@@ -100,7 +101,7 @@ class Preset:
     agreement_depth: int = 50
     support_bonus: float = 0.0008
     page_sizes: tuple[int, ...] = (10, 20, 50)
-    result_ceiling: int = 500
+    largest_page: int = 500
     maximum_query_length: int = 1000
     terms: TermSettings = field(default_factory=TermSettings)
     relevance: RelevanceSettings = field(default_factory=RelevanceSettings)

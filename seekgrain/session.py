@@ -16,6 +16,7 @@ def build_session(app: str = "seekgrain", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Prune row_number() <= k before the shuffle for deep lists too (Spark's own limit is 1000).
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -52,10 +53,3 @@ def hint_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
-
-
-def allow_rank_pushdown(spark: SparkSession, k: int) -> None:
-    """Let Spark prune ``row_number() <= k`` before the shuffle (its own limit is 1000)."""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key, "1000")) < k:
-        spark.conf.set(key, str(k))

@@ -55,18 +55,16 @@ def reference_table(t: Tables) -> DataFrame:
         F.min(F.year("l_shipdate")).alias("y0"), F.max(F.year("l_shipdate")).alias("y1")
     )
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    first_line = t.documents.select(
-        F.col("doc_id").alias("p_partkey"), F.substring_index("text", "\n", 1).alias("first_line")
-    )
+    about = t.documents.select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("about"))
     return (
         t.part.join(years, F.col("p_partkey") == F.col("l_partkey"), "left")
         .join(places, F.pmod("p_partkey", F.lit(25)) == F.col("n_nationkey"), "left")
-        .join(first_line, "p_partkey", "left")
+        .join(about, "p_partkey", "left")
         .select(
             F.format_string("R%09d", "p_partkey").alias("reference_id"),
             F.col("p_partkey").cast("int").alias("row_number"),
             F.col("p_partkey").cast("string").alias("reference_number"),
-            F.concat_ws(" ", "p_name", "first_line").alias("service_nature"),
+            F.concat_ws(" ", "p_name", "about").alias("service_nature"),
             F.col("p_type").alias("offering"),
             F.col("p_brand").alias("client"),
             F.col("n_name").alias("country"),

@@ -65,9 +65,9 @@ CHECKED_CODES = (
 @query(
     "claim_support_findings",
     f"""WITH {CLAIMS_SQL}
-    SELECT claim_id, CASE WHEN n LIKE '%\\%' ESCAPE '\\' THEN 'UNSUPPORTED_PERCENTAGE'
-      WHEN regexp_full_match(n, '[0-9]{{4}}') AND n::INT BETWEEN 1900 AND 2099 THEN 'UNSUPPORTED_YEAR' ELSE 'UNSUPPORTED_NUMBER' END AS code,
-      'BLOCKING' AS severity, n AS detail FROM nums
+    SELECT claim_id, code, 'BLOCKING' AS severity, n AS detail FROM (SELECT claim_id, n, CASE WHEN n LIKE '%\\%' ESCAPE '\\' THEN 'UNSUPPORTED_PERCENTAGE'
+      WHEN regexp_full_match(n, '[0-9]{{4}}') AND n::INT BETWEEN 1900 AND 2099 THEN 'UNSUPPORTED_YEAR' ELSE 'UNSUPPORTED_NUMBER' END AS code FROM nums)
+      QUALIFY row_number() OVER (PARTITION BY claim_id, code ORDER BY n) = 1
     UNION ALL SELECT claim_id, 'UNKNOWN_SUPPORT_ID', 'BLOCKING', 'S' || cited FROM j WHERE cited IS NOT NULL AND found IS NULL
     UNION ALL SELECT claim_id, 'UNSELECTED_REFERENCE_SUPPORT', 'BLOCKING', 'S' || cited FROM j WHERE support_source = 'src7'
     UNION ALL SELECT claim_id, 'WRONG_REFERENCE_SUPPORT', 'BLOCKING', 'S' || cited FROM j WHERE support_source <> reference_id

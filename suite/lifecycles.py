@@ -292,8 +292,8 @@ def _(t: Tables) -> DataFrame:
 
 
 POOL_SQL = LANE_ENTITIES_SQL + """, lead AS (SELECT item_id, source, min(CASE lane WHEN 'bm25' THEN 1 WHEN 'dense' THEN 2 ELSE 3 END) AS lead FROM ents WHERE rank = 1 GROUP BY ALL),
-m AS (SELECT item_id, source, min(rank) AS best_rank, count(DISTINCT lane) AS n_lanes, coalesce(min(rank) FILTER (lane = 'hybrid'), 999) AS hybrid_rank FROM ents GROUP BY ALL),
-p AS (SELECT m.*, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(lead, 4), CASE WHEN lead IS NULL THEN best_rank ELSE 0 END, n_lanes DESC, hybrid_rank, source) AS pool_position
+m AS (SELECT item_id, source, min(rank) AS best_rank, count(DISTINCT lane) AS n_lanes, min(rank) FILTER (lane = 'hybrid') AS hybrid_rank FROM ents GROUP BY ALL),
+p AS (SELECT m.*, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(lead, 4), CASE WHEN lead IS NULL THEN best_rank ELSE 0 END, n_lanes DESC, hybrid_rank NULLS LAST, source) AS pool_position
   FROM m LEFT JOIN lead USING (item_id, source) QUALIFY pool_position <= 25)"""
 
 
@@ -341,9 +341,8 @@ def _(t: Tables) -> DataFrame:
     ORDER BY n_gibberish DESC, n_repetitive DESC, source LIMIT 15""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = measured(t).select("doc_id", "source", "quality_score", "text_reasons").withColumns(
-        {"lang": F.lit(""), "toxic": F.lit(0)}
-    )
+    rows = measured(t).select("doc_id", "source", "quality_score", "text_reasons")
+    rows = rows.join(t.documents.select("doc_id", "lang"), "doc_id")
     summary = corpus_audit.quality_summary(rows, "source", "lang")
     return corpus_audit.worst_sources(summary).select("source", "n_gibberish", "n_repetitive")
 

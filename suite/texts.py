@@ -160,7 +160,7 @@ def _(t: Tables) -> DataFrame:
         .join(t.documents.select("doc_id", "lang"), "doc_id")
         .join(t.labels.select("doc_id", "toxic"), "doc_id", "left")
     )
-    return corpus_audit.quality_summary(rows, "source", "lang")
+    return corpus_audit.quality_summary(rows, "source", "lang", F.col("toxic") == 1)
 
 
 @query(
