@@ -114,7 +114,31 @@ def _(t: Tables) -> DataFrame:
     return rows.select("claim_id", F.round(grounding.overlap_share(F.col("a"), F.col("b")), 6).alias("covered"))
 
 
-@query("field_support_plan")
+def _sql_words(pattern: str) -> str:
+    """A pattern of word beginnings for SQL, without the look-behind."""
+    words = pattern[pattern.rindex("(?:") + 3 : -1]
+    return f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({words})')"
+
+
+FIELD_PLAN_SQL = f"""WITH r AS (SELECT 'S' || doc_id AS support_id, source AS reference_id, n_chars % 5 AS kind,
+    {_sql_words(grounding.CHALLENGE_PATTERN)} AS challenge, {_sql_words(grounding.OUTCOME_PATTERN)} AS outcome FROM documents),
+  facts AS (SELECT 'F-' || source || '-' || name AS support_id, source AS reference_id, name FROM (SELECT DISTINCT source FROM documents),
+    (VALUES ('mission_title'), ('client'), ('offering'), ('sector')) v(name)),
+  m AS (SELECT reference_id, support_id, 'headline' AS field, 102 AS o, 2 AS most FROM r WHERE kind = 0
+    UNION ALL SELECT reference_id, support_id, 'short_description', 102, 3 FROM r WHERE kind = 0
+    UNION ALL SELECT reference_id, support_id, 'challenge', 101, 1 FROM r WHERE kind = 1 AND challenge
+    UNION ALL SELECT reference_id, support_id, 'contribution', CASE kind WHEN 0 THEN 101 ELSE 103 END, 1 FROM r WHERE kind <= 1
+    UNION ALL SELECT reference_id, support_id, 'realisations', 101, 1 FROM r WHERE kind = 0
+    UNION ALL SELECT reference_id, support_id, 'benefits', 101, 1 FROM r WHERE kind = 0 AND outcome
+    UNION ALL SELECT reference_id, support_id, 'why_relevant', 103, 2 FROM r WHERE kind = 0
+    UNION ALL SELECT reference_id, support_id, 'headline', list_position(['mission_title', 'client'], name), 2 FROM facts WHERE name IN ('mission_title', 'client')
+    UNION ALL SELECT reference_id, support_id, 'short_description', list_position(['mission_title', 'client'], name), 3 FROM facts WHERE name IN ('mission_title', 'client')
+    UNION ALL SELECT reference_id, support_id, 'why_relevant', list_position(['mission_title', 'offering', 'sector'], name), 2 FROM facts WHERE name <> 'client')
+  SELECT reference_id, field, row_number() OVER (PARTITION BY reference_id, field ORDER BY o, support_id) AS position, support_id
+  FROM m QUALIFY position <= most"""
+
+
+@query("field_support_plan", FIELD_PLAN_SQL)
 def _(t: Tables) -> DataFrame:
     records = supports(t).withColumn("fact_field", F.lit(None).cast("string"))
     names = F.array(F.lit("mission_title"), F.lit("client"), F.lit("offering"), F.lit("sector"))

@@ -253,7 +253,32 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.clean("text").alias("c")).select("doc_id", title_cap(F.col("c")).alias("title"))
 
 
-@query("display_titles")
+def _sql_trim(value: str, signs: str, both: bool = False) -> str:
+    return f"regexp_replace({value}, '{'^' + signs + '+|' if both else ''}{signs}+$', '', 'g')"
+
+
+_TITLE_TAIL, _SHORT_TAIL = "[ \\-•|,.;:]", "[ ,;:\\-]"
+_CLAUSES = " ".join(
+    f"WHEN contains(base, '{sep}') AND length({_sql_trim(f"split_part(base, '{sep}', 1)", _TITLE_TAIL, True)}) >= 18 "
+    f"THEN {_sql_trim(f"split_part(base, '{sep}', 1)", _TITLE_TAIL, True)}"
+    for sep in documents.TITLE_SEPARATORS
+    if sep != "\n"
+)
+_CUT = f"""CASE WHEN contains(left(named, 97), ' ') THEN regexp_replace(left(named, 97), ' [^ ]*$', '') ELSE left(named, 97) END"""
+_HEAD = _sql_trim("regexp_replace(left(opening, 52), ' [^ ]*$', '')", _SHORT_TAIL)
+TITLES_SQL = f"""WITH s AS (SELECT doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM documents),
+  b AS (SELECT *, {_sql_trim('squeezed', '[ \\-•|]', True)} AS base,
+    coalesce(nullif(CASE WHEN list_contains({sql_list(tx.NULL_WORDS)}, lower(squeezed)) THEN '' ELSE squeezed END, ''), source) AS told FROM s),
+  c AS (SELECT *, CASE {_CLAUSES} ELSE base END AS chosen,
+    trim(regexp_extract(told, '^(.*?)(?:•|([.!?]) |$)', 1) || regexp_extract(told, '^(.*?)(?:•|([.!?]) |$)', 2)) AS opening FROM b),
+  d AS (SELECT *, CASE WHEN chosen <> '' THEN chosen ELSE source END AS named, {_HEAD} AS head FROM c),
+  e AS (SELECT *, {_sql_trim(_CUT, _TITLE_TAIL)} AS short,
+    {_sql_trim("regexp_replace(head, '(?i)\\s+(?:à|au|aux|de|des|du|d[''’]|en|et|pour|vers)$', '')", _SHORT_TAIL)} AS cut FROM d)
+  SELECT doc_id, CASE WHEN length(named) <= 96 THEN named WHEN short <> '' THEN short ELSE {_sql_trim('left(named, 96)', _TITLE_TAIL)} END AS display_title,
+    CASE WHEN length(opening) <= 52 THEN opening WHEN cut <> '' THEN cut ELSE {_sql_trim('left(opening, 52)', _SHORT_TAIL)} END AS short_title FROM e"""
+
+
+@query("display_titles", TITLES_SQL)
 def _(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id",
