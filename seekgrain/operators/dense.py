@@ -1,9 +1,8 @@
-"""Exact vector scoring: one query as a literal, many queries as a blocked matrix product."""
+"""Exact vector scoring: many queries as a blocked matrix product."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Protocol
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,30 +15,6 @@ from seekgrain.operators.ranking import top_k
 QUERY_BLOCK = 500
 
 
-class QueryEncoder(Protocol):
-    """Anything that turns query texts into unit vectors."""
-
-    def encode(self, texts: Sequence[str]) -> np.ndarray: ...
-
-
-class CachedEncoder:
-    """First-in first-out cache in front of an encoder; checks norm and finiteness."""
-
-    def __init__(self, encoder: QueryEncoder, size: int = 256, prefix: str = "query: "):
-        self.encoder, self.size, self.prefix = encoder, size, prefix
-        self.cache: dict[str, np.ndarray] = {}
-
-    def vector(self, text: str) -> np.ndarray:
-        if text not in self.cache:
-            vector = np.asarray(self.encoder.encode([self.prefix + text])[0], dtype=np.float32)
-            if not np.isfinite(vector).all() or abs(float(np.linalg.norm(vector)) - 1.0) > 1e-3:
-                raise ValueError("query vector must be finite and of unit length")
-            if len(self.cache) >= self.size:
-                self.cache.pop(next(iter(self.cache)))
-            self.cache[text] = vector
-        return self.cache[text]
-
-
 def inner_product(left: Column, right: Column) -> Column:
     return F.aggregate(
         F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")),
@@ -52,12 +27,6 @@ def is_finite_vector(vector: Column) -> Column:
     return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def score_one(passages: DataFrame, vector: str, query_vector: Sequence[float]) -> DataFrame:
-    """Score all passages against one query vector, inside the JVM."""
-    literal = F.array(*[F.lit(float(x)) for x in query_vector])
-    return passages.withColumn("score", F.round(inner_product(F.col(vector), literal), 6))
-
-
 def score_many(
     passages: DataFrame,
     queries: DataFrame,
