@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekgrain.llm.common import components, counted_broadcast, written
@@ -379,6 +379,15 @@ def _members(width: int):
     return run
 
 
+def one_of_equal_lists(blocks: DataFrame) -> DataFrame:
+    """The blocks of ``blocks(block, node)`` with two nodes or more, one of those that have the same nodes."""
+    lists = blocks.groupBy("block").agg(
+        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+        F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"),
+    )
+    return lists.filter("low <> high").groupBy("x", "y", "c").agg(F.min("block").alias("block")).select("block")
+
+
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -424,8 +433,15 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     inside = members.join(buckets, "token").withColumn("parts", F.ceil(F.col("c") / BLOCK_ROWS))
     inside = inside.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     inside = written(inside.select("token", "node", "part", "parts"))
-    block = F.xxhash64("token", "part").alias("block")
-    seen = inside.join(reps.select("node", "n", "signature"), "node").select("token", "part", block, "node", "n", "signature")
+    # In a block, rows that no other one is near enough in size cannot link; the nearest is next to them.
+    by_size = Window.partitionBy("token", "part").orderBy("n", "node")
+    sized = inside.join(reps.select("node", "n"), "node").select(
+        "token", "part", "node", "n", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above")
+    )
+    close = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
+    near = written(sized.filter(close).select(F.xxhash64("token", "part").alias("block"), "node"))
+    near = near.join(one_of_equal_lists(near), "block", "left_semi")
+    seen = near.join(reps.select("node", "n", "signature"), "node")
     forest = seen.repartition("block").sortWithinPartitions("block", "n").select("block", "node", "n", "signature")
     forest = written(forest.mapInArrow(_forest_edges(percent), "block long, a long, b long, more boolean"))
     pairs = written(forest.select("a", "b").distinct())
@@ -444,14 +460,12 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
         known = big.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         met = forest.join(open_blocks, "block", "left_semi").select("block", F.explode(F.array("a", "b")).alias("node"))
         met = written(met.distinct())
-        # Blocks that met the same nodes are one.
-        lists = met.groupBy("block").agg(
-            F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count("*").alias("c")
-        )
-        met = met.join(lists.groupBy("x", "y", "c").agg(F.min("block").alias("block")).select("block"), "block", "left_semi")
+        met = met.join(one_of_equal_lists(met), "block", "left_semi")
         again = met.join(labels, "node", "left").select(
             "block", "node", F.coalesce("component", "node").alias("component"), F.lit(2).alias("side")
         )
+        apart = again.groupBy("block").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
+        again = again.join(apart.select("block"), "block", "left_semi")
         several = known.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h"))
         split = known.join(several.filter("l <> h").select("token"), "token", "left_semi")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

@@ -30,7 +30,8 @@ CHUNK_CHARS = 1 << 16
 #: Characters that are segmented in one go; longer runs without a sure boundary are cut by matrices.
 LONG = 256
 UNIT = 1 << 16
-RUN_BYTES = 1 << 23
+#: Texts are encoded in runs of about this many bytes; the lattice of a run takes some 60 bytes per byte.
+RUN_BYTES = 1 << 21
 SPACE_SIGN = "▁"
 NEVER = np.int64(1) << 60
 SLOT_BITS = 20
