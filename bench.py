@@ -27,6 +27,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
+            "seekgrain.spread": cores,
             "spark.sql.files.maxPartitionBytes": "4m",
             "spark.sql.files.openCostInBytes": "1m",
         },

@@ -16,13 +16,18 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The given parquet tables of one scale, by name."""
+    """The given parquet tables of one scale, by name.
+
+    A small file is one row group and so one task; ``seekgrain.spread`` deals its rows out to that many.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        spread = int(self.spark.conf.get("seekgrain.spread", "0"))
+        return table.repartition(spread) if spread and name in ("documents", "pages") else table
 
 
 def _wide_integers(df: DataFrame) -> DataFrame:
