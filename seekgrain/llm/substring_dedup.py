@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekgrain.llm.common import counted_broadcast, written
+from seekgrain.llm.common import written
 from seekgrain.llm.jaccard_join import NAMELESS, whole_groups
 from seekgrain.llm.shingles import mixed, shingle_hashes, text_runs, word_hashes
 
@@ -30,6 +30,8 @@ FUNCTIONS = 4
 #: Hash functions that must agree on a place.
 ENOUGH = 2
 PERCENT = 80
+#: Spans of all documents, two numbers each, up to which they are broadcast to the texts; else both shuffle.
+BROADCAST_SPANS = 2_000_000
 WINDOW_SCHEMA = "key long, node long, place long"
 
 
@@ -117,10 +119,13 @@ def _passages(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
-            node, other, shift, low, high = (table.column(c).to_numpy() for c in ("node", "other", "shift", "low", "high"))
+            columns = ("node", "other", "shift", "low", "high", "function")
+            node, other, shift, low, high, function = (table.column(c).to_numpy() for c in columns)
             of_node = np.cumsum(np.r_[False, node[1:] != node[:-1]])
             span = int(high.max()) + 2
-            group, first, last = _regions(of_node, low, high, ENOUGH)
+            # Every function once, whatever its partners; then the places that enough of them share.
+            group, first, last = _regions(of_node * FUNCTIONS + function, low, high, 1)
+            group, first, last = _regions(group // FUNCTIONS, first, last, ENOUGH)
             if not len(group):
                 continue
             begin, end = group * span + first, group * span + last
@@ -151,6 +156,7 @@ def _slices(shingle: int):
                 rows = []
                 for at, (node, wanted) in enumerate(zip(part.column("node").to_pylist(), part.column("wanted").to_pylist())):
                     own = tokens[offsets[at] : offsets[at + 1]]
+                    own = own.astype(np.uint32)  # half of each hash tells the few hundred shingles of a passage apart
                     rows += [(node, w["start"], w["stop"], own[w["start"] : w["stop"]].tobytes()) for w in wanted]
                 columns = list(zip(*rows)) or [[], [], [], []]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -171,15 +177,32 @@ def verified_parts(x: np.ndarray, y: np.ndarray, length: int, percent: int) -> l
     n = min(len(x), len(y))
     if n < length:
         return []
-    if similar(x[:n], y[:n], percent):
+    x, y = x[:n], y[:n]
+    if similar(x, y, percent):
         return [(0, n)]
+
+    def in_window(marks: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(marks)]
+        return total[length:] - total[:-length]
+
+    def enough(common: np.ndarray) -> np.ndarray:
+        return 100 * common >= percent * (2 * length - common)
+
+    if len(np.unique(x)) == len(np.unique(y)) == n:
+        # Without repeats, shingles at equal places are common ones, and no window has more than occur at all.
+        ok = enough(in_window(x == y))
+        open_ = enough(np.minimum(in_window(np.isin(x, y)), in_window(np.isin(y, x)))) & ~ok
+    else:
+        ok, open_ = np.zeros(n - length + 1, bool), np.ones(n - length + 1, bool)
+    for s in np.flatnonzero(open_).tolist():
+        ok[s] = similar(x[s : s + length], y[s : s + length], percent)
+    edges = np.flatnonzero(np.diff(np.r_[False, ok, False]))
     parts: list[tuple[int, int]] = []
-    for s in range(n - length + 1):
-        if similar(x[s : s + length], y[s : s + length], percent):
-            if parts and s <= parts[-1][1]:
-                parts[-1] = (parts[-1][0], s + length)
-            else:
-                parts.append((s, s + length))
+    for s, e in zip(edges[::2].tolist(), (edges[1::2] - 1 + length).tolist()):
+        if parts and s <= parts[-1][1]:
+            parts[-1] = (parts[-1][0], e)
+        else:
+            parts.append((s, e))
     return parts
 
 
@@ -190,7 +213,7 @@ def _verified(length: int, percent: int):
         for batch in batches:
             out = []
             for node, start, other, other_start, x, y in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                for s, e in verified_parts(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), length, percent):
+                for s, e in verified_parts(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), length, percent):
                     out.append((node, start + s, start + e, other))
                     out.append((other, other_start + s, other_start + e, node))
             columns = list(zip(*out)) or [[], [], [], []]
@@ -216,7 +239,7 @@ def repeated_passages(
         raise ValueError("passages of shingle to shingle + 126 words")
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(text), 2)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), nameless).alias("node"), F.col(text).alias("text"))
-    windows = written(rows.mapInArrow(_windows(shingle, length), WINDOW_SCHEMA))
+    windows = rows.mapInArrow(_windows(shingle, length), WINDOW_SCHEMA)  # cheaper made twice than stored
     ends = windows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     shared = written(windows.join(written(ends), "key"))
     partners = shared.groupBy("key").agg(
@@ -239,8 +262,15 @@ def repeated_passages(
     pairs = met.select("node", "place", F.inline(both_ends)).filter("node <> other").select(
         "node", "other", shift.alias("shift"),
         F.greatest(first, their_first - shift).alias("low"), F.least(last, their_last - shift).alias("high"),
+        F.col("place").bitwiseAND(15).alias("function"),
+    )
+    # A pair is looked at from its larger id, whichever side found it.
+    turned = F.when(F.col("node") < F.col("other"), F.col("shift")).otherwise(0)
+    pairs = pairs.filter("low <= high").select(
+        F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"),
+        F.when(F.col("node") < F.col("other"), -F.col("shift")).otherwise(F.col("shift")).alias("shift"),
+        (F.col("low") + turned).alias("low"), (F.col("high") + turned).alias("high"), "function",
     )
-    pairs = pairs.filter("low <= high").select("node", "other", "shift", "low", "high")
     pairs = pairs.repartition("node").sortWithinPartitions("node")
     passages = written(
         pairs.mapInArrow(
@@ -248,8 +278,10 @@ def repeated_passages(
         )
     )
     wanted = passages.select("node", "start", "stop").union(passages.select("other", "other_start", "other_stop")).distinct()
-    wanted = written(wanted.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("wanted")))
-    texts = rows.join(counted_broadcast(wanted, 100_000), "node")
+    wanted = written(wanted)
+    few = wanted.count() <= BROADCAST_SPANS
+    wanted = wanted.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("wanted"))
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "node")
     slices = written(texts.mapInArrow(_slices(shingle), "node long, start long, stop long, tokens binary"))
     theirs = slices.select(
         F.col("node").alias("other"), F.col("start").alias("other_start"), F.col("stop").alias("other_stop"),
