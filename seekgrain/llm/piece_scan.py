@@ -30,8 +30,8 @@ CHUNK_CHARS = 1 << 16
 #: Characters that are segmented in one go; longer runs without a sure boundary are cut by matrices.
 LONG = 256
 UNIT = 1 << 16
-#: Texts are encoded in runs of about this many bytes; the lattice of a run takes some 60 bytes per byte.
-RUN_BYTES = 1 << 21
+#: Texts are encoded in runs of about this many bytes, and their distinct stretches in lattices of so many.
+RUN_BYTES, LATTICE_STRETCHES = 1 << 22, 1 << 15
 SPACE_SIGN = "▁"
 NEVER = np.int64(1) << 60
 SLOT_BITS = 20
@@ -264,6 +264,21 @@ def sure_boundaries(pieces: Pieces, data: np.ndarray, starts: np.ndarray) -> np.
     return np.flatnonzero(cut)
 
 
+def gather(values: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of the lists ``rows`` picks out of consecutive lists with ``counts`` values."""
+    begins = np.cumsum(counts) - counts
+    size = counts[rows]
+    total = np.r_[0, np.cumsum(size)]
+    return values[np.repeat(begins[rows] - total[:-1], size) + np.arange(total[-1])], total
+
+
+def decode_flat(pieces: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of lists of ids, the space that the model puts first still there."""
+    sizes = np.array([len(t) for t in pieces.texts], np.int64)
+    data, at = gather(np.frombuffer(b"".join(pieces.texts), np.uint8), sizes, ids)
+    return data, at[offsets]
+
+
 def encode_texts(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of all texts. Stretches between sure boundaries are segmented once each."""
     column = pa.array(texts, pa.large_string())
@@ -275,11 +290,11 @@ def encode_texts(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     stretches = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.r_[cuts, len(data)].astype(np.int64)), body)
     coded = stretches.dictionary_encode()
-    ids, offsets = segment(pieces, coded.dictionary.to_pylist())
-    code = coded.indices.to_numpy()
-    size = np.diff(offsets)[code]
-    total = np.r_[0, np.cumsum(size)]
-    gathered = ids[np.repeat(offsets[:-1][code] - total[:-1], size) + np.arange(total[-1])]
+    distinct, found, counts = coded.dictionary, [], []
+    for start in range(0, len(distinct), LATTICE_STRETCHES):
+        ids, offsets = segment(pieces, distinct.slice(start, LATTICE_STRETCHES).to_pylist())
+        found.append(ids), counts.append(np.diff(offsets))
+    gathered, total = gather(np.concatenate(found), np.concatenate(counts), coded.indices.to_numpy())
     return gathered, total[np.searchsorted(cuts, ends)]
 
 
@@ -325,18 +340,27 @@ def _with_prefix(pieces: Pieces, text: str | None) -> str:
     return (" " + text if pieces.dummy_prefix else text) if text else ""
 
 
-def _encoded(column: str, result: str, pieces, prefix: bool):
+def _comes_back(pieces: Pieces, texts: list[str], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    data, at = decode_flat(pieces, ids, offsets)
+    return np.array([data[s:e].tobytes() == t.encode() for t, s, e in zip(texts, at[:-1], at[1:])], bool)
+
+
+def _encoded(column: str, result: str, pieces, prefix: bool, check: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         for batch in batches:
             for part in text_runs(batch, column, RUN_BYTES):
                 texts = part.column(column).to_pylist()
-                ids, offsets = encode_texts(known, [_with_prefix(known, t) if prefix else t or "" for t in texts])
+                whole = [_with_prefix(known, t) if prefix else t or "" for t in texts]
+                ids, offsets = encode_texts(known, whole)
                 lists = pa.ListArray.from_arrays(
                     pa.array(offsets.astype(np.int32), mask=np.r_[np.array([t is None for t in texts], bool), False]),
                     pa.array(ids, pa.int32()),
                 )
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, result])
+                added = {result: lists}
+                if check:
+                    added[check] = pa.array(_comes_back(known, whole, ids, offsets))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added.values()], names=[*part.schema.names, *added])
 
     return run
 
@@ -353,19 +377,24 @@ def _matrices(pieces):
     return run
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", result: str = "ids", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(
+    docs: DataFrame, pieces: Pieces, text: str = "text", result: str = "ids", chunk_chars: int = CHUNK_CHARS,
+    check: str | None = None,
+) -> DataFrame:
     """``docs`` with array<int> ``result``: the piece ids of the best segmentation of every whole text.
 
     Null gives null, an empty text an empty array; a text is otherwise preceded by a space where the model
     says so. Rows are encoded one by one, so repeats get the same ids; an empty table stays empty; a column
     named like the result is replaced. Texts of more than ``chunk_chars`` characters go through the scan.
+    ``check`` names a boolean column: the ids decode to exactly the text.
     """
     spark = docs.sparkSession
-    docs = docs.drop(result)
+    docs = docs.drop(result, *([check] if check else []))
     shared = spark.sparkContext.broadcast(pieces)
-    schema = T.StructType([*docs.schema.fields, T.StructField(result, T.ArrayType(T.IntegerType()))])
+    fields = [*docs.schema.fields, T.StructField(result, T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, *([T.StructField(check, T.BooleanType())] if check else [])])
     giant = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
-    short = docs.filter(~giant).mapInArrow(_encoded(text, result, shared, True), schema)
+    short = docs.filter(~giant).mapInArrow(_encoded(text, result, shared, True, check), schema)
     row = unused(docs, "_row")
     rows = written(docs.filter(giant).withColumn(row, F.monotonically_increasing_id()))
     if rows.isEmpty():
@@ -395,8 +424,11 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", result: str = "i
     coded = own.mapInArrow(_encoded("chunk", "part", shared, False), "row long, no long, chunk string, part array<int>")
     joined = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "part"))).alias("parts"))
     joined = joined.select(F.col("row").alias(row), F.flatten("parts.part").alias(result))
-    long = rows.join(joined, row).select(*docs.columns, result)
-    return short.unionByName(long)
+    long = rows.join(joined, row)
+    if check:
+        again = unused(long, "_again")
+        long = decode(long, pieces, result, again).withColumn(check, F.col(again).eqNullSafe(F.col(text)))
+    return short.unionByName(long.select(*schema.names))
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", result: str = "text") -> DataFrame:
@@ -406,13 +438,16 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", result: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        table, strip = known.texts, 1 if known.dummy_prefix else 0
+        strip = 1 if known.dummy_prefix else 0
         for batch in batches:
-            texts = [
-                None if row is None else b"".join(map(table.__getitem__, row))[strip:].decode("utf-8", "replace")
-                for row in batch.column(ids).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, result])
+            lists = batch.column(ids)
+            flat, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).fill_null(0).to_numpy()
+            if len(flat) and not 0 <= flat.min() <= flat.max() < len(known.texts):
+                raise ValueError("an id is not in the model")
+            data, at = decode_flat(known, flat, np.r_[0, np.cumsum(sizes)])
+            texts = [data[s:e].tobytes()[strip:].decode("utf-8", "replace") for s, e in zip(at[:-1], at[1:])]
+            texts = pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, result])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(result, T.StringType())])
     return docs.mapInArrow(run, schema)

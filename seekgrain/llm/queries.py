@@ -190,10 +190,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     pieces = piece_scan.load_pieces(piece_scan.default_model(spark))
     texts = documents(spark, folder).select("doc_id", "text")
-    back = piece_scan.decode(piece_scan.encode(texts, pieces), pieces, "ids", "decoded")
-    return back.select(
+    coded = piece_scan.encode(texts, pieces, check="round_trip")
+    return coded.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
         "ids",
-        F.expr("decoded <=> text").alias("round_trip"),
+        "round_trip",
     )

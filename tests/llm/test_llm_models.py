@@ -150,6 +150,9 @@ def test_round_trip_and_chunks(spark, pieces):
     assert whole[None] is None and whole[0] == []
     cut = piece_scan.encode(docs, pieces, chunk_chars=64)
     assert len(cut.collect()) == len(rows)
+    for chunk in (1 << 16, 64):
+        checked = piece_scan.encode(docs, pieces, chunk_chars=chunk, check="same").collect()
+        assert all(r.same for r in checked) and len(checked) == len(rows)
     for frame in (piece_scan.encode(docs, pieces), cut):
         back = piece_scan.decode(frame, pieces, "ids", "again").collect()
         assert all(r.again == r.text for r in back) and len(back) == len(rows)
