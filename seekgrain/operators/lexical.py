@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +88,18 @@ def build_index(
     )
 
 
+def asked_postings(index: LexicalIndex, query_terms: DataFrame) -> LexicalIndex:
+    """A stored index cut down to the postings of ``query_terms(term)``; nothing of the corpus is read.
+
+    Postings are stored in term order, so other row groups are skipped, and every posting of an asked
+    term is there, so document frequencies still describe the whole corpus.
+    """
+    few = is_bounded(query_terms, BROADCAST_ROWS)
+    wanted = query_terms.select("term").distinct()
+    kept = index.postings.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    return replace(index, postings=reliable_checkpoint(kept), few_query_terms=few)
+
+
 def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
     """(query, position, raw, term): one row per distinct folded token, first position kept."""
     composed = tx.compatible(text)

@@ -25,6 +25,8 @@ class Corpus:
     links: DataFrame
     field_terms: DataFrame | None = None
     field_phrases: DataFrame | None = None
+    #: A stored index of all passages (``sinks.read_index``); without one each search tokenises them.
+    index: lexical.LexicalIndex | None = None
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,10 @@ def search(
     eligible = catalog.secured(corpus.passages).join(links.select(KEY).distinct(), KEY, "left_semi")
 
     tokens = lexical.query_tokens(queries, "query_id", "query_text")
-    index = lexical.build_index(corpus.passages, KEY, "chunk_text", tokens)
+    if corpus.index is not None:
+        index = lexical.asked_postings(corpus.index, tokens)
+    else:
+        index = lexical.build_index(corpus.passages, KEY, "chunk_text", tokens)
     terms = lexical.analyze_terms(tokens, index.terms(), "query_id", preset.terms)
     meaningful = terms.filter("status = 'meaningful'").select("query_id", "term", "category")
     profile = reliable_checkpoint(query_profile(queries, terms))

@@ -44,9 +44,12 @@ def read_pinned(spark: SparkSession, path: str, expected: Mapping[str, str], sch
     return read_parquet(spark, path, schema)
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, missing values as the empty string, no value coercion, no BOM."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as strings, missing values as the empty string, no value coercion, no BOM.
+
+    Quoted line breaks need ``multi_line``, which makes every file one task.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     renamed = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     return renamed.na.fill("")
 

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seekgrain.operators import catalog, fields, grounding, metrics, pool
+from seekgrain.operators import catalog, fields, grounding, lexical, metrics, pool
 from seekgrain.plans import search as plan
 from seekgrain.presets import SELECTED
+from seekgrain.sources import sinks
 
 
 def test_an_answer_has_every_retained_reference(spark):
@@ -116,3 +117,18 @@ def test_quantiles_of_one_value(spark):
     frame = spark.createDataFrame([("a", 0.0)] * 500 + [("a", 1.0)] * 3, "k string, v double")
     row = metrics.quantiles_by(frame, ["k"], "v", p50=0.5, top=1.0).first()
     assert (row.p50, row.top) == (0.0, 1.0)
+
+
+def test_a_stored_index_scores_like_a_fresh_one(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "Kong API gateway for a bank"), (1, "API strategy"), (2, "network audit"), (3, "")], "doc_id long, text string")
+    asked = lexical.query_tokens(spark.createDataFrame([(1, "API gateway"), (2, "audit")], "q int, t string"), "q", "t")
+    sinks.write_index(lexical.build_index(docs, "doc_id", "text"), str(tmp_path / "index"))
+    stored = lexical.asked_postings(sinks.read_index(spark, str(tmp_path / "index"), "doc_id"), asked)
+    fresh = lexical.build_index(docs, "doc_id", "text", asked)
+    assert "text" not in stored.postings.columns and stored.postings.count() == 4
+
+    def pick(index):
+        scores = sorted(map(tuple, lexical.score(index, asked.select("q", "term"), "q").collect()))
+        return scores, sorted(map(tuple, index.terms().collect()))
+
+    assert pick(stored) == pick(fresh)

@@ -102,3 +102,9 @@ def test_csv_sink_quotes_everything(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([("a", 1)], "x string, y int").coalesce(1), str(tmp_path / "c"), bom=True)
     text = next((tmp_path / "c").glob("part-*.csv")).read_text(encoding="utf-8")
     assert text == '"﻿x","y"\n"a","1"\n'
+
+
+def test_csv_line_breaks(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,note\n1,"a\nb"\n', encoding="utf-8")
+    assert [tuple(r) for r in tables.read_csv_strings(spark, str(path), multi_line=True).collect()] == [("1", "a\nb")]
