@@ -259,18 +259,15 @@ def repeated_passages(
     first, centre, last = fields(F.col("place"))
     their_first, their_centre, their_last = fields(F.col("theirs"))
     shift = their_centre - centre
-    pairs = met.select("node", "place", F.inline(both_ends)).filter("node <> other").select(
+    # The first window of the smallest document is met by all others; only its repeats look for a partner.
+    looking = met.filter("node <> low OR place <> low_place")
+    pairs = looking.select("node", "place", F.inline(both_ends)).filter("node <> other").select(
         "node", "other", shift.alias("shift"),
         F.greatest(first, their_first - shift).alias("low"), F.least(last, their_last - shift).alias("high"),
         F.col("place").bitwiseAND(15).alias("function"),
     )
-    # A pair is looked at from its larger id, whichever side found it.
-    turned = F.when(F.col("node") < F.col("other"), F.col("shift")).otherwise(0)
-    pairs = pairs.filter("low <= high").select(
-        F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"),
-        F.when(F.col("node") < F.col("other"), -F.col("shift")).otherwise(F.col("shift")).alias("shift"),
-        (F.col("low") + turned).alias("low"), (F.col("high") + turned).alias("high"), "function",
-    )
+    # All edges of a document start from its own windows, so its length bounds them.
+    pairs = pairs.filter("low <= high")
     pairs = pairs.repartition("node").sortWithinPartitions("node")
     passages = written(
         pairs.mapInArrow(
