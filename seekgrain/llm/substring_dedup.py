@@ -4,10 +4,12 @@ A document is a sequence of hashed word shingles. Under one hash function the su
 minimum is the same token form a node of the Cartesian tree over the token hashes. Only nodes wide
 enough to hold a passage matter: those are the runs of equal minima of a sliding window of passage
 length, and there are about 2 / length of them per token. Nodes of different documents with equal
-minima form a group. Every window is set against two windows of its group, the first ones of the
-smallest and of the largest document, so a group of m windows gives 2 m pairs at most.
+minima form a group. At first every window is set against two windows of its group, the first ones of
+the smallest and of the largest document, so a group of m windows gives 2 m pairs at most.
 The intervals of all hash functions are laid over each other; where enough functions find a partner,
 the intervals are joined per partner and alignment, and these candidates verified on their shingles.
+Windows with starts that are in no verified passage then walk through their whole group, block against
+block, until these starts are verified or have met every other window.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekgrain.llm.common import written
-from seekgrain.llm.jaccard_join import NAMELESS, whole_groups
+from seekgrain.llm.jaccard_join import NAMELESS, least_overlap, whole_groups
 from seekgrain.llm.shingles import mixed, shingle_hashes, text_runs, word_hashes
 
 SHINGLE = 5
@@ -32,6 +34,8 @@ ENOUGH = 2
 PERCENT = 80
 #: Spans of all documents, two numbers each, up to which they are broadcast to the texts; else both shuffle.
 BROADCAST_SPANS = 2_000_000
+#: Windows of a group that look for partners at once, and that they are set against at once.
+BLOCK_ROWS = 2048
 WINDOW_SCHEMA = "key long, node long, place long"
 
 
@@ -222,6 +226,229 @@ def _verified(length: int, percent: int):
     return run
 
 
+def _open_windows(length: int):
+    """Windows with starts, low to high, in no verified passage and where ENOUGH functions have a group; spans have place -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "node"):
+            node, key, place, start, stop = (table.column(c).to_numpy() for c in ("node", "key", "place", "start", "stop"))
+            begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            own = place >= 0
+            low = np.where(own, place >> 18, start)
+            high = np.where(own, low + (place >> 4 & 127), stop - length)
+            room = np.maximum.reduceat(high, begin) + 2
+            base = np.repeat(np.r_[0, np.cumsum(room)[:-1]], np.diff(np.r_[begin, len(node)]))
+
+            def cover(rows: np.ndarray) -> np.ndarray:
+                step = np.bincount((base + low)[rows], minlength=room.sum()) - np.bincount((base + high)[rows] + 1, minlength=room.sum())
+                return np.cumsum(step)
+
+            # The windows of one function do not overlap, so every one that covers a start is another function.
+            starts = np.flatnonzero((cover(own) >= ENOUGH) & (cover(~own) == 0))
+            first = np.searchsorted(starts, base + low)
+            last = np.searchsorted(starts, base + high, side="right") - 1
+            rows = np.flatnonzero(own & (first <= last))
+            low, high = starts[first[rows]] - base[rows], starts[last[rows]] - base[rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (key[rows], node[rows], place[rows], low, high)], names=["key", "node", "place", "low", "high"]
+            )
+
+    return run
+
+
+def _may_be_similar(own, news, kinds, theirs, inside, their_kinds, exact, length: int, percent: int) -> np.ndarray:
+    """Rows of ``theirs``, aligned with ``own`` where ``inside``, that verified_parts may accept.
+
+    news(start, place): the first places of shingles in the window of a start; kinds: distinct shingles per start;
+    exact: neither side repeats a shingle.
+    """
+    distinct, of_own = np.unique(own, return_inverse=True)
+    at = np.minimum(np.searchsorted(distinct, theirs), len(distinct) - 1)
+    hit = inside & (distinct[at] == theirs)
+    met = np.zeros((len(theirs), len(distinct)), bool)
+    met[np.broadcast_to(np.arange(len(theirs))[:, None], hit.shape)[hit], at[hit]] = True
+    common = np.rint(met[:, of_own].astype(np.float32) @ news.T.astype(np.float32)).astype(np.int64)
+    whole = inside[:, : len(kinds)] & inside[:, length - 1 :]
+    close = (whole & ((100 + percent) * common >= percent * (kinds + their_kinds))).any(axis=1)
+    wide = np.where(exact, 2 * inside.sum(axis=1), (whole * kinds).max(axis=1) + (whole * their_kinds).max(axis=1))
+    return close | ((100 + percent) * met.sum(axis=1) >= percent * wide)
+
+
+def _met_in_blocks(length: int, percent: int):
+    """Verified (node, start, stop, other, shift) of the windows that look (low >= 0) in every block against the other ones."""
+    names = ["node", "start", "stop", "other", "shift"]
+    needed = int(least_overlap(np.int64(length), np.int64(length), percent))
+    fewest = -(-percent * length // 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "block"):
+            columns = ("block", "node", "place", "low", "high")
+            block, node, place, low, high = (table.column(c).to_numpy() for c in columns)
+            parts = [np.frombuffer(b, np.uint32) for b in table.column("tokens").to_pylist()]
+            n = np.array([len(p) for p in parts], np.int64)
+            offsets, tokens = np.r_[0, np.cumsum(n)], np.concatenate(parts)
+            begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            end = np.r_[begin[1:], len(block)]
+            group = np.repeat(np.arange(len(begin)), end - begin)
+            first = place >> 18
+            centre = first + (place >> 11 & 127)
+            last = first + (place >> 4 & 127)
+            looks, row = low >= 0, np.repeat(np.arange(len(n)), n)
+            # A shingle of a looking window is known when another document of its block has it.
+            mark = mixed(tokens.astype(np.uint64) | group[row].astype(np.uint64) << np.uint64(32))
+            theirs = np.flatnonzero(~looks[row])
+            theirs = theirs[np.lexsort((node[row[theirs]], mark[theirs]))]
+            if not len(theirs):
+                continue
+            opens = np.flatnonzero(np.r_[True, mark[theirs][1:] != mark[theirs][:-1]])
+            marks, nodes = mark[theirs[opens]], node[row[theirs]]
+            least, most = nodes[opens], nodes[np.r_[opens[1:], len(theirs)] - 1]
+            at = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
+            known = (marks[at] == mark) & ((least[at] != node[row]) | (most[at] != node[row]))
+            total = np.r_[0, np.cumsum(known)]
+            order = np.lexsort((tokens, row))
+            again = (tokens[order][1:] == tokens[order][:-1]) & (row[order][1:] == row[order][:-1])
+            repeats = np.bincount(row[order][1:][again], minlength=len(n)) > 0
+            # How far back a shingle stood before, and the distinct shingles of the window at every place.
+            back = np.full(len(tokens), length)
+            back[order[1:][again]] = np.minimum(order[1:][again] - order[:-1][again], length)
+            place_in = np.arange(len(tokens))
+            kinds = np.bincount(np.maximum(place_in - back + 1, 0), minlength=len(tokens) + 1) - np.bincount(place_in + 1, minlength=len(tokens) + 1)
+            kinds = np.cumsum(kinds)
+            bits = np.zeros((len(n), 256), bool)
+            bits[row, (tokens & np.uint32(255)).astype(np.int64)] = True
+            bits = np.packbits(bits, axis=1).view(np.uint64)
+            out = []
+            for x in np.flatnonzero(looks).tolist():
+                s, e, a, z = begin[group[x]], end[group[x]], low[x], high[x]
+                from_ = offsets[x] + a - first[x] + np.arange(z - a + 1)
+                if not repeats[x] and (total[from_ + length] - total[from_]).max() < fewest:
+                    continue
+                own = tokens[from_[0] : from_[-1] + length]
+                other = s + np.flatnonzero(~looks[s:e] & (node[s:e] != node[x]))
+                shift = centre[other] - centre[x]
+                lo, hi = np.maximum(a, first[other] - shift), np.minimum(z, last[other] - shift)
+                mine = np.zeros(256, bool)
+                mine[own & np.uint32(255)] = True
+                mine = np.packbits(mine).view(np.uint64)
+                may = len(own) - np.bitwise_count(mine & ~bits[other]).sum(axis=1, dtype=np.int64)
+                need = 0 if repeats[x] else np.where(repeats[other], fewest, needed)
+                fits = np.flatnonzero((lo <= hi) & (may >= need))
+                if not len(fits):
+                    continue
+                cell, start = np.arange(len(own)), np.arange(z - a + 1)
+                inside = (cell >= lo[fits, None] - a) & (cell < hi[fits, None] - a + length)
+                to = (offsets[other] - first[other] + shift + a)[fits, None] + cell
+                theirs_at = np.where(inside, to, 0)
+                news = (cell >= start[:, None]) & (cell < start[:, None] + length) & (cell - back[from_[0] + cell] < start[:, None])
+                exact = ~repeats[x] & ~repeats[other[fits]]
+                fits = fits[_may_be_similar(
+                    own, news, kinds[from_], tokens[theirs_at], inside, kinds[theirs_at[:, : z - a + 1]], exact, length, percent
+                )]
+                left = np.ones(z - a + 1, bool)
+                for y in fits[np.argsort(-may[fits], kind="stable")].tolist():
+                    if not left[lo[y] - a : hi[y] - a + 1].any():
+                        continue
+                    their = other[y]
+                    to = offsets[their] + lo[y] + shift[y] - first[their]
+                    wide = hi[y] - lo[y] + length
+                    for p, q in verified_parts(own[lo[y] - a :][:wide], tokens[to : to + wide], length, percent):
+                        out.append((node[x], lo[y] + p, lo[y] + q, node[their], shift[y]))
+                        left[lo[y] + p - a : lo[y] + q - length + 1 - a] = False
+                    if not left.any():
+                        break
+            columns = list(zip(*out)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return run
+
+
+def _fields(place):
+    """(first, centre, last) of a place."""
+    start = F.shiftright(place, 18)
+    return start, start + F.shiftright(place, 11).bitwiseAND(127), start + F.shiftright(place, 4).bitwiseAND(127)
+
+
+def _sliced(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, start, stop, tokens) of the distinct ``wanted(node, start, stop)``."""
+    wanted = written(wanted.distinct())
+    few = wanted.count() <= BROADCAST_SPANS
+    wanted = wanted.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("wanted"))
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "node")
+    return written(texts.mapInArrow(_slices(shingle), "node long, start long, stop long, tokens binary"))
+
+
+def _verified_spans(rows: DataFrame, passages: DataFrame, shingle: int, length: int, percent: int) -> DataFrame:
+    """(node, start, stop, other) of the similar parts of ``passages``, for both sides of each."""
+    wanted = passages.select("node", "start", "stop").union(passages.select("other", "other_start", "other_stop"))
+    slices = _sliced(rows, wanted, shingle)
+    theirs = slices.select(
+        F.col("node").alias("other"), F.col("start").alias("other_start"), F.col("stop").alias("other_stop"),
+        F.col("tokens").alias("other_tokens"),
+    )
+    both = passages.join(slices, ["node", "start", "stop"]).join(theirs, ["other", "other_start", "other_stop"])
+    both = both.select("node", "start", "other", "other_start", "tokens", "other_tokens")
+    return both.mapInArrow(_verified(length, percent), "node long, start long, stop long, other long")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """(node, start, stop, other): spans of a document that overlap or touch are one."""
+    spans = spans.groupBy("node", "start", "stop").agg(F.min("other").alias("other"))
+    order = Window.partitionBy("node").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
+    spans = spans.withColumn("number", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("node", "number").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other").alias("other")
+    ).drop("number")
+
+
+def _rest_of_groups(
+    rows: DataFrame, shared: DataFrame, spans: DataFrame, shingle: int, length: int, percent: int
+) -> DataFrame | None:
+    """(node, start, stop, other) found where the windows that ``spans`` leaves open meet all of their groups; None: none is open."""
+    none = F.lit(-1).cast("long")
+    known = _merged(spans).select("node", none.alias("key"), none.alias("place"), "start", "stop")
+    both = shared.select("node", "key", "place", none.alias("start"), none.alias("stop")).unionByName(known)
+    both = both.repartition("node").sortWithinPartitions("node")
+    opened = written(both.mapInArrow(_open_windows(length), "key long, node long, place long, low long, high long"))
+    looking = written(opened.groupBy("key").agg(F.count("*").alias("looking")))
+    groups = shared.join(looking, "key").groupBy("key").agg(F.count("*").alias("c"), F.first("looking").alias("looking"))
+    # Two windows have met each other.
+    groups = written(groups.filter("c > 2").select(
+        "key", F.ceil(F.col("c") / BLOCK_ROWS).alias("parts"), F.ceil(F.col("looking") / BLOCK_ROWS).alias("turns")
+    ))
+    if groups.isEmpty():
+        return None
+    first, _, last = _fields(F.col("place"))
+    members = shared.select("key", "node", "place").join(groups, "key").withColumns({"start": first, "stop": last + length})
+    slices = _sliced(rows, members.select("node", "start", "stop"), shingle)
+
+    def dealt(windows: DataFrame, parts: str, others: str, *block: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("node", "place"), F.col(parts))
+        windows = windows.withColumns({parts: part, others: F.explode(F.sequence(F.lit(0), F.col(others) - 1))})
+        return windows.select(F.xxhash64("key", *block).alias("block"), "node", "place", "start", "stop", "low", "high")
+
+    block = ("parts", "turns")
+    theirs = dealt(members.withColumns({"low": none, "high": none}), "parts", "turns", *block)
+    mine = opened.join(groups, "key").withColumns({"start": first, "stop": last + length})
+    blocks = dealt(mine, "turns", "parts", *block).unionByName(theirs).join(slices, ["node", "start", "stop"])
+    blocks = blocks.select("block", "node", "place", "low", "high", "tokens").repartition("block").sortWithinPartitions("block")
+    found = written(
+        blocks.mapInArrow(_met_in_blocks(length, percent), "node long, start long, stop long, other long, shift long")
+    )
+    shift = F.col("shift")
+    spans = found.select("node", "start", "stop", "other").union(
+        found.select("other", F.col("start") + shift, F.col("stop") + shift, "node")
+    )
+    # Windows of one alignment are a passage as a whole where it is similar as a whole.
+    joined = found.groupBy("node", "other", "shift").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("c"))
+    joined = joined.filter("c > 1").select(
+        "node", "start", "stop", "other", (F.col("start") + shift).alias("other_start"), (F.col("stop") + shift).alias("other_stop")
+    )
+    return spans.union(_verified_spans(rows, written(joined), shingle, length, percent))
+
+
 def repeated_passages(
     docs: DataFrame, least_words: int = LEAST_WORDS, shingle: int = SHINGLE, percent: int = PERCENT,
     doc_id: str = "doc_id", text: str = "text",
@@ -252,12 +479,8 @@ def repeated_passages(
         F.struct(F.col("high").alias("other"), F.col("high_place").alias("theirs")),
     )
 
-    def fields(place):
-        start = F.shiftright(place, 18)
-        return start, start + F.shiftright(place, 11).bitwiseAND(127), start + F.shiftright(place, 4).bitwiseAND(127)
-
-    first, centre, last = fields(F.col("place"))
-    their_first, their_centre, their_last = fields(F.col("theirs"))
+    first, centre, last = _fields(F.col("place"))
+    their_first, their_centre, their_last = _fields(F.col("theirs"))
     shift = their_centre - centre
     # The first window of the smallest document is met by all others; only its repeats look for a partner.
     looking = met.filter("node <> low OR place <> low_place")
@@ -274,26 +497,10 @@ def repeated_passages(
             _passages(length), "node long, start long, stop long, other long, other_start long, other_stop long"
         )
     )
-    wanted = passages.select("node", "start", "stop").union(passages.select("other", "other_start", "other_stop")).distinct()
-    wanted = written(wanted)
-    few = wanted.count() <= BROADCAST_SPANS
-    wanted = wanted.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("wanted"))
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "node")
-    slices = written(texts.mapInArrow(_slices(shingle), "node long, start long, stop long, tokens binary"))
-    theirs = slices.select(
-        F.col("node").alias("other"), F.col("start").alias("other_start"), F.col("stop").alias("other_stop"),
-        F.col("tokens").alias("other_tokens"),
-    )
-    both = passages.join(slices, ["node", "start", "stop"]).join(theirs, ["other", "other_start", "other_stop"])
-    both = both.select("node", "start", "other", "other_start", "tokens", "other_tokens")
-    spans = both.mapInArrow(_verified(length, percent), "node long, start long, stop long, other long")
-    spans = spans.groupBy("node", "start", "stop").agg(F.min("other").alias("other"))
-    order = Window.partitionBy("node").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    spans = spans.withColumn("number", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("node", "number").agg(
-        F.min("start").alias("word_start"), (F.max("stop") + shingle - 1).alias("word_end"), F.min("other").alias("other")
+    spans = written(_verified_spans(rows, passages, shingle, length, percent).distinct())
+    rest = _rest_of_groups(rows, shared, spans, shingle, length, percent)
+    merged = _merged(spans if rest is None else spans.union(rest)).select(
+        "node", F.col("start").alias("word_start"), (F.col("stop") + shingle - 1).alias("word_end"), "other"
     )
 
     def named(column: str):

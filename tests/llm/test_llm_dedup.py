@@ -190,6 +190,28 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_passages_in_the_middle_of_a_group(spark, monkeypatch, block):
+    """Copies that differ from the extreme ones meet the original, and each other, wherever these stand."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(50)]
+    rows = {i: " ".join(passage[:k] + [f"x{i}"] + passage[k + 1 :]) for i in range(60) for k in [6 + 37 * i % 38]}
+    rows[30] = " ".join(passage)
+    # A line that many texts share, and two texts in their middle that share more.
+    line = " ".join(f"q{i}" for i in range(30))
+    for i in range(100, 160):
+        rows[i] = " ".join([f"a{i}_{k}" for k in range(40)] + [line] + [f"b{i}_{k}" for k in range(40)])
+    for i in (120, 140):
+        rows[i] = f"alone{i} " + " ".join(rows[130].split(" ")[:80])
+    del rows[130]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs(spark, list(rows.items()))).collect()}
+    assert got[30].n_words == 50 and got[120].n_words >= 70 and got[140].with_doc_id == 120
+    near = {i for i in range(60) if i != 30}
+    assert len(near & set(got)) >= 0.9 * len(near), sorted(near - set(got))
+    assert not [i for i in got if 100 <= i < 160 and i not in (120, 140)]
+
+
 def test_compact_windows_cover_every_window():
     import numpy as np
 
