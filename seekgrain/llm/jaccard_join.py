@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekgrain.llm.common import components, counted_broadcast, written
+from seekgrain.llm.common import components, counted_broadcast, unused, written
 from seekgrain.llm.shingles import mixed, shingle_sets, text_runs
 
 #: A shingle in more prefixes than this is frequent; at most so many of them go last in the order.
@@ -491,7 +491,19 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows of id-less components stay."""
-    away = similar_components(docs, width, percent, doc_id, text).filter("doc_id <> component_id").select("doc_id").distinct()
+    """The rows of ``docs`` that have the smallest id of their component, id-less rows last.
+
+    Id and text together make a node here, so rows that share an id with different texts are judged apart,
+    and equal ones, also id-less ones, stay or go together.
+    """
+    node = unused(docs, "_node")
+    keyed = docs.withColumn(node, F.shiftrightunsigned(F.xxhash64(doc_id, text), 2))
+    found = similar_components(keyed.select(node, F.col(text).alias("text")), width, percent, node)
+    found = written(found.select(F.col("doc_id").alias("node"), "component_id").distinct())
+    several = found.filter("node <> component_id").select("component_id").distinct()
+    ids = keyed.select(F.col(node).alias("node"), F.col(doc_id).alias("id")).distinct()
+    inside = written(ids.join(found.join(several, "component_id"), "node"))
+    least = inside.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("least"))
+    away = inside.join(least, "component_id").filter("node <> least.node").select(F.col("node").alias(node))
     away = counted_broadcast(written(away))
-    return docs.join(away, docs[doc_id] == away["doc_id"], "left_anti")
+    return keyed.join(away, node, "left_anti").select(*[keyed[c] for c in docs.columns])

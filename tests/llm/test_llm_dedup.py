@@ -147,6 +147,16 @@ def test_jaccard_join_odd_rows(spark):
     assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [5, 5, 8]
 
 
+def test_keep_first_decides_by_id_and_text(spark):
+    a, b, c = texts(21, 3, 80, 80)
+    rng = random.Random(2)
+    near = [edited(rng, x, 1) for x in (a, b, b)]
+    rows = [(5, a), (7, near[0]), (7, c), (None, near[0] + " end"), (None, b), (None, near[1]), (None, near[2]), (None, None)]
+    kept = [tuple(r) for r in jaccard_join.keep_first(docs(spark, rows)).collect()]
+    assert (5, a) in kept and (7, c) in kept and (None, None) in kept and len(kept) == 4
+    assert [t in (b, *near[1:]) for i, t in kept if i is None and t] == [True]
+
+
 def test_bounds_never_exclude_a_link():
     import numpy as np
 
