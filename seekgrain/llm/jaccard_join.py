@@ -141,6 +141,8 @@ def _moved_prefixes(width: int, percent: int, frequent):
                 late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values
                 owner = np.repeat(np.arange(len(n)), n)
                 inside = np.arange(len(values)) - offsets[:-1][owner] < first[owner]
+                running = np.r_[np.uint64(0), np.cumsum(mixed(values))]
+                fp_a = (running[offsets[1:]] - running[offsets[:-1]]).view(np.int64)
                 rows, added = np.unique(owner[late & inside]), []
                 for row in rows:
                     own, hot = values[offsets[row] : offsets[row + 1]], late[offsets[row] : offsets[row + 1]]
@@ -150,7 +152,7 @@ def _moved_prefixes(width: int, percent: int, frequent):
                 total = np.concatenate(added) if added else np.zeros(0, np.uint64)
                 sizes = np.array([len(a) for a in added], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(pa.array(rows)), _lists(total, sizes)], names=["node", "prefix"]
+                    [part.column("node").take(pa.array(rows)), pa.array(fp_a[rows]), _lists(total, sizes)], names=["node", "fp_a", "prefix"]
                 )
 
     return run
@@ -419,8 +421,8 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
         last = np.sort(top.column("token").to_numpy().astype(np.int64).view(np.uint64))
         frequent = spark.sparkContext.broadcast(last)
         listed = F.broadcast(spark.createDataFrame(top))  # FREQUENT_MOST rows at most
-        moved = rows.mapInArrow(_moved_prefixes(width, percent, frequent), "node long, prefix array<long>")
-        moved = written(moved.join(counted_broadcast(copies.select("node")), "node", "left_anti"))
+        moved = rows.mapInArrow(_moved_prefixes(width, percent, frequent), "node long, fp_a long, prefix array<long>")
+        moved = written(moved.join(few_copies, ["node", "fp_a"], "left_anti"))
         moved = moved.select("node", F.explode("prefix").alias("token"))
         posted = posted.join(listed, "token", "left_anti").unionByName(moved)
         keys = keys.join(listed, "token", "left_anti").union(moved.select("token")).distinct()

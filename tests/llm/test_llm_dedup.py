@@ -147,6 +147,16 @@ def test_jaccard_join_odd_rows(spark):
     assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [5, 5, 8]
 
 
+def test_moved_prefixes_of_a_shared_id(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
+    rows, t = [], texts(22, 24, 80, 80)
+    for k in range(12):
+        a, b = t[2 * k : 2 * k + 2]
+        rows += [(10 * k + 3, a), (10 * k + 7, a), (10 * k + 7, b), (10 * k + 9, b + " end")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(docs(spark, rows), 4, 85).collect()}
+    assert got == {i: i // 10 * 10 + 3 for i, _ in rows}
+
+
 def test_keep_first_decides_by_id_and_text(spark):
     a, b, c = texts(21, 3, 80, 80)
     rng = random.Random(2)
