@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, piece_scan, pii, quality, sharding, substring_dedup
+from seekgrain.llm import whitening
 from seekgrain.llm.common import held_out
 
 QUERIES: dict = {}
@@ -197,3 +198,20 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         "ids",
         "round_trip",
     )
+
+
+@query("op11_embedding_whitening")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    shares = [float(v) for v in model.explained] if model else []
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("pos") + 1).alias("component"),
+        F.lit(model.centre.n if model else None).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        F.col("col").alias("whitened"),
+        F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("pos")).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
