@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekgrain.llm import exact_dedup, host_rules, jaccard_join, language_id, mixing, piece_scan, pii, quality, sharding, substring_dedup
-from seekgrain.llm import whitening
+from seekgrain.llm import (
+    exact_dedup, host_rules, jaccard_join, language_id, licenses, mixing, piece_scan, pii, quality, sharding,
+    substring_dedup, whitening,
+)
 from seekgrain.llm.common import held_out
 
 QUERIES: dict = {}
@@ -215,3 +217,74 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("pos")).alias("explained"),
         F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
     )
+
+
+def _licence_sql() -> str:
+    """Plain search for every key phrase in the words of every text."""
+    templates = licenses.TEMPLATES
+
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(words))
+        return f"list_filter(range(0, len(w) - {len(words) - 1}), lambda i: {same})"
+
+    listed = "[" + ", ".join(f"'{w}'" for w in licenses.vocabulary(templates)) + "]"
+    columns, labels, marks = [], [], []
+    for t, template in enumerate(templates):
+        names = [f"t{t}_{p}" for p in range(len(template.phrases))]
+        columns += [f"{places(phrase)} AS {name}" for name, (_, phrase) in zip(names, template.phrases)]
+        if len(names) == 1:
+            found, part = f"len({names[0]}) > 0", "0"
+        else:
+            buckets = [
+                f"list_transform({name}, lambda s: floor((s - {position}) / {licenses.SLACK}.0)::BIGINT)"
+                for name, (position, _) in zip(names, template.phrases)
+            ]
+            near = buckets[0]
+            for b in buckets[1:]:
+                near = f"list_intersect({near}, flatten(list_transform({b}, lambda b: [b - 1, b, b + 1])))"
+            found = f"len({near}) > 0"
+            sums = [
+                f"list_sum(list_transform({phrase.split()}, lambda x: element_at(weights, x)[1]))" for _, phrase in template.phrases
+            ]
+            share = [f"CASE WHEN len({n}) > 0 THEN round(1e6 * {s} / ({' + '.join(sums)})) ELSE 0 END" for n, s in zip(names, sums)]
+            part = f"floor(({' + '.join(share)}) / 2)"
+        labels.append(f"CASE WHEN {found} THEN '{template.label}' END")
+        marks.append(f"CASE WHEN {found} THEN 1000000 ELSE {part} END")
+    base = [f"t{t}_0" for t in range(len(licenses.BASE))]
+    all_base = " || ".join(base)
+
+    def joined(some: list[str]) -> str:
+        return f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(some)}], lambda l: l IS NOT NULL))), ','), '')"
+
+    small = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH listed AS (SELECT doc_id,
+      regexp_extract_all({small}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    counts AS (SELECT word, count(*) AS c FROM (
+      SELECT unnest(list_distinct(list_filter(w, lambda x: list_contains({listed}, x)))) AS word FROM listed) GROUP BY word),
+    weighed AS (SELECT map(list(v.word), list(round(ln(((SELECT count(*) FROM listed) + 1.0) / (coalesce(c, 0) + 1.0)) + 1, 6)))
+      AS weights FROM (SELECT unnest({listed}) AS word) v LEFT JOIN counts USING (word)),
+    found AS (SELECT doc_id, len(w) AS n, {', '.join(columns)}, weights FROM listed, weighed)
+    SELECT doc_id, n::BIGINT AS n_words, len({all_base})::BIGINT AS n_base, list_min({all_base})::BIGINT AS first_word,
+      list_max({all_base})::BIGINT AS last_word, {joined(labels[: len(licenses.BASE)])} AS base_labels,
+      {joined(labels)} AS labels, greatest({', '.join(marks)})::DOUBLE / 1e6 AS score FROM found"""
+
+
+@query("op12_license_scan", _licence_sql())
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    scanned = licenses.scan(docs, licenses.word_weights(docs)).drop("text")
+    base = F.filter("licences.places", lambda s: s["template"] < len(licenses.BASE))
+    labels = [F.lit(t.label) for t in licenses.BASE]
+    scanned = scanned.withColumn("base", base)
+    named = F.transform("base", lambda s: F.get(F.array(*labels), s["template"]))
+    return scanned.select(
+        "doc_id",
+        "licences.n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").cast("long").alias("first_word"),
+        F.array_max("base.start").cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("base_labels"),
+        F.array_join("licences.labels", ",").alias("labels"),
+        "licences.score",
+    )
