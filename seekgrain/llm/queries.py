@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seekgrain.llm import (
     exact_dedup, host_rules, jaccard_join, language_id, licenses, mixing, piece_scan, pii, quality, sharding,
-    substring_dedup, whitening,
+    substring_dedup, token_alignment, whitening,
 )
 from seekgrain.llm.common import held_out
 
@@ -288,3 +288,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("licences.labels", ",").alias("labels"),
         "licences.score",
     )
+
+
+@query("op13_token_alignment")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = token_alignment.align(docs, token_alignment.default_models(spark)).documents
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select(F.col("payload.doc_id").alias("doc_id"), *names)
