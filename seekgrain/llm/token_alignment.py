@@ -14,6 +14,7 @@ pairs it holds, so no table of all pairs is sent anywhere whole.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -28,17 +29,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekgrain.llm.common import written
+from seekgrain.llm.piece_scan import gather
 
 SPACE_SIGN = "▁"
 #: A single space between two signs that neither are white space nor stand for it.
 STRETCH_END = re.compile(rf"(?<=[^\s{SPACE_SIGN}]) (?=[^\s{SPACE_SIGN}])")
 #: Characters of the texts of a block; a longer text is several blocks.
 BLOCK_CHARS = 1 << 20
-#: Stretches that a worker keeps from block to block, and that it tokenizes at once.
-KEPT_STRETCHES, ENCODED_AT_ONCE = 1 << 18, 1 << 14
+#: Characters whose distinct stretches are tokenized together, and how many of these at once.
+RUN_CHARS, ENCODED_AT_ONCE = 1 << 22, 1 << 14
 DIGEST = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string"
 BLOCK = (
-    "block long, keys array<long>, sizes array<int>, stretches array<int>, pairs array<long>, pair_sizes array<int>, "
+    "block long, keys array<long>, sizes array<int>, stretches array<int>, pairs array<int>, pair_sizes array<int>, "
     "distinct array<long>, times array<long>"
 )
 
@@ -70,7 +72,7 @@ class Models:
             first = tokenizers.Tokenizer.from_str(self.a_json)
             first.encode_special_tokens = True
             second = sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
-            self.made.update(a=first, b=second, a_bytes=self._bytes_of_a(), b_bytes=_bytes_of_b(second), known=Stretches())
+            self.made.update(a=first, b=second, a_table=Table(self._bytes_of_a()), b_table=Table(_bytes_of_b(second)))
         return self.made
 
     def _bytes_of_a(self) -> list[bytes]:
@@ -134,108 +136,124 @@ def group_ends(end_a: np.ndarray, end_b: np.ndarray, a: np.ndarray, b: np.ndarra
         to = further
 
 
-def _ragged(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """(values, sizes) of lists of numbers."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((v for x in lists for v in x), np.int64, int(sizes.sum())), sizes
+@dataclass
+class Aligned:
+    """Aligned stretches: (n_a, n_b, n_groups, n_links), the groups spelled out with a ``;`` after each, and the linked pairs.
+
+    ``good`` tells whether the tokens of both sides give the bytes of a stretch back; the others have nothing.
+    """
 
+    good: np.ndarray
+    counts: np.ndarray
+    spelled: np.ndarray
+    spelled_sizes: np.ndarray
+    pairs: np.ndarray
+    pair_sizes: np.ndarray
 
-class Stretches:
-    """Aligned stretches: numbers of tokens, groups and links, the groups spelled out, and the linked id pairs."""
 
-    def __init__(self):
-        self.rows: dict[str, tuple | None] = {}
+def aligned(made: dict, stretches: list[str]) -> Aligned:
+    parts = [_aligned(made, stretches[s : s + ENCODED_AT_ONCE]) for s in range(0, len(stretches), ENCODED_AT_ONCE)]
+    return Aligned(*[np.concatenate([getattr(p, f) for p in parts]) for f in Aligned.__dataclass_fields__])
+
+
+@dataclass
+class Table:
+    """Bytes of the tokens of one side, and their ids as decimal numbers with a comma."""
 
-    def of(self, made: dict, wanted: list[str]) -> list[tuple | None]:
-        missing = [s for s in wanted if s not in self.rows]
-        if len(self.rows) + len(missing) > KEPT_STRETCHES:
-            self.rows, missing = {}, wanted
-        for s in range(0, len(missing), ENCODED_AT_ONCE):
-            some = missing[s : s + ENCODED_AT_ONCE]
-            self.rows.update(zip(some, _aligned(made, some)))
-        return [self.rows[s] for s in wanted]
+    tokens: list[bytes]
 
+    def __post_init__(self):
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.data = np.frombuffer(b"".join(self.tokens), np.uint8)
+        names = [b"%d," % i for i in range(len(self.tokens))]
+        self.name_sizes, self.names = np.array([len(n) for n in names], np.int64), np.frombuffer(b"".join(names), np.uint8)
 
-def _aligned(made: dict, stretches: list[str]) -> list[tuple | None]:
-    """(n_a, n_b, n_groups, n_links, groups, pairs) per stretch; None where its tokens do not give its bytes back."""
+    def gives(self, ids: np.ndarray, counts: np.ndarray, whole: list[bytes]) -> np.ndarray:
+        """Which strings the tokens, ``counts`` for each, give back."""
+        data, at = gather(self.data, self.sizes, ids)
+        ends = at[np.cumsum(counts)]
+        data = data.tobytes()
+        if data == b"".join(whole) and (ends == np.cumsum([len(w) for w in whole])).all():
+            return np.ones(len(whole), bool)
+        return np.array([data[s:e] == w for s, e, w in zip([0, *ends.tolist()], ends.tolist(), whole)], bool)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _aligned(made: dict, stretches: list[str]) -> Aligned:
+    a_table, b_table = made["a_table"], made["b_table"]
     spaced = [" " + s for s in stretches]
-    a_ids = [e.ids for e in made["a"].encode_batch_fast(spaced, add_special_tokens=False)]
-    b_ids = made["b"].encode(stretches, num_threads=1)
-    a_bytes, b_bytes = made["a_bytes"], made["b_bytes"]
     whole = [s.encode() for s in spaced]
-    good = [
-        k for k, (w, x, y) in enumerate(zip(whole, a_ids, b_ids))
-        if b"".join([a_bytes[i] for i in x]) == w and b"".join([b_bytes[i] for i in y]) == w
-    ]
-    out: list[tuple | None] = [None] * len(stretches)
-    if not good:
-        return out
-    ids_a, sizes_a = _ragged([a_ids[k] for k in good])
-    ids_b, sizes_b = _ragged([b_ids[k] for k in good])
-    end_a = np.cumsum(made.setdefault("a_sizes", np.array([len(t) for t in a_bytes]))[ids_a])
-    end_b = np.cumsum(made.setdefault("b_sizes", np.array([len(t) for t in b_bytes]))[ids_b])
+    ids_a, counts_a = _flat([e.ids for e in made["a"].encode_batch_fast(spaced, add_special_tokens=False)])
+    ids_b, counts_b = _flat(made["b"].encode(stretches, num_threads=1))
+    good = a_table.gives(ids_a, counts_a, whole) & b_table.gives(ids_b, counts_b, whole)
+    ids_a, ids_b = ids_a[np.repeat(good, counts_a)], ids_b[np.repeat(good, counts_b)]
+    counts_a, counts_b = counts_a * good, counts_b * good
+    end_a, end_b = np.cumsum(a_table.sizes[ids_a]), np.cumsum(b_table.sizes[ids_b])
     a, b = links(end_a, end_b)
     last = group_ends(end_a, end_b, a, b)
-    ends = np.unique(last)
-    first_a = np.r_[np.searchsorted(last[: len(end_a)], ends), len(end_a)].tolist()
-    first_b = np.r_[0, ends + 1].tolist()
-    name_a, name_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    spelled = [
-        ",".join(name_a[s:e]) + "|" + ",".join(name_b[x:y])
-        for s, e, x, y in zip(first_a, first_a[1:], first_b, first_b[1:])
-    ]
-    codes = ids_a[a] << 32 | ids_b[b]
-    stops_b = np.cumsum(sizes_b)
-    stop_group = np.searchsorted(ends, stops_b).tolist()
-    stop_link = np.searchsorted(b, stops_b).tolist()
-    g = l = 0
-    for k, n_a, n_b, g_stop, l_stop in zip(good, sizes_a.tolist(), sizes_b.tolist(), stop_group, stop_link):
-        out[k] = (n_a, n_b, g_stop - g, l_stop - l, ";".join(spelled[g:g_stop]), codes[l:l_stop].copy())
-        g, l = g_stop, l_stop
-    return out
-
-
-class _Block:
-    """Pieces of texts as lists of stretches, with the distinct stretches aligned."""
-
-    def __init__(self, made: dict, texts: list[str]):
+    n = len(ids_a)
+    ends, group = np.unique(last, return_inverse=True)
+    in_a, in_b = np.bincount(group[:n], minlength=len(ends)), np.bincount(group[n:], minlength=len(ends))
+    upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
+    # The A tokens of a group come first, then its B tokens.
+    spot_a = np.arange(n) + (upto_b - in_b)[group[:n]]
+    spot_b = np.arange(len(ids_b)) + upto_a[group[n:]]
+    order = np.empty(n + len(ids_b), np.int64)
+    order[spot_a], order[spot_b] = ids_a, ids_b + len(a_table.tokens)
+    marks = np.full(len(order), ord(","), np.uint8)
+    marks[spot_a[upto_a - 1]], marks[spot_b[upto_b - 1]] = ord("|"), ord(";")
+    names, sizes = np.r_[a_table.names, b_table.names], np.r_[a_table.name_sizes, b_table.name_sizes]
+    spelled, at = gather(names, sizes, order)
+    spelled[at[1:] - 1] = marks
+    stop_a, stop_b = np.cumsum(counts_a), np.cumsum(counts_b)
+    stops = [np.searchsorted(ends, stop_b), np.searchsorted(b, stop_b), at[stop_a + stop_b]]
+    n_groups, n_links, n_spelled = (np.diff(x, prepend=0) for x in stops)
+    counts = np.stack([counts_a, counts_b, n_groups, n_links], axis=1)
+    return Aligned(good, counts, spelled, n_spelled, ids_a[a] << 32 | ids_b[b], n_links)
+
+
+class _Run:
+    """Pieces of texts as lists of stretches, their distinct stretches aligned once."""
+
+    def __init__(self, made: dict, pieces: list[str]):
         number: dict[str, int] = {}
-        self.lists = [
-            np.fromiter((number.setdefault(s, len(number)) for s in STRETCH_END.split(t)), np.int32) for t in texts
-        ]
-        self.rows = made["known"].of(made, list(number))
-        self.bad = np.fromiter((r is None for r in self.rows), bool, len(self.rows))
-        self.counts = np.array([r[:4] if r else (0, 0, 0, 0) for r in self.rows], np.int64).reshape(-1, 4)
-        self.good = [not self.bad[x].any() for x in self.lists]
-
-    def digest(self, k: int) -> tuple[np.ndarray, str]:
-        rows = self.rows
-        return self.counts[self.lists[k]].sum(axis=0), ";".join([rows[i][4] for i in self.lists[k].tolist()])
-
-    def row(self, block: int, keys: list[int]) -> dict | None:
-        """The block as a table row; ``keys`` has the document of each piece."""
-        kept = [k for k, ok in enumerate(self.good) if ok]
-        if not kept:
-            return None
-        flat = np.concatenate([self.lists[k] for k in kept])
-        times = np.bincount(flat, minlength=len(self.rows))
-        none = np.zeros(0, np.int64)
-        parts = [r[5] if r and t else none for r, t in zip(self.rows, times.tolist())]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        pairs = np.concatenate(parts)
+        lists = [np.fromiter((number.setdefault(s, len(number)) for s in STRETCH_END.split(p)), np.int64) for p in pieces]
+        self.known = known = aligned(made, list(number))
+        self.flat = np.concatenate(lists)
+        self.at = np.r_[0, np.cumsum([len(x) for x in lists])]
+        first = self.at[:-1]
+        self.good = np.logical_and.reduceat(known.good[self.flat], first)
+        self.counts = np.add.reduceat(known.counts[self.flat], first, axis=0)
+
+    def groups(self, k: int) -> bytes:
+        """The groups of a piece, spelled out, with a ``;`` after each."""
+        return gather(self.known.spelled, self.known.spelled_sizes, self.flat[self.at[k] : self.at[k + 1]])[0].tobytes()
+
+    def row(self, block: int, pieces: list[int], keys: list[int]) -> dict:
+        """Some pieces as one row of the block table."""
+        sizes = np.diff(self.at)[pieces]
+        own, stretches, times = np.unique(
+            np.concatenate([self.flat[self.at[k] : self.at[k + 1]] for k in pieces]), return_inverse=True, return_counts=True
+        )
+        pair_sizes = self.known.pair_sizes[own]
+        pairs, _ = gather(self.known.pairs, self.known.pair_sizes, own)
         distinct, of = np.unique(pairs, return_inverse=True)
-        weight = np.bincount(of, weights=np.repeat(times, sizes), minlength=len(distinct)).astype(np.int64)
+        weight = np.bincount(of, weights=np.repeat(times, pair_sizes), minlength=len(distinct)).astype(np.int64)
         return {
-            "block": block, "keys": [keys[k] for k in kept], "sizes": [len(self.lists[k]) for k in kept], "stretches": flat,
-            "pairs": pairs, "pair_sizes": sizes.astype(np.int32), "distinct": distinct, "times": weight,
+            "block": block, "keys": keys, "sizes": sizes.astype(np.int32), "stretches": stretches.astype(np.int32),
+            "pairs": of.astype(np.int32), "pair_sizes": pair_sizes.astype(np.int32), "distinct": distinct, "times": weight,
         }
 
 
-def _cut(text: str) -> Iterator[str]:
-    """A long text in pieces of about BLOCK_CHARS that end between stretches."""
+def _cut(text: str, chars: int) -> Iterator[str]:
+    """A long text in pieces of about so many characters that end between stretches."""
     at = 0
-    while len(text) - at > BLOCK_CHARS:
-        end = STRETCH_END.search(text, at + BLOCK_CHARS)
+    while len(text) - at > chars:
+        end = STRETCH_END.search(text, at + chars)
         if not end:
             break
         yield text[at : end.start()]
@@ -259,43 +277,74 @@ def _tokenized(models, spelled: bool, schema: T.StructType):
             ]
             return pa.RecordBatch.from_arrays(columns, names=["payload", *kinds.names])
 
+        def blocks_of(run: _Run, wanted: list[int], keys: list[int], chars: list[int]) -> Iterator[dict]:
+            """Rows of the ``wanted`` pieces of a run, each of about BLOCK_CHARS."""
+            nonlocal blocks
+            total = np.cumsum([chars[k] for k in wanted]) // BLOCK_CHARS
+            for _, some in itertools.groupby(zip(total.tolist(), wanted), key=lambda x: x[0]):
+                some = [k for _, k in some]
+                yield run.row(blocks, some, [keys[k] for k in some])
+                blocks += 1
+
+        def digest(runs: Iterator[tuple[_Run, list[int]]]) -> tuple | None:
+            """The results of a text from its pieces; None where one of them does not give its bytes back."""
+            total, state, spells, last = np.zeros(4, np.int64), hashlib.sha256(), [], b""
+            for run, pieces in runs:
+                if not run.good[pieces].all():
+                    return None
+                for k in pieces:
+                    state.update(last[-1:])
+                    last = run.groups(k)
+                    state.update(last[:-1])
+                    spells.append(last.decode() if spelled else "")
+                total = total + run.counts[pieces].sum(axis=0)
+            return (*total.tolist(), state.hexdigest(), "".join(spells)[:-1])
+
+        def giant(text: str, key: int) -> tuple[tuple | None, list[dict]]:
+            """A text of several runs; its blocks count only when all of its pieces are good."""
+            rows: list[dict] = []
+
+            def runs():
+                for piece in _cut(text, RUN_CHARS):
+                    parts = list(_cut(piece, BLOCK_CHARS))
+                    run = _Run(made, parts)
+                    yield run, list(range(len(parts)))
+                    rows.extend(blocks_of(run, list(range(len(parts))), [key] * len(parts), [len(p) for p in parts]))
+
+            found = digest(runs())
+            return found, rows if found else []
+
+        def several(texts: list[str], keys: list[int]) -> tuple[list[tuple | None], list[dict]]:
+            """Texts of one run."""
+            parts, of = [], []
+            for k, text in enumerate(texts):
+                own = list(_cut(text, BLOCK_CHARS))
+                parts += own
+                of += [k] * len(own)
+            run = _Run(made, parts)
+            found = [digest(iter([(run, list(p))])) for _, p in itertools.groupby(range(len(parts)), key=of.__getitem__)]
+            wanted = [p for p in range(len(parts)) if found[of[p]]]
+            return found, list(blocks_of(run, wanted, [keys[k] for k in of], [len(p) for p in parts]))
+
         for batch in batches:
             payload = batch.column("payload").type
             texts = batch.column("text").to_pylist()
-            found = [(0, 0, 0, 0, "", "")] * len(texts)
+            found: list[tuple] = [(0, 0, 0, 0, "", "")] * len(texts)
             waiting, size = [], 0
             for i in range(len(texts) + 1):
                 text = texts[i] if i < len(texts) else None
-                if text and len(text) > BLOCK_CHARS:
-                    # All pieces must give their bytes back before one of them counts.
-                    total, state, spells, rows = np.zeros(4, np.int64), hashlib.sha256(), [], []
-                    for piece in _cut(text):
-                        own = _Block(made, [piece])
-                        if not own.good[0]:
-                            break
-                        counts, groups = own.digest(0)
-                        state.update((";" if rows else "").encode() + groups.encode())
-                        spells += [groups] if spelled else []
-                        total = total + counts
-                        rows.append(own.row(blocks, [serial + i]))
-                        blocks += 1
-                    else:
-                        found[i] = (*total.tolist(), state.hexdigest(), ";".join(spells))
-                        yield from map(row_batch, rows)
+                if text and len(text) > RUN_CHARS:
+                    one, rows = giant(text, serial + i)
+                    found[i] = one or found[i]
+                    yield from map(row_batch, rows)
                 elif text:
                     waiting.append(i)
                     size += len(text)
-                if waiting and (size >= BLOCK_CHARS or i == len(texts)):
-                    own = _Block(made, [texts[k] for k in waiting])
-                    for k, row in enumerate(waiting):
-                        if own.good[k]:
-                            counts, groups = own.digest(k)
-                            sha = hashlib.sha256(groups.encode()).hexdigest()
-                            found[row] = (*counts.tolist(), sha, groups if spelled else "")
-                    entry = own.row(blocks, [serial + k for k in waiting])
-                    if entry:
-                        blocks += 1
-                        yield row_batch(entry)
+                if waiting and (size >= RUN_CHARS or i == len(texts)):
+                    some, rows = several([texts[k] for k in waiting], [serial + k for k in waiting])
+                    for k, one in zip(waiting, some):
+                        found[k] = one or found[k]
+                    yield from map(row_batch, rows)
                     waiting, size = [], 0
             columns = dict(zip(digest_names, zip(*found))) if found else {}
             keys = {"key": range(serial, serial + len(texts))}
@@ -322,8 +371,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(c)[i].values for c in ("keys", "sizes", "stretches", "pairs", "pair_sizes", "met")
             )
             pair, count, best = (met.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            order = np.argsort(pair)
-            at = order[np.searchsorted(pair[order], pairs.to_numpy())]
+            at = np.argsort(pair)[pairs.to_numpy()]  # pairs are numbered in this order
             ends = np.r_[0, np.cumsum(pair_sizes.to_numpy())]
             stops = np.r_[0, np.cumsum(sizes.to_numpy())]
             columns = []

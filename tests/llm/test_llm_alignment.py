@@ -107,20 +107,20 @@ def test_odd_texts(spark, models):
     check(spark, models, odd_texts())
 
 
-def test_long_texts_are_several_blocks(spark, models, monkeypatch):
-    monkeypatch.setattr(ta, "BLOCK_CHARS", 500)
-    whole = ta._Block(models.tokenizers(), ["some words of a text " * 400])
-    pieces = list(ta._cut("some words of a text " * 400))
-    assert len(pieces) > 10 and " ".join(pieces) == "some words of a text " * 400
-    parts = [ta._Block(models.tokenizers(), [p]).digest(0) for p in pieces]
-    assert sum(p[0] for p in parts).tolist() == whole.digest(0)[0].tolist()
-    assert ";".join(p[1] for p in parts) == whole.digest(0)[1]
+def test_long_texts_are_several_blocks(spark, models):
+    text = "some words of a text " * 400
+    pieces = list(ta._cut(text, 500))
+    assert len(pieces) > 10 and " ".join(pieces) == text
+    whole, run = ta._Run(models.tokenizers(), [text]), ta._Run(models.tokenizers(), pieces)
+    assert run.counts.sum(axis=0).tolist() == whole.counts[0].tolist()
+    assert b"".join(run.groups(k) for k in range(len(pieces))) == whole.groups(0)
 
 
 def test_a_megabyte(spark, models):
     rng = random.Random(1)
-    long = " ".join(rng.choice(["alpha", "Beta,", "gamma.", "naïve", "x  y"]) for _ in range(500_000))
-    check(spark, models, [long, long + " ▁", "short", None], parts=2)
+    long = " ".join(rng.choice(["alpha", "Beta,", "gamma.", "naïve", "x  y"]) for _ in range(900_000))
+    assert len(long) > ta.RUN_CHARS
+    check(spark, models, [long, long + " ▁", "short", None, long[:1_500_000], long[:1_200_000] + " a▁b " + long[:99]], parts=2)
 
 
 def test_pointer_jumping_on_random_cuts():
