@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekgrain.llm.common import SPACES, unused, written
+from seekgrain.llm.common import SPACES, giving_back, unused, written
 
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_540_483_477)
@@ -59,7 +59,7 @@ def chunk_shares(moduli: tuple[int, int], chunk_bytes: int):
                 names=["doc_id", "text_key", "n_bytes", "text_sha256", "chunk_no", "a", "b"],
             )
 
-    return run
+    return giving_back(run)
 
 
 def _chunks(body: str, chunk_bytes: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekgrain.llm.common import components, counted_broadcast, unused, written
+from seekgrain.llm.common import components, counted_broadcast, giving_back, unused, written
 from seekgrain.llm.shingles import mixed, shingle_sets, text_runs
 
 #: A shingle in more prefixes than this is frequent; at most so many of them go last in the order.
@@ -125,7 +125,7 @@ def _sets(width: int, percent: int):
                     names=["node", "n", "fp_a", "fp_b", "signature", "prefix"],
                 )
 
-    return run
+    return giving_back(run)
 
 
 def _moved_prefixes(width: int, percent: int, frequent):
@@ -155,7 +155,7 @@ def _moved_prefixes(width: int, percent: int, frequent):
                     [part.column("node").take(pa.array(rows)), pa.array(fp_a[rows]), _lists(total, sizes)], names=["node", "fp_a", "prefix"]
                 )
 
-    return run
+    return giving_back(run)
 
 
 class Forest:
@@ -320,7 +320,7 @@ def _forest_edges(percent: int):
                 names=["block", "a", "b", "more"],
             )
 
-    return run
+    return giving_back(run)
 
 
 def _exact_edges(percent: int):
@@ -347,7 +347,7 @@ def _exact_edges(percent: int):
                 pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return run
+    return giving_back(run)
 
 
 def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -367,7 +367,7 @@ def _checked(percent: int):
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    return run
+    return giving_back(run)
 
 
 def _members(width: int):
@@ -378,7 +378,7 @@ def _members(width: int):
                 rows = [values[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(rows, pa.binary())], names=["node", "members"])
 
-    return run
+    return giving_back(run)
 
 
 def one_of_equal_lists(blocks: DataFrame) -> DataFrame:

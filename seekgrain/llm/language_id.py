@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekgrain.llm.common import remainder_of_id, unused
+from seekgrain.llm.common import giving_back, remainder_of_id, unused
 from seekgrain.llm.quality import runs, text_buffers
-from seekgrain.llm.training import bounded_sample
+from seekgrain.llm.training import bounded_classes
 
-#: Labelled rows the classifiers are fitted on, at most.
-TRAINING_ROWS = 4_000
+#: Labelled rows the classifiers are fitted on, at most; with many languages so many of each.
+TRAINING_ROWS, LANGUAGE_ROWS = 4_000, 50
 BUCKETS = 1 << 11
 ORDERS = (1, 2, 3)
 STEPS, STEP_SIZE, RIDGE = 150, 8.0, 1e-4
@@ -33,7 +33,8 @@ STEPS, STEP_SIZE, RIDGE = 150, 8.0, 1e-4
 EXHAUSTIVE = 6
 #: The best language must be this much more likely than the second, or the answer is flagged.
 CLEAR_RATIO = 4.0
-RUN_BYTES = 1 << 20
+#: Texts counted at once, in bytes and in rows.
+RUN_BYTES, RUN_ROWS = 1 << 20, 1024
 UNKNOWN = "und"
 
 
@@ -117,21 +118,23 @@ def fit_languages(x: np.ndarray, labels: list[str]) -> Languages:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in runs(batch, "text", RUN_BYTES):
+        for part in runs(batch, "text", RUN_BYTES, RUN_ROWS):
             x = ngram_features(*text_buffers(part.column("text")))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), BUCKETS).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([part.column("lang"), values], names=["lang", "x"])
 
 
-def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Languages:
-    """Classifiers for the non-null ``lang`` of at most ``bound`` rows of ``docs``, chosen by a hash of the id.
+def fit(docs: DataFrame, bound: int = TRAINING_ROWS, least: int = LANGUAGE_ROWS) -> Languages:
+    """Classifiers for every non-null ``lang`` of ``docs``.
 
-    Held-out ids, null ids and texts without a letter are not learned from.
+    Each language is learned from max(``least``, ``bound`` / languages) rows at most, chosen by a hash of the
+    id, so a rare language has its codeword at every size of the table. Held-out ids, null ids and texts
+    without a letter are not learned from.
     """
-    usable = docs.filter((remainder_of_id() != 2) & F.col("lang").isNotNull())
-    sample = bounded_sample(usable, ["doc_id"], bound, usable.count())
-    sample = sample.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.lower("text").alias("text"))
-    rows = sample.mapInArrow(_features, "lang string, x array<float>").toArrow()
+    usable = docs.filter((remainder_of_id() != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sample = bounded_classes(usable.select("doc_id", "lang", "text"), "lang", ["doc_id"], bound, least)
+    sample = sample.select("lang", F.lower("text").alias("text"))
+    rows = sample.mapInArrow(giving_back(_features), "lang string, x array<float>").toArrow()
     if not rows.num_rows:
         return fit_languages(np.zeros((0, BUCKETS)), [])
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, BUCKETS)
@@ -154,7 +157,7 @@ def with_language(docs: DataFrame, model: Languages, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in runs(batch, low, RUN_BYTES):
+            for part in runs(batch, low, RUN_BYTES, RUN_ROWS):
                 told = np.asarray(part.column(low).is_valid()) & bool(known.names)
                 p = known.likelihoods(ngram_features(*text_buffers(part.column(low)))) if known.names else np.zeros((len(told), 1))
                 best = p.argmax(axis=1)
@@ -179,4 +182,4 @@ def with_language(docs: DataFrame, model: Languages, text: str = "text") -> Data
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.lower(text))
     added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "second": T.StringType(), "ambiguous": T.BooleanType()}
     schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in added.items()]])
-    return docs.withColumn(low, lettered).mapInArrow(run, schema)
+    return docs.withColumn(low, lettered).mapInArrow(giving_back(run), schema)

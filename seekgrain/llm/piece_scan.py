@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekgrain.llm.common import unused, written
+from seekgrain.llm.common import giving_back, unused, written
 from seekgrain.llm.shingles import mixed, text_runs
 
 #: Characters of a chunk; longer texts are encoded chunk by chunk.
@@ -31,7 +31,7 @@ CHUNK_CHARS = 1 << 16
 LONG = 256
 UNIT = 1 << 16
 #: Texts are encoded in runs of about this many bytes, and their distinct stretches in lattices of so many.
-RUN_BYTES, LATTICE_STRETCHES = 1 << 22, 1 << 15
+RUN_BYTES, LATTICE_STRETCHES = 1 << 21, 1 << 14
 SPACE_SIGN = "▁"
 NEVER = np.int64(1) << 60
 SLOT_BITS = 20
@@ -362,7 +362,7 @@ def _encoded(column: str, result: str, pieces, prefix: bool, check: str | None =
                     added[check] = pa.array(_comes_back(known, whole, ids, offsets))
                 yield pa.RecordBatch.from_arrays([*part.columns, *added.values()], names=[*part.schema.names, *added])
 
-    return run
+    return giving_back(run)
 
 
 def _matrices(pieces):
@@ -374,7 +374,7 @@ def _matrices(pieces):
                 [batch.column("row"), batch.column("no"), pa.array(found, pa.binary())], names=["row", "no", "matrix"]
             )
 
-    return run
+    return giving_back(run)
 
 
 def encode(
@@ -450,7 +450,7 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", result: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, result])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(result, T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def default_model(spark: SparkSession) -> str:

@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekgrain.llm.common import remainder_of_id, unused
+from seekgrain.llm.common import giving_back, remainder_of_id, unused
 from seekgrain.llm.training import bounded_sample
 
 #: Labelled rows the trees are fitted on, at most.
 TRAINING_ROWS = 12_000
 THRESHOLD = 0.7
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST_ROWS = 60, 4, 64, 0.15, 1.0, 10
-#: Texts are measured in runs of about this many bytes.
-RUN_BYTES = 1 << 22
+#: Texts are measured in runs of about this many bytes, and so many rows at most.
+RUN_BYTES, RUN_ROWS = 1 << 20, 4096
 
 _CLASSES = (
     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\r\x0b\x0c", "\n", ".", ",", "!?",
@@ -141,12 +141,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def runs(batch: pa.RecordBatch, column: str, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts have about ``most`` bytes; one longer text is a slice of its own."""
+def runs(batch: pa.RecordBatch, column: str, most: int = RUN_BYTES, rows: int = RUN_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of ``rows`` rows whose texts have about ``most`` bytes; one longer text is a slice of its own."""
     _, offsets = text_buffers(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        stop = min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -235,21 +236,23 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batch, "text"):
             x = statistics(*text_buffers(part.column("text")))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column("label"), values], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("place"), values], names=["label", "place", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Trees:
     """Trees for ``labels(doc_id, quality)`` over the texts of ``docs``; held-out ids are never used.
 
-    At most ``bound`` labelled rows, chosen by a hash of their id, are looked up; null labels and ids are
-    left out, other labels than 0 and 1 too. Without rows of both labels the score is a constant.
+    At most ``bound`` labelled rows, chosen by a hash of their id, are looked up, and of their texts at most
+    twice as many, by a hash of the text where ids repeat; null labels and ids are left out, other labels than
+    0 and 1 too. Without rows of both labels the score is a constant.
     """
     usable = labels.filter((remainder_of_id() != 2) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     sample = bounded_sample(usable, ["doc_id"], bound, usable.count())
     sample = sample.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # bounded by ``bound``
-    rows = known.select("label", "text").mapInArrow(_measured, "label int, x array<double>").limit(2 * bound).toArrow()
+    known = known.select("label", F.xxhash64("_id", "text").alias("place"), "text")
+    rows = known.mapInArrow(giving_back(_measured), "label int, place long, x array<double>").orderBy("place", "label").limit(2 * bound).toArrow()
     if not rows.num_rows:
         return fit_trees(np.zeros((0, FEATURES)), np.zeros(0))
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, FEATURES)
@@ -275,7 +278,7 @@ def with_score(docs: DataFrame, trees: Trees, text: str = "text", score: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[*part.schema.names, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def predicted(score: Column, threshold: float = THRESHOLD) -> Column:

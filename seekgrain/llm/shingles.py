@@ -65,10 +65,14 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     words, offsets = word_hashes(texts)
     values, owner = shingle_hashes(words, offsets, width)
     counts = np.diff(offsets)
-    for row in np.flatnonzero((counts > 0) & (counts < width)):
-        few = words[offsets[row] : offsets[row + 1]]
-        one, _ = shingle_hashes(few, np.array([0, len(few)]), len(few))
-        values, owner = np.r_[values, mixed(one + np.uint64(len(few)))], np.r_[owner, row]
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    if len(few):
+        # Rows of one length are shingles of that width.
+        for length in np.unique(counts[few]).tolist():
+            rows = few[counts[few] == length]
+            at = offsets[rows][:, None] + np.arange(length)
+            one, _ = shingle_hashes(words[at].ravel(), np.arange(len(rows) + 1) * length, length)
+            values, owner = np.r_[values, mixed(one + np.uint64(length))], np.r_[owner, rows]
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), dtype=bool)
@@ -77,12 +81,13 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(counts)))]
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts have about ``most`` bytes; one longer text is a slice of its own."""
+def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of ``rows`` rows whose texts have about ``most`` bytes; one longer text is a slice of its own."""
     sizes = pc.binary_length(batch.column(column).fill_null("")).to_numpy(zero_copy_only=False)
     ends = np.r_[0, np.cumsum(sizes.astype(np.int64))]
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        stop = min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekgrain.llm.common import written
+from seekgrain.llm.common import giving_back, written
 from seekgrain.llm.jaccard_join import NAMELESS, least_overlap, whole_groups
 from seekgrain.llm.shingles import mixed, shingle_hashes, text_runs, word_hashes
 
@@ -95,7 +95,7 @@ def _windows(shingle: int, length: int):
                         [pa.array(least.view(np.int64)), pa.array(node[of]), pa.array(place)], names=["key", "node", "place"]
                     )
 
-    return run
+    return giving_back(run)
 
 
 def _regions(group: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def _passages(length: int):
                 names=["node", "start", "stop", "other", "other_start", "other_stop"],
             )
 
-    return run
+    return giving_back(run)
 
 
 def _slices(shingle: int):
@@ -168,7 +168,7 @@ def _slices(shingle: int):
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "start", "stop", "tokens"]
                 )
 
-    return run
+    return giving_back(run)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -223,7 +223,7 @@ def _verified(length: int, percent: int):
             columns = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return run
+    return giving_back(run)
 
 
 def _open_windows(length: int):
@@ -253,7 +253,7 @@ def _open_windows(length: int):
                 [pa.array(x) for x in (key[rows], node[rows], place[rows], low, high)], names=["key", "node", "place", "low", "high"]
             )
 
-    return run
+    return giving_back(run)
 
 
 def _may_be_similar(own, news, kinds, theirs, inside, their_kinds, exact, length: int, percent: int) -> np.ndarray:
@@ -360,7 +360,7 @@ def _met_in_blocks(length: int, percent: int):
             columns = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return run
+    return giving_back(run)
 
 
 def _fields(place):

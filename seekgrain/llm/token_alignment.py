@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekgrain.llm.common import written
+from seekgrain.llm.common import giving_back, written
 from seekgrain.llm.piece_scan import gather
 
 SPACE_SIGN = "▁"
@@ -354,7 +354,7 @@ def _tokenized(models, spelled: bool, schema: T.StructType):
                 names=["payload", *kinds.names],
             )
 
-    return run
+    return giving_back(run)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -418,7 +418,7 @@ def align(docs: DataFrame, models: Models, text: str = "text", keep_groups: bool
     met = held.select("block", "pair").join(counts.select("pair", "count", "best"), "pair")
     met = met.groupBy("block").agg(F.collect_list(F.struct("pair", "count", "best")).alias("met"))  # a block's own pairs
     full = blocks.select("block", "keys", "sizes", "stretches", "pairs", "pair_sizes").join(met, "block").drop("block")
-    sums = full.mapInArrow(_scored, "key long, n_best long, count_sum long")
+    sums = full.mapInArrow(giving_back(_scored), "key long, n_best long, count_sum long")
     sums = sums.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     digest = made.filter("key IS NOT NULL").select("payload", "key", *[f.split()[0] for f in DIGEST.split(", ")])
     found = digest.join(sums, "key", "left").drop("key", *([] if keep_groups else ["groups"]))

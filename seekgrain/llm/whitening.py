@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekgrain.llm.common import unused, written
+from seekgrain.llm.common import giving_back, unused, written
 
 COMPONENTS = 16
 SCALE, SHIFT = 64, 1_000_000
@@ -198,7 +198,7 @@ def _sums(size: int):
                 names=["dimension", "total", "n"],
             )
 
-    return run
+    return giving_back(run)
 
 
 @dataclass
@@ -241,7 +241,7 @@ def _products(centre: Centre, size: int, projection: np.ndarray | None):
                 [pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["row", "products"]
             )
 
-    return run
+    return giving_back(run)
 
 
 def covariance(grid: DataFrame, centre: Centre, size: int, projection: np.ndarray | None = None) -> np.ndarray:
@@ -331,4 +331,4 @@ def whiten(
                     names=[*[n for n in part.schema.names if n != grid], whitened, deviation],
                 )
 
-    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+    return rows.mapInArrow(giving_back(run), T.StructType([*kept.schema.fields, *added]))

@@ -237,3 +237,30 @@ def test_shards_are_exact_and_repeatable(spark, monkeypatch, slice_rows):
     assert sharding.shuffle_into_shards(frame.limit(0), ["doc_id", "text"]).collect() == []
     few = sharding.shuffle_into_shards(frame.limit(3), ["doc_id", "text"]).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_pii_account_numbers_end_where_their_country_says(spark):
+    texts = ["ES91 2100 0418 4502 0005 1332 AND more", "BE68 5390 0754 7034 BIC", "GB82WEST12345698765432 X", "XX12 3456 7890 1234 567", "DE89370400440532013000A"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: [s.value for s in r.pii if s.kind == "iban"] for r in pii.find_pii(frame).collect()}
+    assert [got[t] for t in texts] == [["ES91 2100 0418 4502 0005 1332"], ["BE68 5390 0754 7034"], ["GB82WEST12345698765432"], [], []]
+
+
+def test_pii_context_is_what_stands_near(spark):
+    rng = random.Random(4)
+    words = ["a@b.co", "1.2.3.4", "mail", "host", "é" * 9, "x" * 38, "x" * 41, "+49 170 123 456 78", "tel", "1.2.3.999"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    for r in pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        for s in r.pii:
+            assert r.text[s.start : s.end] == s.value
+            near = r.text[max(s.start - pii.NEAR, 0) : s.start] + " " + r.text[s.end : s.end + pii.NEAR]
+            base, more = pii.SCORES[s.kind]
+            known = re.search(rf"(?i)(?<![^\W\d_])(?:{pii.CONTEXT[s.kind]})", near)
+            assert s.score == pytest.approx(base + more if known else base)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = "a@b.co, 1.2.3.4 " * 100_000
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find_pii(frame).select(pii.count_of(F.col("pii"), "email").alias("e"), pii.count_of(F.col("pii"), "ip").alias("i"), F.col("pii")[199_999].alias("last")).first()
+    assert (row.e, row.i, row["last"].start) == (100_000, 100_000, len(text) - 8)
