@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekgrain.llm.common import WORD, counted_broadcast, unused, written
+from seekgrain.operators.ranking import row_numbers
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -19,7 +20,8 @@ MOST_TIMES = 2
 #: Tokens of a block at most; a small corpus has smaller blocks, so that it still has MANY_BLOCKS.
 BLOCK_TOKENS = 1024
 MANY_BLOCKS = 100_000
-SHARD_TOKENS = 1 << 22
+#: A shard holds about so many tokens, and so many rows, at most.
+SHARD_TOKENS, SHARD_ROWS = 1 << 22, 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -87,13 +89,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     ``taken`` words, repeats counted: ``size`` for each whole pass over the source plus ``taken_once``
     words of the last, partial one, from ``first_word`` on (it wraps round at the end of the text).
-    Null text has size 0, null is a source of its own, and rows equal in id and size are taken in any
-    order. An empty table gives no rows; other columns are not looked at.
+    Null text has size 0, null is a source of its own, and rows equal in id and text are taken in any
+    order; ``text_hash`` (MD5) tells the texts of one id apart. An empty table gives no rows; other columns
+    are not looked at.
     """
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    sizes = written(sizes.withColumn("place", seeded(seed, "doc_id", "size")))
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sources)
+    sizes = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(text).alias("text_hash")
+    )
+    sizes = written(sizes.withColumn("place", seeded(seed, "doc_id", "size", "text_hash")))
+    sources = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
+    goals = targets(sources.drop("n_rows"))
     every = Window.partitionBy()
     total = F.sum("source_size").over(every)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TOKENS), F.floor(total / MANY_BLOCKS))).cast("long")
@@ -107,7 +112,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     goals = goals.withColumn("passes", F.coalesce(passes, F.lit(0)).cast("long"))
     rest = F.when(F.col("passes") < MOST_TIMES, words_due - F.col("passes") * F.col("source_size")).otherwise(0)
     goals = goals.withColumn("rest_blocks", F.floor(rest / F.col("block") + F.lit(0.5)).cast("long"))
-    goals = goals.withColumn("shards", F.ceil(F.greatest("source_size", F.lit(1)) / SHARD_TOKENS).cast("long"))
+    n_rows = sources.select(F.col("source").alias("s"), "n_rows")
+    goals = goals.join(n_rows, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    shards = F.ceil(F.greatest(F.col("source_size") / SHARD_TOKENS, F.col("n_rows") / SHARD_ROWS, F.lit(1)))
+    goals = goals.withColumn("shards", shards.cast("long"))
     goals = written(
         goals.select(F.col("source").alias("s"), "source_size", "target", "block", "passes", "rest_blocks", "shards")
     )
@@ -140,7 +148,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("taken_once", F.least("size", straight + wrapped)).withColumn("first_word", first.cast("long"))
     taken = F.col("passes") * F.col("size") + F.col("taken_once")
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", "passes", "first_word", "taken_once", taken.alias("taken")
+        "doc_id", "source", "size", "text_hash", "source_size", "target", "passes", "first_word", "taken_once", taken.alias("taken")
     )
 
 
@@ -148,19 +156,27 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """The mix itself: every row of ``docs`` none, one or two times, with the columns of ``docs``.
 
     Documents stay whole: one that the last, partial pass takes in part comes in when at least half of it
-    is taken. Repeated rows are told apart by number, so each gets its own share.
+    is taken. Rows equal in id, source and text share one decision, unless the partial pass begins or ends
+    among them; then they are numbered, by a hash of all their columns, and the first ones come in. Reruns
+    agree; null ids, texts and sources are values like others, and an empty table stays empty.
     """
-    key, number, shares, times = (unused(docs, n) for n in ("_key", "_number", "_shares", "_times"))
+    key, times, share, place, row, number = (unused(docs, n) for n in ("_key", "_times", "_share", "_place", "_row", "_number"))
     copies = F.col("passes") + ((F.col("taken_once") > 0) & (2 * F.col("taken_once") >= F.col("size"))).cast("long")
-    decided = mix(docs, doc_id, text, source, seed).select(
-        F.xxhash64("doc_id", "source", "size").alias("key"), F.struct("doc_id", "source", "size", copies.alias("copies")).alias("share")
-    )
-    decided = written(decided.groupBy("key").agg(F.sort_array(F.collect_list("share")).alias("shares")))
-    decided = decided.select(F.col("key").alias(key), F.col("shares.copies").alias(shares))
-    size = unused(docs, "_size")
-    rows = docs.withColumn(size, n_words(F.col(text))).withColumn(key, F.xxhash64(doc_id, source, size))
-    alike = Window.partitionBy(key).orderBy(doc_id, source, size)
-    rows = rows.withColumn(number, F.row_number().over(alike)).join(decided, key)
-    rows = rows.withColumn(times, F.get(shares, F.col(number) - 1).cast("int")).filter(F.col(times) > 0)
+    decided = mix(docs, doc_id, text, source, seed).select(F.xxhash64("doc_id", "source", "text_hash").alias(key), copies.alias("copies"))
+    counts = [F.count_if(F.col("copies") >= t).alias(f"n{t}") for t in range(1, MOST_TIMES + 1)]
+    decided = decided.groupBy(key).agg(F.min("copies").alias("least"), F.max("copies").alias("most"), *counts)
+    decided = written(decided.filter("most > 0"))
+    rows = docs.withColumn(key, F.xxhash64(doc_id, source, F.md5(text)))
+    even = decided.filter("least = most").select(key, F.col("most").cast("int").alias(times))
+    taken = rows.join(even, key)
+    uneven = decided.filter("least < most").select(key, F.struct(*[c for c in decided.columns if c[0] == "n"]).alias(share))
+    uneven = counted_broadcast(uneven)
+    if not uneven.isEmpty():
+        some = written(rows.join(uneven, key).withColumns({place: F.xxhash64(*docs.columns), row: F.monotonically_increasing_id()}))
+        some = row_numbers(some, [place, row], number, [key])
+        part = F.lit(0)
+        for t in range(1, MOST_TIMES + 1):
+            part = part + (F.col(number) <= F.col(share)[f"n{t}"]).cast("int")
+        taken = taken.unionByName(some.withColumn(times, part).filter(F.col(times) > 0).select(*docs.columns, key, times))
     again = unused(docs, "_again")
-    return rows.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    return taken.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -27,6 +27,8 @@ from seekgrain.llm.shingles import mixed, text_runs
 
 #: Characters of a chunk; longer texts are encoded chunk by chunk.
 CHUNK_CHARS = 1 << 16
+#: Neighbouring matrices that are combined at once; their products are combined again until one is left.
+FAN = 64
 #: Characters that are segmented in one go; longer runs without a sure boundary are cut by matrices.
 LONG = 256
 UNIT = 1 << 16
@@ -192,12 +194,14 @@ def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum((x[:, :, None] + y[None, :, :]).min(axis=1), NEVER)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """State at the end of every part on the best way from state 0 to state 0 over all of them."""
-    ways = [np.r_[np.int64(0), np.full(len(matrices[0]) - 1, NEVER)]] if matrices else []
+def boundary_states(matrices: list[np.ndarray], first: int = 0, last: int = 0) -> list[int]:
+    """State at the end of every part on the best way from state ``first`` to state ``last`` over all of them."""
+    start = np.full(len(matrices[0]), NEVER) if matrices else np.zeros(0, np.int64)
+    start[first : first + 1] = 0
+    ways = [start]
     for matrix in matrices:
         ways.append(np.minimum((ways[-1][:, None] + matrix).min(axis=0), NEVER))
-    states = [0]
+    states = [last]
     for way, matrix in zip(ways[-2::-1], matrices[::-1]):
         states.append(int((way + matrix[:, states[-1]]).argmin()))
     return states[::-1][1:]
@@ -377,6 +381,62 @@ def _matrices(pieces):
     return giving_back(run)
 
 
+def _chunks(chars: int, longest: int, lead: str):
+    """(row, no, size, chunk) of every text; a chunk has the signs after it that a piece across its end can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, text = batch.column("row")[i].as_py(), lead + batch.column("text")[i].as_py()
+                for no, start in enumerate(range(0, len(text), chars)):
+                    size, part = min(chars, len(text) - start), text[start : start + chars + longest - 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row], pa.int64()), pa.array([no], pa.int64()), pa.array([size], pa.int64()), pa.array([part])],
+                        names=["row", "no", "size", "chunk"],
+                    )
+
+    return run
+
+
+def _states(matrices: DataFrame, side: int) -> DataFrame:
+    """(row, no, begin, over): the states of the best way at the start and the end of every chunk.
+
+    Products of FAN neighbours make the next level, until one group is left per text; the states then come
+    down again, each group finding those inside from its own two. So no group holds more than FAN matrices.
+    """
+
+    def read(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+        table = table.sort_by("no")
+        return table, [np.frombuffer(m, np.int64).reshape(side, side) for m in table.column("matrix").to_pylist()]
+
+    def product(table: pa.Table) -> pa.Table:
+        table, found = read(table)
+        whole = found[0]
+        for matrix in found[1:]:
+            whole = combine(whole, matrix)
+        return pa.table({"row": table.column("row")[:1], "no": pa.array([table.column("up")[0].as_py()]), "matrix": pa.array([whole.tobytes()])})
+
+    def inside(table: pa.Table) -> pa.Table:
+        table, found = read(table)
+        ends = boundary_states(found, table.column("first")[0].as_py(), table.column("last")[0].as_py())
+        begins = [table.column("first")[0].as_py(), *ends[:-1]]
+        return pa.table({"row": table.column("row"), "no": table.column("no"), "begin": pa.array(begins, pa.int64()), "over": pa.array(ends, pa.int64())})
+
+    def grouped(level: DataFrame) -> DataFrame:
+        return level.withColumn("up", F.expr(f"no div {FAN}"))
+
+    levels = [matrices]
+    while levels[-1].agg(F.max("no")).first()[0] >= FAN:
+        levels.append(written(grouped(levels[-1]).groupBy("row", "up").applyInArrow(product, "row long, no long, matrix binary")))
+    zero = F.lit(0).cast("long")
+    states = levels[-1].select("row", zero.alias("up"), zero.alias("first"), zero.alias("last")).distinct()
+    for level in levels[::-1]:
+        held = grouped(level).join(states, ["row", "up"])
+        found = written(held.groupBy("row", "up").applyInArrow(inside, "row long, no long, begin long, over long"))
+        states = found.select("row", F.col("no").alias("up"), F.col("begin").alias("first"), F.col("over").alias("last"))
+    return found
+
+
 def encode(
     docs: DataFrame, pieces: Pieces, text: str = "text", result: str = "ids", chunk_chars: int = CHUNK_CHARS,
     check: str | None = None,
@@ -399,26 +459,11 @@ def encode(
     rows = written(docs.filter(giant).withColumn(row, F.monotonically_increasing_id()))
     if rows.isEmpty():
         return short
-    lead = " " if pieces.dummy_prefix else ""
-    whole = rows.select(F.col(row).alias("row"), F.concat(F.lit(lead), F.col(text)).alias("text")).withColumn("n", F.length("text"))
-    chunks = whole.select("row", "text", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {chunk_chars})")).alias("no"))
-    chunks = chunks.select(
-        "row", "no", F.least(F.lit(chunk_chars), F.col("n") - F.col("no") * chunk_chars).alias("size"),
-        F.substr("text", F.col("no") * chunk_chars + 1, F.lit(chunk_chars + pieces.longest - 1)).alias("chunk"),
-    ).repartition("row", "no")
-    chunks = written(chunks)
-    matrices = written(chunks.select("row", "no", "chunk", "size").mapInArrow(_matrices(shared), "row long, no long, matrix binary"))
-    side = pieces.longest
-
-    def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by("no")
-        found = [np.frombuffer(m, np.int64).reshape(side, side) for m in table.column("matrix").to_pylist()]
-        ends = boundary_states(found)
-        return pa.table(
-            {"row": table.column("row"), "no": table.column("no"), "begin": pa.array([0, *ends[:-1]], pa.int64()), "over": pa.array(ends, pa.int64())}
-        )
-
-    states = matrices.groupBy("row").applyInArrow(scan, "row long, no long, begin long, over long")
+    whole = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    cut = giving_back(_chunks(chunk_chars, pieces.longest, " " if pieces.dummy_prefix else ""))
+    chunks = written(whole.mapInArrow(cut, "row long, no long, size long, chunk string").repartition("row", "no"))
+    matrices = chunks.select("row", "no", "chunk", "size").mapInArrow(_matrices(shared), "row long, no long, matrix binary")
+    states = _states(written(matrices), pieces.longest)
     own = F.substr("chunk", (F.col("begin") + 1).cast("int"), (F.col("size") - F.col("begin") + F.col("over")).cast("int"))
     own = chunks.join(states, ["row", "no"]).select("row", "no", own.alias("chunk"))
     coded = own.mapInArrow(_encoded("chunk", "part", shared, False), "row long, no long, chunk string, part array<int>")

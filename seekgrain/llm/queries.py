@@ -79,16 +79,17 @@ def _apportioned(parties: str, group: str, key: str, vote: str, seats: str) -> s
     GROUP BY {group + ', ' if group else ''}{key}"""
 
 
-MIX_SQL = f"""WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size
-    FROM documents),
-  placed AS (SELECT *, md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || size::VARCHAR) AS place FROM sizes),
-  src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+MIX_SQL = f"""WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+    coalesce(md5(text), '-') AS text_hash FROM documents),
+  placed AS (SELECT * EXCLUDE (text_hash), md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || size::VARCHAR || ':' || text_hash) AS place
+    FROM sizes),
+  src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM sizes GROUP BY source),
   weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
     2 * source_size AS cap FROM src),
   levels AS (SELECT *, (sum(source_size) OVER () * 150 / 100 - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-  goals AS (SELECT source, source_size, least(cap::DOUBLE, water * weight) AS target FROM (
+  goals AS (SELECT source, source_size, n_rows, least(cap::DOUBLE, water * weight) AS target FROM (
     SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS water FROM levels)),
   blocked AS (SELECT *, greatest(1, least(1024, floor(sum(source_size) OVER () / 100000)))::BIGINT AS block FROM goals),
   numbered AS (SELECT *, floor(sum(target) OVER () / block + 0.5)::BIGINT AS blocks FROM blocked),
@@ -97,7 +98,7 @@ MIX_SQL = f"""WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_
   passed AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(due / source_size)) ELSE 0 END::BIGINT AS passes FROM due),
   ready AS (SELECT source, source_size, target, block, passes,
     floor(CASE WHEN passes < 2 THEN due - passes * source_size ELSE 0 END / block + 0.5)::BIGINT AS rest_blocks,
-    ceil(greatest(source_size, 1) / 4194304)::BIGINT AS shards FROM passed),
+    ceil(greatest(source_size / 4194304, n_rows / 20000, 1))::BIGINT AS shards FROM passed),
   spread AS (SELECT p.*, r.* EXCLUDE (source), ('0x' || substr(place, 1, 8))::BIGINT % shards AS shard
     FROM placed p JOIN ready r ON p.source IS NOT DISTINCT FROM r.source),
   walked AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size

@@ -159,6 +159,59 @@ def test_round_trip_and_chunks(spark, pieces):
     assert piece_scan.encode(docs.limit(0), pieces).collect() == []
 
 
+def test_matrices_are_combined_in_rounds(spark, pieces, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcde fgh é日") for _ in range(n)) for n in (5, 300, 2_000, 9_000)] + ["x" * 3_000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(piece_scan, "FAN", 4)
+    cost = {int(i): int(c) for i, c in zip(pieces.ids, pieces.costs) if i >= 0}
+
+    def total(ids):
+        return sum(cost.get(i, 0) for i in ids) + pieces.unknown_cost * sum(i not in cost for i in ids)
+
+    whole = {r.doc_id: r.ids for r in piece_scan.encode(docs, pieces).collect()}
+    for r in piece_scan.encode(docs, pieces, chunk_chars=50, check="same").collect():
+        assert r.same is not False and (r.ids is None) == (whole[r.doc_id] is None)
+        assert r.ids is None or total(r.ids) == total(whole[r.doc_id])
+
+
+def test_a_giant_text_is_cut_in_linear_time(spark, pieces):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["word", "other", "naïve", "日本"]) for _ in range(1_500_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = piece_scan.encode(docs, pieces, check="same").select("doc_id", "same", "ids").collect()
+    assert all(r.same for r in rows) and min(len(r.ids) for r in rows) < 10 < max(len(r.ids) for r in rows)
+
+
+def test_rare_languages_are_learned_at_every_size(spark):
+    from seekgrain.llm.training import bounded_classes
+
+    rows = [(i, "de" if i else "xx", f"text {i}") for i in range(3_000)] + [(None, "fr", "a"), (7, "fr", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    found = bounded_classes(frame, "lang", ["doc_id"], 60, 5)
+    counts = {r.lang: r["count"] for r in found.groupBy("lang").count().collect()}
+    assert counts == {"de": 20, "xx": 1, "fr": 2}
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, bounded_classes(frame.repartition(2), "lang", ["doc_id"], 60, 5).collect()))
+    model = language_id.fit(frame)
+    assert {"de", "xx"} <= set(model.names)
+
+
+def test_decoding_against_a_plain_sum():
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 5, 9):
+        codes = language_id.codewords(n)
+        bits = codes.shape[1]
+        model = language_id.Languages(
+            [f"l{i}" for i in range(n)], codes, rng.normal(size=(language_id.BUCKETS, bits)), rng.normal(size=bits), rng.uniform(0.5, 2, bits)
+        )
+        x = language_id.ngram_features(*quality.text_buffers(pa.array(["some text", "etwas", "ein", "é"])))
+        for row, p in zip(x, model.likelihoods(x)):
+            margins = [sum(float(a) * float(w) for a, w in zip(row, model.weights[:, k])) + model.bias[k] for k in range(bits)]
+            loss = [sum(model.trust[k] * np.log1p(np.exp(-margins[k] * codes[i, k])) for k in range(bits)) for i in range(n)]
+            plain = np.exp(-np.array(loss))
+            assert np.allclose(p, plain / plain.sum(), atol=1e-9) and p.argmax() == int(np.argmin(loss))
+
+
 def test_library_agrees(pieces):
     import math
 

@@ -133,6 +133,20 @@ def test_mixed_rows_are_whole_documents(spark):
         assert abs(words[s] - goal) <= 60
 
 
+def test_mixed_rows_of_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 100)
+    rows = [(None, "c", "same text here")] * 900 + [(i, "ab"[i % 2], "w " * 9) for i in range(600)] + [(None, None, None)] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    got = Counter(map(tuple, mixing.mixed_rows(frame).collect()))
+    taken = Counter()
+    for r in mixing.mix(frame).collect():
+        copies = r.passes + (r.taken_once > 0 and 2 * r.taken_once >= r["size"])
+        taken[r.doc_id, r.source, {"c": "same text here", None: None}.get(r.source, "w " * 9)] += copies
+    assert got == Counter({k: n for k, n in taken.items() if n})
+    assert 600 < got[None, "c", "same text here"] < 900
+    assert got == Counter(map(tuple, mixing.mixed_rows(frame.repartition(3)).collect()))
+
+
 # ---- personal data ------------------------------------------------------------------------------
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
