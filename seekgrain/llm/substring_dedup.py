@@ -8,13 +8,17 @@ minima form a group. At first every window is set against two windows of its gro
 the smallest and of the largest document, so a group of m windows gives 2 m pairs at most.
 The intervals of all hash functions are laid over each other; where enough functions find a partner,
 the intervals are joined per partner and alignment, and these candidates verified on their shingles.
-Windows with starts that are in no verified passage then walk through their whole group, block against
-block, until these starts are verified or have met every other window.
+Where two functions agree on their minima, a pair of windows overlaps in a place with a key of its own; starts
+that are in no verified passage are looked for among the places of other documents with the same key, block
+against block, until they are verified or have met all of them. A shingle that many texts share makes a large
+group of windows, but not of such places.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ PERCENT = 80
 BROADCAST_SPANS = 2_000_000
 #: Windows of a group that look for partners at once, and that they are set against at once.
 BLOCK_ROWS = 2048
+#: Pairs of them whose masks, and whose shingles, are compared at once.
+PAIRS_AT_ONCE, SIDE_BY_SIDE = 1 << 17, 1 << 13
 WINDOW_SCHEMA = "key long, node long, place long"
 
 
@@ -171,9 +177,38 @@ def _slices(shingle: int):
     return giving_back(run)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of a short list; np.unique hashes, which costs more on some dozens of numbers."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two lists without repeats."""
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def common_in_windows(i: np.ndarray, j: np.ndarray, begins: np.ndarray, starts: np.ndarray, of, length: int) -> np.ndarray:
+    """Shingles that both sides have in each window of aligned pieces, from the places i and j of the common ones.
+
+    Piece ``of`` has ``starts`` windows, which are counted from ``begins`` on; a shingle counts in the windows
+    that hold both of its places.
+    """
+    low = np.maximum(np.maximum(i, j) - length + 1, 0)
+    high = np.minimum(np.minimum(i, j), starts[of] - 1)
+    inside = low <= high
+    base = np.broadcast_to(begins[of], low.shape)[inside]
+    size = int(starts.sum()) + 1
+    return np.cumsum(np.bincount(base + low[inside], minlength=size) - np.bincount(base + high[inside] + 1, minlength=size))[:-1]
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(x, y))
-    return common > 0 and 100 * common >= percent * (len(np.unique(x)) + len(np.unique(y)) - common)
+    x, y = distinct(x), distinct(y)
+    common = in_common(x, y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def verified_parts(x: np.ndarray, y: np.ndarray, length: int, percent: int) -> list[tuple[int, int]]:
@@ -182,24 +217,18 @@ def verified_parts(x: np.ndarray, y: np.ndarray, length: int, percent: int) -> l
     if n < length:
         return []
     x, y = x[:n], y[:n]
-    if similar(x, y, percent):
+    own, their = distinct(x), distinct(y)
+    common = in_common(own, their)
+    if common > 0 and 100 * common >= percent * (len(own) + len(their) - common):
         return [(0, n)]
-
-    def in_window(marks: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(marks)]
-        return total[length:] - total[:-length]
-
-    def enough(common: np.ndarray) -> np.ndarray:
-        return 100 * common >= percent * (2 * length - common)
-
-    if len(np.unique(x)) == len(np.unique(y)) == n:
-        # Without repeats, shingles at equal places are common ones, and no window has more than occur at all.
-        ok = enough(in_window(x == y))
-        open_ = enough(np.minimum(in_window(np.isin(x, y)), in_window(np.isin(y, x)))) & ~ok
+    if len(own) == len(their) == n:
+        # Without repeats, the places of a shingle tell the windows in which it is common.
+        at = np.minimum(np.searchsorted(their, x), n - 1)
+        i = np.flatnonzero(their[at] == x)
+        common = common_in_windows(i, np.argsort(y)[at[i]], np.zeros(1, np.int64), np.array([n - length + 1]), 0, length)
+        ok = 100 * common >= percent * (2 * length - common)
     else:
-        ok, open_ = np.zeros(n - length + 1, bool), np.ones(n - length + 1, bool)
-    for s in np.flatnonzero(open_).tolist():
-        ok[s] = similar(x[s : s + length], y[s : s + length], percent)
+        ok = np.array([similar(x[s : s + length], y[s : s + length], percent) for s in range(n - length + 1)])
     edges = np.flatnonzero(np.diff(np.r_[False, ok, False]))
     parts: list[tuple[int, int]] = []
     for s, e in zip(edges[::2].tolist(), (edges[1::2] - 1 + length).tolist()):
@@ -226,8 +255,35 @@ def _verified(length: int, percent: int):
     return giving_back(run)
 
 
+def _paired_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places where windows of two functions overlap, with a key made of both minima; all windows of a document are adjacent."""
+    for table in whole_groups(batches, "node"):
+        node, key, place = (table.column(c).to_numpy() for c in ("node", "key", "place"))
+        first = place >> 18
+        centre, last, function = first + (place >> 11 & 127), first + (place >> 4 & 127), place & 15
+        base = np.cumsum(np.r_[False, node[1:] != node[:-1]]) * (int(last.max()) + 2)
+        own = []
+        for f in range(FUNCTIONS):
+            rows = np.flatnonzero(function == f)
+            own.append(rows[np.argsort((base + first)[rows], kind="stable")])
+        for number, (f, g) in enumerate(itertools.combinations(range(FUNCTIONS), 2)):
+            x, y = own[f], own[g]
+            low = np.searchsorted((base + last)[y], (base + first)[x])
+            many = np.searchsorted((base + first)[y], (base + last)[x], side="right") - low
+            i = np.repeat(x, many)
+            j = y[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            # The least shingle may stand before the place where it comes again; then the place begins with it.
+            start = np.minimum(np.maximum(first[i], first[j]), centre[i])
+            stop = np.minimum(last[i], last[j])
+            both = mixed(key[i].view(np.uint64) ^ mixed(key[j].view(np.uint64) + np.uint64(number + 1)))
+            code = (start << 18) | ((centre[i] - start) << 11) | ((stop - start) << 4) | number
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both.view(np.int64)), pa.array(node[i]), pa.array(code)], names=["key", "node", "place"]
+            )
+
+
 def _open_windows(length: int):
-    """Windows with starts, low to high, in no verified passage and where ENOUGH functions have a group; spans have place -1."""
+    """Windows with starts, low to high, in no verified passage; spans have place -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
@@ -243,8 +299,7 @@ def _open_windows(length: int):
                 step = np.bincount((base + low)[rows], minlength=room.sum()) - np.bincount((base + high)[rows] + 1, minlength=room.sum())
                 return np.cumsum(step)
 
-            # The windows of one function do not overlap, so every one that covers a start is another function.
-            starts = np.flatnonzero((cover(own) >= ENOUGH) & (cover(~own) == 0))
+            starts = np.flatnonzero((cover(own) > 0) & (cover(~own) == 0))
             first = np.searchsorted(starts, base + low)
             last = np.searchsorted(starts, base + high, side="right") - 1
             rows = np.flatnonzero(own & (first <= last))
@@ -262,10 +317,11 @@ def _may_be_similar(own, news, kinds, theirs, inside, their_kinds, exact, length
     news(start, place): the first places of shingles in the window of a start; kinds: distinct shingles per start;
     exact: neither side repeats a shingle.
     """
-    distinct, of_own = np.unique(own, return_inverse=True)
-    at = np.minimum(np.searchsorted(distinct, theirs), len(distinct) - 1)
-    hit = inside & (distinct[at] == theirs)
-    met = np.zeros((len(theirs), len(distinct)), bool)
+    known = distinct(own)
+    of_own = np.searchsorted(known, own)
+    at = np.minimum(np.searchsorted(known, theirs), len(known) - 1)
+    hit = inside & (known[at] == theirs)
+    met = np.zeros((len(theirs), len(known)), bool)
     met[np.broadcast_to(np.arange(len(theirs))[:, None], hit.shape)[hit], at[hit]] = True
     common = np.rint(met[:, of_own].astype(np.float32) @ news.T.astype(np.float32)).astype(np.int64)
     whole = inside[:, : len(kinds)] & inside[:, length - 1 :]
@@ -274,10 +330,80 @@ def _may_be_similar(own, news, kinds, theirs, inside, their_kinds, exact, length
     return close | ((100 + percent) * met.sum(axis=1) >= percent * wide)
 
 
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begins[i] to begins[i] + sizes[i] of every i in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass
+class _Members:
+    """The windows of some blocks, one row each; ``looks`` marks those that look for partners from start low to high."""
+
+    node: np.ndarray
+    group: np.ndarray
+    looks: np.ndarray
+    first: np.ndarray
+    centre: np.ndarray
+    last: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    tokens: np.ndarray
+    offsets: np.ndarray
+    repeats: np.ndarray
+    bits: np.ndarray
+
+    def pairs(self, looking: np.ndarray, length: int, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(x, y, lo, hi, may) of looking windows and the ones their masks allow; all pairs of a window come together.
+
+        ``may`` are the most shingles that both can share, lo to hi the starts of x that y has too.
+        """
+        needed, fewest = int(least_overlap(np.int64(length), np.int64(length), percent)), -(-percent * length // 100)
+        theirs = np.flatnonzero(~self.looks)
+        of_group = np.searchsorted(self.group[theirs], np.arange(self.group[-1] + 2))
+        many = np.diff(of_group)[self.group[looking]]
+        step, at = np.r_[0, np.cumsum(many)], 0
+        while at < len(looking):
+            stop = max(at + 1, int(np.searchsorted(step, step[at] + PAIRS_AT_ONCE, side="right")) - 1)
+            some, count, at = looking[at:stop], many[at:stop], stop
+            wide = self.high[some] - self.low[some] + length
+            mask = np.zeros((len(some), 256), bool)
+            own = self.tokens[_ragged(self.offsets[some] + self.low[some] - self.first[some], wide)]
+            mask[np.repeat(np.arange(len(some)), wide), (own & np.uint32(255)).astype(np.int64)] = True
+            mask = np.packbits(mask, axis=1).view(np.uint64)
+            i = np.repeat(np.arange(len(some)), count)
+            y, x = theirs[_ragged(of_group[self.group[some]], count)], some[i]
+            shift = self.centre[y] - self.centre[x]
+            lo, hi = np.maximum(self.low[x], self.first[y] - shift), np.minimum(self.high[x], self.last[y] - shift)
+            may = wide[i] - np.bitwise_count(mask[i] & ~self.bits[y]).sum(axis=1, dtype=np.int64)
+            need = np.where(self.repeats[x], 0, np.where(self.repeats[y], fewest, needed))
+            ok = np.flatnonzero((self.node[y] != self.node[x]) & (lo <= hi) & (may >= need))
+            ok = ok[np.lexsort((-may[ok], i[ok]))]
+            yield x[ok], y[ok], lo[ok], hi[ok], may[ok]
+
+    def side_by_side(self, x, y, lo, hi, length: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, start): all similar windows, or pieces that are similar as a whole, of pairs without a repeated shingle."""
+        wide, starts = hi - lo + length, hi - lo + 1
+        pair = np.repeat(np.arange(len(x)), wide)
+        shift = self.centre[y] - self.centre[x]
+        mine = self.tokens[_ragged(self.offsets[x] + lo - self.first[x], wide)]
+        other = self.tokens[_ragged(self.offsets[y] + lo + shift - self.first[y], wide)]
+        keys = pair.astype(np.uint64) << np.uint64(32)
+        both = np.concatenate([keys | mine, keys | other])
+        order = np.argsort(both, kind="stable")  # a common shingle is a neighbour of itself, the own one first
+        met = np.flatnonzero(both[order][1:] == both[order][:-1])
+        i, j = order[met], order[met + 1] - len(pair)
+        of, begin = pair[i], np.cumsum(wide) - wide
+        common = common_in_windows(i - begin[of], j - begin[of], np.cumsum(starts) - starts, starts, of, length)
+        shared = np.bincount(of, minlength=len(x))
+        good = 100 * common >= percent * (2 * length - common)
+        good |= np.repeat(100 * shared >= percent * (2 * wide - shared), starts)
+        return np.repeat(np.arange(len(x)), starts)[good], _ragged(lo, starts)[good]
+
+
 def _met_in_blocks(length: int, percent: int):
     """Verified (node, start, stop, other, shift) of the windows that look (low >= 0) in every block against the other ones."""
     names = ["node", "start", "stop", "other", "shift"]
-    needed = int(least_overlap(np.int64(length), np.int64(length), percent))
     fewest = -(-percent * length // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,51 +444,92 @@ def _met_in_blocks(length: int, percent: int):
             bits = np.zeros((len(n), 256), bool)
             bits[row, (tokens & np.uint32(255)).astype(np.int64)] = True
             bits = np.packbits(bits, axis=1).view(np.uint64)
+            members = _Members(node, group, looks, first, centre, last, low, high, tokens, offsets, repeats, bits)
+            looking = np.flatnonzero(looks)
+            sizes = (high - low + 1)[looking]
+            at = _ragged((offsets[:-1] + low - first)[looking], sizes)
+            if not len(at):
+                continue
+            known = np.maximum.reduceat(total[at + length] - total[at], np.cumsum(sizes) - sizes)
+            looking = looking[repeats[looking] | (known >= fewest)]
             out = []
-            for x in np.flatnonzero(looks).tolist():
-                s, e, a, z = begin[group[x]], end[group[x]], low[x], high[x]
-                from_ = offsets[x] + a - first[x] + np.arange(z - a + 1)
-                if not repeats[x] and (total[from_ + length] - total[from_]).max() < fewest:
-                    continue
-                own = tokens[from_[0] : from_[-1] + length]
-                other = s + np.flatnonzero(~looks[s:e] & (node[s:e] != node[x]))
-                shift = centre[other] - centre[x]
-                lo, hi = np.maximum(a, first[other] - shift), np.minimum(z, last[other] - shift)
-                mine = np.zeros(256, bool)
-                mine[own & np.uint32(255)] = True
-                mine = np.packbits(mine).view(np.uint64)
-                may = len(own) - np.bitwise_count(mine & ~bits[other]).sum(axis=1, dtype=np.int64)
-                need = 0 if repeats[x] else np.where(repeats[other], fewest, needed)
-                fits = np.flatnonzero((lo <= hi) & (may >= need))
-                if not len(fits):
-                    continue
-                cell, start = np.arange(len(own)), np.arange(z - a + 1)
-                inside = (cell >= lo[fits, None] - a) & (cell < hi[fits, None] - a + length)
-                to = (offsets[other] - first[other] + shift + a)[fits, None] + cell
-                theirs_at = np.where(inside, to, 0)
-                news = (cell >= start[:, None]) & (cell < start[:, None] + length) & (cell - back[from_[0] + cell] < start[:, None])
-                exact = ~repeats[x] & ~repeats[other[fits]]
-                fits = fits[_may_be_similar(
-                    own, news, kinds[from_], tokens[theirs_at], inside, kinds[theirs_at[:, : z - a + 1]], exact, length, percent
-                )]
-                left = np.ones(z - a + 1, bool)
-                for y in fits[np.argsort(-may[fits], kind="stable")].tolist():
-                    if not left[lo[y] - a : hi[y] - a + 1].any():
-                        continue
-                    their = other[y]
-                    to = offsets[their] + lo[y] + shift[y] - first[their]
-                    wide = hi[y] - lo[y] + length
-                    for p, q in verified_parts(own[lo[y] - a :][:wide], tokens[to : to + wide], length, percent):
-                        out.append((node[x], lo[y] + p, lo[y] + q, node[their], shift[y]))
-                        left[lo[y] + p - a : lo[y] + q - length + 1 - a] = False
-                    if not left.any():
-                        break
+            for pairs in members.pairs(looking, length, percent):
+                for piece in _by_window(pairs, SIDE_BY_SIDE):
+                    out += _partners(members, piece, back, kinds, length, percent)
             columns = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return giving_back(run)
 
 
+def _by_window(pairs: tuple[np.ndarray, ...], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """About ``most`` pairs at a time, all those of a looking window together."""
+    x = pairs[0]
+    ends = np.r_[np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(x):
+        stop = int(ends[min(np.searchsorted(ends, at + most), len(ends) - 1)])
+        yield tuple(c[at:stop] for c in pairs)
+        at = stop
+
+
+def _partners(m: _Members, pairs: tuple[np.ndarray, ...], back, kinds, length: int, percent: int) -> list[tuple]:
+    """(node, start, stop, other, shift) that cover all starts of the looking windows that have a partner."""
+    x, y, lo, hi, may = pairs
+    shift = m.centre[y] - m.centre[x]
+    plain = np.flatnonzero(~(m.repeats[x] | m.repeats[y]))
+    of, start = m.side_by_side(x[plain], y[plain], lo[plain], hi[plain], length, percent)
+    of = plain[of]
+    # The best partner of every start, as runs of starts.
+    fresh = np.cumsum(np.r_[True, x[1:] != x[:-1]]) - 1
+    wide = np.int64((m.high - m.low)[x].max() + 1)
+    place, best = np.unique(fresh[of] * wide + start - m.low[x[of]], return_index=True)
+    order = np.lexsort((start[best], of[best]))
+    of, start = of[best][order], start[best][order]
+    begin = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)]) if len(of) else of
+    final = np.r_[begin[1:], len(of)] - 1 if len(of) else of
+    p = of[begin]
+    out = list(zip(m.node[x[p]].tolist(), start[begin].tolist(), (start[final] + length).tolist(), m.node[y[p]].tolist(), shift[p].tolist()))
+    met = np.bincount(place // wide, minlength=fresh[-1] + 1)
+    rest = np.flatnonzero((m.repeats[x] | m.repeats[y]) & (met[fresh] < (m.high - m.low + 1)[x]))
+    for rows in np.split(rest, np.flatnonzero(np.diff(fresh[rest])) + 1) if len(rest) else []:
+        w, others = int(x[rows[0]]), y[rows]
+        a, z = m.low[w], m.high[w]
+        left = np.ones(z - a + 1, bool)
+        left[place[np.searchsorted(place, fresh[rows[0]] * wide) : np.searchsorted(place, (fresh[rows[0]] + 1) * wide)] % wide] = False
+        out += _one_by_one(m, w, others, lo[rows], hi[rows], shift[rows], may[rows], left, back, kinds, length, percent)
+    return out
+
+
+def _one_by_one(m: _Members, x: int, other, lo, hi, shift, may, left, back, kinds, length: int, percent: int) -> list[tuple]:
+    """Verified passages of one window with the other ones until no start is ``left``."""
+    a, z = m.low[x], m.high[x]
+    from_ = m.offsets[x] + a - m.first[x] + np.arange(z - a + 1)
+    own = m.tokens[from_[0] : from_[-1] + length]
+    cell, start = np.arange(len(own)), np.arange(z - a + 1)
+    inside = (cell >= lo[:, None] - a) & (cell < hi[:, None] - a + length)
+    to = (m.offsets[other] - m.first[other] + shift + a)[:, None] + cell
+    theirs_at = np.where(inside, to, 0)
+    news = (cell >= start[:, None]) & (cell < start[:, None] + length) & (cell - back[from_[0] + cell] < start[:, None])
+    exact = ~m.repeats[x] & ~m.repeats[other]
+    fits = np.flatnonzero(_may_be_similar(
+        own, news, kinds[from_], m.tokens[theirs_at], inside, kinds[theirs_at[:, : z - a + 1]], exact, length, percent
+    ))
+    out = []
+    for y in fits[np.argsort(-may[fits], kind="stable")].tolist():
+        if not left[lo[y] - a : hi[y] - a + 1].any():
+            continue
+        their = other[y]
+        at = m.offsets[their] + lo[y] + shift[y] - m.first[their]
+        wide = hi[y] - lo[y] + length
+        for p, q in verified_parts(own[lo[y] - a :][:wide], m.tokens[at : at + wide], length, percent):
+            out.append((m.node[x], lo[y] + p, lo[y] + q, m.node[their], shift[y]))
+            left[lo[y] + p - a : lo[y] + q - length + 1 - a] = False
+        if not left.any():
+            break
+    return out
+
+
 def _fields(place):
     """(first, centre, last) of a place."""
     start = F.shiftright(place, 18)
@@ -403,19 +570,26 @@ def _merged(spans: DataFrame) -> DataFrame:
     ).drop("number")
 
 
+def _with_partner(windows: DataFrame) -> DataFrame:
+    """``windows`` whose key another document has too, with the smallest and the largest document of the key."""
+    ends = windows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    return written(windows.join(written(ends), "key"))
+
+
 def _rest_of_groups(
     rows: DataFrame, shared: DataFrame, spans: DataFrame, shingle: int, length: int, percent: int
 ) -> DataFrame | None:
-    """(node, start, stop, other) found where the windows that ``spans`` leaves open meet all of their groups; None: none is open."""
+    """(node, start, stop, other) found where the places that ``spans`` leaves open meet all places with their key; None: none is open."""
     none = F.lit(-1).cast("long")
+    paired = shared.select("node", "key", "place").repartition("node").sortWithinPartitions("node")
+    shared = _with_partner(written(paired.mapInArrow(giving_back(_paired_windows), WINDOW_SCHEMA)))
     known = _merged(spans).select("node", none.alias("key"), none.alias("place"), "start", "stop")
     both = shared.select("node", "key", "place", none.alias("start"), none.alias("stop")).unionByName(known)
     both = both.repartition("node").sortWithinPartitions("node")
     opened = written(both.mapInArrow(_open_windows(length), "key long, node long, place long, low long, high long"))
     looking = written(opened.groupBy("key").agg(F.count("*").alias("looking")))
     groups = shared.join(looking, "key").groupBy("key").agg(F.count("*").alias("c"), F.first("looking").alias("looking"))
-    # Two windows have met each other.
-    groups = written(groups.filter("c > 2").select(
+    groups = written(groups.select(
         "key", F.ceil(F.col("c") / BLOCK_ROWS).alias("parts"), F.ceil(F.col("looking") / BLOCK_ROWS).alias("turns")
     ))
     if groups.isEmpty():
@@ -467,8 +641,7 @@ def repeated_passages(
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(text), 2)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), nameless).alias("node"), F.col(text).alias("text"))
     windows = rows.mapInArrow(_windows(shingle, length), WINDOW_SCHEMA)  # cheaper made twice than stored
-    ends = windows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    shared = written(windows.join(written(ends), "key"))
+    shared = _with_partner(windows)
     partners = shared.groupBy("key").agg(
         F.min(F.when(F.col("node") == F.col("low"), F.col("place"))).alias("low_place"),
         F.min(F.when(F.col("node") == F.col("high"), F.col("place"))).alias("high_place"),
