@@ -582,14 +582,16 @@ def _rest_of_groups(
     """(node, start, stop, other) found where the places that ``spans`` leaves open meet all places with their key; None: none is open."""
     none = F.lit(-1).cast("long")
     paired = shared.select("node", "key", "place").repartition("node").sortWithinPartitions("node")
-    shared = _with_partner(written(paired.mapInArrow(giving_back(_paired_windows), WINDOW_SCHEMA)))
+    shared = written(paired.mapInArrow(giving_back(_paired_windows), WINDOW_SCHEMA))
     known = _merged(spans).select("node", none.alias("key"), none.alias("place"), "start", "stop")
     both = shared.select("node", "key", "place", none.alias("start"), none.alias("stop")).unionByName(known)
     both = both.repartition("node").sortWithinPartitions("node")
     opened = written(both.mapInArrow(_open_windows(length), "key long, node long, place long, low long, high long"))
     looking = written(opened.groupBy("key").agg(F.count("*").alias("looking")))
-    groups = shared.join(looking, "key").groupBy("key").agg(F.count("*").alias("c"), F.first("looking").alias("looking"))
-    groups = written(groups.select(
+    groups = shared.join(looking, "key").groupBy("key").agg(
+        F.count("*").alias("c"), F.first("looking").alias("looking"), F.min("node").alias("low"), F.max("node").alias("high")
+    )
+    groups = written(groups.filter("low <> high").select(
         "key", F.ceil(F.col("c") / BLOCK_ROWS).alias("parts"), F.ceil(F.col("looking") / BLOCK_ROWS).alias("turns")
     ))
     if groups.isEmpty():
