@@ -1,4 +1,4 @@
 """Registered queries and their SQL oracles."""
 
-from suite import catalogs, groundings, lifecycles, retrieval, searches, texts  # noqa: F401
+from suite import catalogs, groundings, lifecycles, query_sets, retrieval, searches, texts  # noqa: F401
 from suite.base import ORACLES, QUERIES  # noqa: F401
