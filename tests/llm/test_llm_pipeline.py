@@ -106,4 +106,4 @@ def test_entry_without_the_package():
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
     names = importlib.import_module("__spark_entry__").queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14)) and "pipeline" in names
