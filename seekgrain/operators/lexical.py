@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -194,13 +195,13 @@ def _any_phrase(padded: Column, phrases) -> Column:
     return test
 
 
-def concepts(token_array: Column) -> Column:
-    """Capability concepts named by a query's tokens."""
+def concepts(token_array: Column, table: Mapping[str, Sequence[str]] = vocab.QUERY_CONCEPTS) -> Column:
+    """Concepts of ``table`` (name to phrases) that the tokens name; capability concepts unless given."""
     return tx.bind(
         _padded(token_array),
         lambda padded: F.array_compact(
             F.array(
-                *[F.when(_any_phrase(padded, p), F.lit(name)) for name, p in vocab.QUERY_CONCEPTS.items()]
+                *[F.when(_any_phrase(padded, p), F.lit(name)) for name, p in table.items()]
             )
         ),
     )

@@ -1,4 +1,6 @@
 """Registered queries and their SQL oracles."""
 
-from suite import catalogs, groundings, lifecycles, query_sets, retrieval, searches, texts  # noqa: F401
+from suite import (  # noqa: F401
+    catalogs, groundings, lifecycles, link_audits, query_sets, retrieval, searches, texts,
+)
 from suite.base import ORACLES, QUERIES  # noqa: F401
