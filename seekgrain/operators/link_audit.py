@@ -20,6 +20,7 @@ from seekgrain.session import BROADCAST_ROWS, hint_broadcast, is_bounded
 MISMATCH, CONFLICT, UNLINKED = "DOCUMENT_LINK_MISMATCH", "DISJOINT_CAPABILITY_CONCEPTS", "NO_LINKED_ELIGIBLE_REFERENCE"
 DESCRIBING = ("service_nature", "offering")
 
+MILLION = 1_000_000
 Concepts = Mapping[str, Sequence[str]]
 
 
@@ -131,6 +132,13 @@ def audit_passages(
     )
 
 
+def _mean(millionths: Column) -> Column:
+    """Sum of millionths over the rows of a group, half up to six digits; whole numbers, so no order of adding shows."""
+    n = F.count("*")
+    twice = 2 * millionths + n
+    return (twice - F.pmod(twice, 2 * n)) / (2 * n) / MILLION
+
+
 def source_summary(audited: DataFrame, source: str, page: str, language: str, reasons: str = "text_reasons") -> DataFrame:
     """One row per source: passages, pages, languages, passages per class, quality and doubtful links.
 
@@ -144,8 +152,8 @@ def source_summary(audited: DataFrame, source: str, page: str, language: str, re
         F.count_distinct(page).alias("n_pages"),
         *[F.count_if(F.col("audit_class") == name).alias("n_" + name.lower()) for name in corpus_audit.CLASSES],
         F.count_if(passing).alias("n_passing"),
-        F.round(F.avg(passing.cast("double")), 6).alias("passing_rate"),
-        F.round(F.avg("quality_score"), 6).alias("mean_score"),
+        _mean(F.count_if(passing) * MILLION).alias("passing_rate"),
+        _mean(F.sum(F.round(F.col("quality_score") * MILLION).cast("long"))).alias("mean_score"),
         F.round(F.min("quality_score"), 6).alias("min_score"),
         F.count_if("wrong_page_candidate").alias("n_wrong_page_candidates"),
     )

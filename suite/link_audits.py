@@ -87,8 +87,8 @@ def _(t: Tables) -> DataFrame:
       (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source)
     SELECT a.source, count(*) AS n_passages, count(DISTINCT a.doc_id // 3) AS n_pages,
     {', '.join(f"count(*) FILTER (audit_class = '{c}') AS n_{c.lower()}" for c in corpus_audit.CLASSES)},
-    count(*) FILTER (len(text_reasons) = 0) AS n_passing, round(avg((len(text_reasons) = 0)::INT), 6) AS passing_rate,
-    round(avg(quality_score), 6) AS mean_score, round(min(quality_score), 6) AS min_score,
+    count(*) FILTER (len(text_reasons) = 0) AS n_passing, (2000000 * count(*) FILTER (len(text_reasons) = 0) + count(*)) // (2 * count(*)) / 1000000 AS passing_rate,
+    (2 * sum(round(quality_score * 1000000)::BIGINT)::BIGINT + count(*)) // (2 * count(*)) / 1000000 AS mean_score, round(min(quality_score), 6) AS min_score,
     count(*) FILTER (wrong_page_candidate) AS n_wrong_page_candidates, any_value(l.language_counts) AS language_counts
     FROM audited a JOIN l ON a.source IS NOT DISTINCT FROM l.source GROUP BY a.source""",
 )
