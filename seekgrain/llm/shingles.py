@@ -14,6 +14,13 @@ _FACTORS = np.array(
      0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64,
 )
 
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A") : ord("Z") + 1] += 32
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of a word up to which it is hashed together with the others.
+LONG_WORD = 256
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
@@ -28,22 +35,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): 64-bit hashes of the words, A-Z lowered, split at ASCII white space; null has none.
 
-    Every distinct word of the batch is hashed once.
+    The eight bytes at a place of all words are taken in at once; a very long word is hashed by itself.
     """
-    # take() makes own buffers; the case function reads those of a slice from the wrong place.
-    own = texts.fill_null("").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
-    flat = lists.flatten()
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    coded = flat.dictionary_encode()
-    table = np.array(
-        [int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()],
-        dtype=np.uint64,
-    )
-    hashes = table[coded.indices.to_numpy()[real]] if len(table) else np.zeros(0, np.uint64)
-    offsets = np.r_[0, np.cumsum(np.bincount(owner[real], minlength=len(texts)))]
-    return hashes, offsets
+    own = texts.fill_null("").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # own buffers, not a slice's
+    ends = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1] if len(own) else np.zeros(1, np.int64)
+    held = own.buffers()[2] if len(own) else None
+    raw = np.frombuffer(held, np.uint8)[: ends[-1]] if held is not None else np.zeros(0, np.uint8)
+    signs = np.zeros(len(raw) + 8, np.uint8)
+    signs[: len(raw)] = _LOWERED[raw]
+    inner = _IN_WORD[raw]
+    opens, closes = inner.copy(), inner.copy()
+    opens[1:] &= ~inner[:-1]
+    closes[:-1] &= ~inner[1:]
+    edge = ends[(ends > 0) & (ends < len(raw))]  # a word ends with its text
+    opens[edge] = inner[edge]
+    closes[edge - 1] = inner[edge - 1]
+    start = np.flatnonzero(opens)
+    size = np.flatnonzero(closes) + 1 - start
+    at_place = np.ndarray((len(raw) + 1,), np.dtype("<u8"), signs, strides=(1,))
+    hashes = mixed(size.astype(np.uint64) ^ _FACTORS[0])
+    rows, place = np.flatnonzero(size <= LONG_WORD), 0
+    while len(rows):
+        left = np.minimum(size[rows] - place, 8).astype(np.uint64)
+        part = at_place[start[rows] + place] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        hashes[rows] = mixed(hashes[rows] ^ part)
+        place += 8
+        rows = rows[size[rows] > place]
+    for row in np.flatnonzero(size > LONG_WORD).tolist():
+        word = signs[start[row] : start[row] + size[row]].tobytes()
+        hashes[row] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    return hashes, np.searchsorted(start, ends)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
