@@ -205,10 +205,33 @@ def common_in_windows(i: np.ndarray, j: np.ndarray, begins: np.ndarray, starts:
     return np.cumsum(np.bincount(base + low[inside], minlength=size) - np.bincount(base + high[inside] + 1, minlength=size))[:-1]
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    x, y = distinct(x), distinct(y)
-    common = in_common(x, y)
-    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+def alike_windows(x: np.ndarray, y: np.ndarray, length: int, percent: int) -> np.ndarray:
+    """For every start, whether the windows of two aligned pieces are similar; shingles may come again."""
+    at = np.arange(len(x))
+    starts = len(x) - length + 1
+    low, high = np.maximum(at - length + 1, 0), np.minimum(at, starts - 1)
+    own, their = _regions(x, low, high, 1), _regions(y, low, high, 1)  # the windows that hold a shingle, in runs
+    both = _regions(*(np.concatenate(pair) for pair in zip(own, their)), 2)
+
+    def per_window(runs: tuple[np.ndarray, ...]) -> np.ndarray:
+        opened, closed = (np.bincount(edge, minlength=starts + 1) for edge in (runs[1], runs[2] + 1))
+        return np.cumsum(opened - closed)[:-1]
+
+    common = per_window(both)
+    return (common > 0) & (100 * common >= percent * (per_window(own) + per_window(their) - common))
+
+
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, again): places by key, equal keys by place, and whether each but the first has the key of the one before.
+
+    A plain sort is several times faster than a stable one, and few keys come again.
+    """
+    order = np.argsort(keys)
+    again = keys[order][1:] == keys[order][:-1]
+    rows = np.flatnonzero(np.r_[False, again] | np.r_[again, False])
+    some = order[rows]
+    order[rows] = some[np.lexsort((some, keys[some]))]
+    return order, again
 
 
 def verified_parts(x: np.ndarray, y: np.ndarray, length: int, percent: int) -> list[tuple[int, int]]:
@@ -228,7 +251,7 @@ def verified_parts(x: np.ndarray, y: np.ndarray, length: int, percent: int) -> l
         common = common_in_windows(i, np.argsort(y)[at[i]], np.zeros(1, np.int64), np.array([n - length + 1]), 0, length)
         ok = 100 * common >= percent * (2 * length - common)
     else:
-        ok = np.array([similar(x[s : s + length], y[s : s + length], percent) for s in range(n - length + 1)])
+        ok = alike_windows(x, y, length, percent)
     edges = np.flatnonzero(np.diff(np.r_[False, ok, False]))
     parts: list[tuple[int, int]] = []
     for s, e in zip(edges[::2].tolist(), (edges[1::2] - 1 + length).tolist()):
@@ -390,9 +413,9 @@ class _Members:
         other = self.tokens[_ragged(self.offsets[y] + lo + shift - self.first[y], wide)]
         keys = pair.astype(np.uint64) << np.uint64(32)
         both = np.concatenate([keys | mine, keys | other])
-        order = np.argsort(both, kind="stable")  # a common shingle is a neighbour of itself, the own one first
+        order = np.argsort(both)  # a common shingle is a neighbour of itself
         met = np.flatnonzero(both[order][1:] == both[order][:-1])
-        i, j = order[met], order[met + 1] - len(pair)
+        i, j = np.minimum(order[met], order[met + 1]), np.maximum(order[met], order[met + 1]) - len(pair)
         of, begin = pair[i], np.cumsum(wide) - wide
         common = common_in_windows(i - begin[of], j - begin[of], np.cumsum(starts) - starts, starts, of, length)
         shared = np.bincount(of, minlength=len(x))
@@ -421,19 +444,20 @@ def _met_in_blocks(length: int, percent: int):
             last = first + (place >> 4 & 127)
             looks, row = low >= 0, np.repeat(np.arange(len(n)), n)
             # A shingle of a looking window is known when another document of its block has it.
-            mark = mixed(tokens.astype(np.uint64) | group[row].astype(np.uint64) << np.uint64(32))
-            theirs = np.flatnonzero(~looks[row])
-            theirs = theirs[np.lexsort((node[row[theirs]], mark[theirs]))]
-            if not len(theirs):
+            mark = tokens.astype(np.uint64) | group[row].astype(np.uint64) << np.uint64(32)
+            theirs, mine = np.flatnonzero(~looks[row]), np.flatnonzero(looks[row])
+            if not len(theirs) or not len(mine):
                 continue
+            theirs = theirs[np.argsort(mark[theirs])]
             opens = np.flatnonzero(np.r_[True, mark[theirs][1:] != mark[theirs][:-1]])
             marks, nodes = mark[theirs[opens]], node[row[theirs]]
-            least, most = nodes[opens], nodes[np.r_[opens[1:], len(theirs)] - 1]
-            at = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
-            known = (marks[at] == mark) & ((least[at] != node[row]) | (most[at] != node[row]))
+            least, most = np.minimum.reduceat(nodes, opens), np.maximum.reduceat(nodes, opens)
+            at = np.minimum(np.searchsorted(marks, mark[mine]), len(marks) - 1)
+            own = node[row[mine]]
+            known = np.zeros(len(tokens), bool)
+            known[mine] = (marks[at] == mark[mine]) & ((least[at] != own) | (most[at] != own))
             total = np.r_[0, np.cumsum(known)]
-            order = np.lexsort((tokens, row))
-            again = (tokens[order][1:] == tokens[order][:-1]) & (row[order][1:] == row[order][:-1])
+            order, again = in_order(tokens.astype(np.uint64) | row.astype(np.uint64) << np.uint64(32))
             repeats = np.bincount(row[order][1:][again], minlength=len(n)) > 0
             # How far back a shingle stood before, and the distinct shingles of the window at every place.
             back = np.full(len(tokens), length)
