@@ -113,6 +113,22 @@ def test_dense_top_equals_brute_force(spark):
         assert [r.d for r in rows] == [d for _, d in sorted(scored)[:7]]
 
 
+def test_more_queries_than_a_block_meet_parts_of_the_passages(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.randint(-3, 3) / 2 for _ in range(4)]) for i in range(150)] + [(999, None)]
+    asked = [(q, [rng.randint(-3, 3) / 2 for _ in range(4)]) for q in range(9)] + [(50, None)]
+    passages = spark.createDataFrame(rows, "d long, v array<float>").repartition(3)
+    queries = spark.createDataFrame(asked, "q int, w array<double>")
+
+    def found():
+        return sorted(map(tuple, dense.score_many(passages, queries, 6, "d", "v", "q", "w").select("q", "d", "score", "rank").collect()))
+
+    whole = found()
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(dense, "PART_ROWS", 40)
+    assert found() == whole and len(whole) == 9 * 6
+
+
 def test_dense_keeps_ties_by_key(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)], "d long, v array<float>").repartition(4)
     asked = spark.createDataFrame([(0, [1.0, 0.0])], "q int, w array<double>")
