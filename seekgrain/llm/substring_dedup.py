@@ -43,6 +43,10 @@ BLOCK_ROWS = 2048
 #: Pairs of them whose masks, and whose shingles, are compared at once.
 PAIRS_AT_ONCE, SIDE_BY_SIDE = 1 << 17, 1 << 13
 WINDOW_SCHEMA = "key long, node long, place long"
+BLOCK_COLUMNS = ("block", "node", "place", "low", "high", "both")
+BLOCK_SCHEMA = "block long, node long, place long, low long, high long, both boolean, tokens binary"
+#: Rows of blocks that are put together at once.
+ROWS_AT_ONCE = 1 << 16
 
 
 def sliding_minimum(values: np.ndarray, length: int) -> np.ndarray:
@@ -177,6 +181,40 @@ def _slices(shingle: int):
     return giving_back(run)
 
 
+def _block_rows(shingle: int, length: int):
+    """(block, node, place, low, high, both, tokens) of the places that a text is asked for.
+
+    A place that looks for partners in a block and is looked at there too is one row, marked ``both``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_runs(batch):
+                tokens, _, offsets = _tokens(part, shingle)
+                tokens = tokens.astype(np.uint32)  # half of each hash tells the few hundred shingles of a passage apart
+                wanted = part.column("wanted")
+                text = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
+                flat = wanted.flatten()
+                block, place, low, high = (flat.field(c).to_numpy() for c in ("block", "place", "low", "high"))
+                order = np.lexsort((low, place, block, text))
+                text, block, place, low, high = (c[order] for c in (text, block, place, low, high))
+                again = (text[1:] == text[:-1]) & (block[1:] == block[:-1]) & (place[1:] == place[:-1])
+                both, final = np.r_[False, again], ~np.r_[again, False]
+                begin = offsets[text] + (place >> 18)
+                size = (place >> 4 & 127) + length
+                rows = np.flatnonzero(final & (begin + size <= offsets[text + 1]))
+                node = part.column("node").to_numpy()
+                for at in range(0, len(rows), ROWS_AT_ONCE):
+                    some = rows[at : at + ROWS_AT_ONCE]
+                    ends = np.r_[0, np.cumsum(4 * size[some])].astype(np.int32)
+                    data = tokens[_ragged(begin[some], size[some])]
+                    cut = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                    columns = [pa.array(c) for c in (block[some], node[text[some]], place[some], low[some], high[some], both[some])]
+                    yield pa.RecordBatch.from_arrays([*columns, cut], names=[*BLOCK_COLUMNS, "tokens"])
+
+    return giving_back(run)
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """The sorted distinct values of a short list; np.unique hashes, which costs more on some dozens of numbers."""
     x = np.sort(x)
@@ -431,9 +469,12 @@ def _met_in_blocks(length: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "block"):
-            columns = ("block", "node", "place", "low", "high")
-            block, node, place, low, high = (table.column(c).to_numpy() for c in columns)
-            parts = [np.frombuffer(b, np.uint32) for b in table.column("tokens").to_pylist()]
+            both = table.column("both").to_numpy()
+            copies = np.repeat(np.arange(len(both)), 1 + both)
+            block, node, place, low, high = (table.column(c).to_numpy()[copies] for c in BLOCK_COLUMNS[:5])
+            low[1:][copies[1:] == copies[:-1]] = -1  # the second of two is looked at
+            held = [np.frombuffer(b, np.uint32) for b in table.column("tokens").to_pylist()]
+            parts = [held[i] for i in copies.tolist()]
             n = np.array([len(p) for p in parts], np.int64)
             offsets, tokens = np.r_[0, np.cumsum(n)], np.concatenate(parts)
             begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -620,20 +661,19 @@ def _rest_of_groups(
     ))
     if groups.isEmpty():
         return None
-    first, _, last = _fields(F.col("place"))
-    members = shared.select("key", "node", "place").join(groups, "key").withColumns({"start": first, "stop": last + length})
-    slices = _sliced(rows, members.select("node", "start", "stop"), shingle)
+    members = shared.select("key", "node", "place").join(groups, "key")
 
     def dealt(windows: DataFrame, parts: str, others: str, *block: str) -> DataFrame:
         part = F.pmod(F.xxhash64("node", "place"), F.col(parts))
         windows = windows.withColumns({parts: part, others: F.explode(F.sequence(F.lit(0), F.col(others) - 1))})
-        return windows.select(F.xxhash64("key", *block).alias("block"), "node", "place", "start", "stop", "low", "high")
+        return windows.select("node", F.struct(F.xxhash64("key", *block).alias("block"), "place", "low", "high").alias("row"))
 
     block = ("parts", "turns")
     theirs = dealt(members.withColumns({"low": none, "high": none}), "parts", "turns", *block)
-    mine = opened.join(groups, "key").withColumns({"start": first, "stop": last + length})
-    blocks = dealt(mine, "turns", "parts", *block).unionByName(theirs).join(slices, ["node", "start", "stop"])
-    blocks = blocks.select("block", "node", "place", "low", "high", "tokens").repartition("block").sortWithinPartitions("block")
+    asked = dealt(opened.join(groups, "key"), "turns", "parts", *block).unionByName(theirs)
+    asked = asked.groupBy("node").agg(F.collect_list("row").alias("wanted"))
+    blocks = rows.join(asked, "node").mapInArrow(_block_rows(shingle, length), BLOCK_SCHEMA)
+    blocks = blocks.repartition("block").sortWithinPartitions("block")
     found = written(
         blocks.mapInArrow(_met_in_blocks(length, percent), "node long, start long, stop long, other long, shift long")
     )
