@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 
 from seekgrain.functions import text as tx
 
+CLOSED_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
 # Where a chunk may end, best first; separators of a display title.
 BOUNDARIES = ("\n\n", "\n", ". ", "! ", "? ", "؟ ", "; ", ": ", ", ", " ")
 TITLE_SEPARATORS = (" • ", " | ", "\n", " - Phase", " - Etape", " - Étape")
@@ -98,10 +102,20 @@ def chunk_pages(
     )
 
 
-def unescape_html(value: Column) -> Column:
-    """Named and numeric character references; the entity table lives in the standard library."""
+def _closed_reference(match: re.Match) -> str:
+    known = match[0][1] == "#" or match[0][1:] in html.entities.html5
+    return html.unescape(match[0]) if known else match[0]
+
+
+def unescape_html(value: Column, closed: bool = False) -> Column:
+    """Named and numeric character references; the entity table lives in the standard library.
+
+    ``closed`` leaves references without their semicolon, such as one cut off by a length, as they stand.
+    """
 
     def unescape(texts: pd.Series) -> pd.Series:
+        if closed:
+            return texts.map(lambda t: CLOSED_REFERENCE.sub(_closed_reference, t), na_action="ignore")
         return texts.map(html.unescape, na_action="ignore")
 
     return F.pandas_udf(unescape, T.StringType())(value)
@@ -118,8 +132,8 @@ def strip_markup(decoded: Column | str, maximum: int | None = None) -> Column:
     return tidy if maximum is None else F.left(tidy, F.lit(maximum))
 
 
-def sanitize_html(value: Column | str, maximum: int | None = None) -> Column:
-    return strip_markup(unescape_html(F.coalesce(tx._col(value), F.lit(""))), maximum)
+def sanitize_html(value: Column | str, maximum: int | None = None, closed: bool = False) -> Column:
+    return strip_markup(unescape_html(F.coalesce(tx._col(value), F.lit("")), closed), maximum)
 
 
 def source_label(value: Column | str) -> Column:

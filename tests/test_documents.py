@@ -53,6 +53,12 @@ def test_sanitize_html(value):
     assert value(documents.sanitize_html, raw) == "A & B C\nD"
 
 
+def test_cut_reference(value):
+    raw = "<title>A&amp;&#38;&amp</title>B&copy;&ampfoo;"
+    assert value(lambda t: documents.sanitize_html(t, closed=True), raw) == "A&&&ampB©&ampfoo;"
+    assert value(documents.sanitize_html, raw) == "A&&&B©&foo;"
+
+
 def test_titles(value):
     long = "Mise en place d'un portail client | Phase 2 et suivantes"
     assert value(lambda t: documents.display_title(t, F.lit("x")), long) == "Mise en place d'un portail client"
