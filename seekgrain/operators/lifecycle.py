@@ -66,18 +66,37 @@ def formula_like(value: Column) -> Column:
 
 
 def resolve_policy(chunks: DataFrame, repaired_pages: DataFrame, review: DataFrame, audit: DataFrame) -> DataFrame:
-    """Decision per passage: a repaired page beats the human review, which beats the audit.
+    """Decision per passage, with the ids that take its place.
 
     Keys: chunks(chunk_id, document_id, page_number), repaired_pages(document_id, page_number,
     replacement_ids array), review(chunk_id, final_action, approved_for_retrieval,
-    approved_for_display), audit(chunk_id, evidence_quality_pass).
+    approved_for_display), audit(chunk_id, evidence_quality_pass). The ids of a page are as many as its
+    new passages; they are joined to the decisions last, so that no other join moves them.
+    """
+    page = ["document_id", "page_number"]
+    ids = repaired_pages.filter("replacement_ids IS NOT NULL")
+    ids = ids.select(*page, F.array_join("replacement_ids", ";").alias("_replacements"))
+    own = F.when(F.col("approved_for_retrieval"), F.col("chunk_id").cast("string")).otherwise("")
+    decided = decide_policy(chunks, repaired_pages, review, audit).join(ids, page, "left")
+    return decided.select(
+        "chunk_id", *page, "approved_for_retrieval", "approved_for_display", "policy_source", "policy_action", "mapping_status",
+        F.coalesce("_replacements", own).alias("new_chunk_ids"),
+        F.col("policy_action").isin(*FOLLOW_UP).alias("human_follow_up_required"),
+    )
+
+
+def decide_policy(chunks: DataFrame, repaired_pages: DataFrame, review: DataFrame, audit: DataFrame) -> DataFrame:
+    """Decision per passage: a repaired page beats the human review, which beats the audit.
+
+    Takes the tables of ``resolve_policy``; of a repaired page only its mark is joined, not its new ids.
     """
+    marks = repaired_pages.filter("replacement_ids IS NOT NULL").select("document_id", "page_number").distinct()
     joined = (
-        chunks.join(repaired_pages, ["document_id", "page_number"], "left")
+        chunks.join(marks.withColumn("_repaired", F.lit(True)), ["document_id", "page_number"], "left")
         .join(review.select("chunk_id", "final_action", "approved_for_retrieval", "approved_for_display"), "chunk_id", "left")
         .join(audit.select("chunk_id", "evidence_quality_pass"), "chunk_id", "left")
     )
-    repaired = F.col("replacement_ids").isNotNull()
+    repaired = F.col("_repaired").isNotNull()
     reviewed = F.col("final_action").isNotNull()
     passed = F.coalesce("evidence_quality_pass", F.lit(False))
     human_keep = yes_no(F.col("approved_for_retrieval")) == "YES"
@@ -93,7 +112,7 @@ def resolve_policy(chunks: DataFrame, repaired_pages: DataFrame, review: DataFra
         return F.when(repaired, on_repair).when(reviewed, on_review).otherwise(on_audit)
 
     no = F.lit(False)
-    decided = joined.select(
+    return joined.select(
         "chunk_id",
         "document_id",
         "page_number",
@@ -112,15 +131,7 @@ def resolve_policy(chunks: DataFrame, repaired_pages: DataFrame, review: DataFra
             status,
             F.when(passed, "UNCHANGED_RETAINED").otherwise("REMOVED_AUTOMATED_QUALITY_GATE"),
         ).alias("mapping_status"),
-        F.when(repaired, F.array_join("replacement_ids", ";")).alias("_replacements"),
     )
-    return decided.select(
-        "*",
-        F.coalesce(
-            "_replacements", F.when(F.col("approved_for_retrieval"), F.col("chunk_id").cast("string")).otherwise("")
-        ).alias("new_chunk_ids"),
-        F.col("policy_action").isin(*FOLLOW_UP).alias("human_follow_up_required"),
-    ).drop("_replacements")
 
 
 def split_quarantine(chunks: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,8 +51,8 @@ def audit_table(t: Tables) -> DataFrame:
     return measured(t).select(F.col("doc_id").alias("chunk_id"), (F.size("text_reasons") == 0).alias("evidence_quality_pass"))
 
 
-def policy_table(t: Tables) -> DataFrame:
-    return lifecycle.resolve_policy(chunk_table(t), repaired_pages(t), review_table(t), audit_table(t))
+def policy_inputs(t: Tables) -> tuple[DataFrame, ...]:
+    return chunk_table(t), repaired_pages(t), review_table(t), audit_table(t)
 
 
 POLICY_SQL = f"""{QUALITY_SQL},
@@ -83,7 +83,7 @@ policy AS MATERIALIZED (SELECT c.chunk_id, c.document_id, c.page_number,
     policy_action IN ('HUMAN_CONFIRMATION_REQUIRED', 'REVIEW_REFERENCE_LINKAGE') AS human_follow_up_required FROM policy""",
 )
 def _(t: Tables) -> DataFrame:
-    return policy_table(t)
+    return lifecycle.resolve_policy(*policy_inputs(t))
 
 
 @query(
@@ -92,7 +92,7 @@ def _(t: Tables) -> DataFrame:
     min(chunk_id) AS first_chunk FROM policy GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
-    kept, out = lifecycle.split_quarantine(chunk_table(t), policy_table(t))
+    kept, out = lifecycle.split_quarantine(chunk_table(t), lifecycle.decide_policy(*policy_inputs(t)))
     both = kept.select("chunk_id", F.lit("retained").alias("outcome")).unionByName(
         out.select("chunk_id", F.col("quarantine_reason").alias("outcome"))
     )

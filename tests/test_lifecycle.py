@@ -21,6 +21,18 @@ def test_policy_order(spark):
     assert rows[4].mapping_status == "REMOVED_AUTOMATED_QUALITY_GATE"
 
 
+def test_decisions_carry_no_new_ids(spark):
+    chunks = spark.createDataFrame([(0, "d", 0)], "chunk_id int, document_id string, page_number int")
+    repaired = spark.createDataFrame([("d", 0, ["n"])], "document_id string, page_number int, replacement_ids array<string>")
+    kept = "chunk_id int, final_action string, approved_for_retrieval string, approved_for_display string"
+    tables = chunks, repaired, spark.createDataFrame([], kept), spark.createDataFrame([], "chunk_id int, evidence_quality_pass boolean")
+    policy = lifecycle.decide_policy(*tables)
+    assert "replacement_ids" not in policy.columns and "new_chunk_ids" not in policy.columns
+    assert policy.first().mapping_status == "REPLACED"
+    whole = lifecycle.resolve_policy(*tables)
+    assert whole.first().new_chunk_ids == "n"
+
+
 def test_build_maps_every_passage_once(spark):
     chunks = spark.createDataFrame(
         [("a", "d", 1, "x"), ("b", "d", 2, "y")], "chunk_id string, document_id string, page_number int, original_text string"
