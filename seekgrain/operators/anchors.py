@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekgrain.functions import text as tx
+from seekgrain.session import is_bounded
 
 # Words that a rewrite may add, inferences that no source supports, openings that a
 # source must name, words that anchor nothing, openings of a derived value per language, wording of
@@ -45,10 +46,12 @@ MEASURED = (
 )
 UNKNOWN_WORDS, UNKNOWN_SHARE, SHORTEST_STEM = 2, 0.20, 5
 
-#: Longest stem that is indexed; longer words also meet by their beginning of this length and are compared.
+#: Longest beginning of a word that is looked up; longer words also meet by their beginning of this length and are compared.
 LONGEST_STEM = 40
 #: Slices of the texts of one reference, so that a frequent word of a frequent reference is not one task.
 SLICES = 8
+#: References up to which their keys are broadcast, so that only trusted texts of asked references are split into words.
+ASKED_KEYS = 1_000_000
 
 
 def telling_words(text: Column) -> Column:
@@ -63,9 +66,9 @@ def anchor_words(text: Column, dropped: Sequence[str] = NO_ANCHORS) -> Column:
     return F.filter(F.array_except(found, folded), lambda w: ~F.regexp_like(w, F.lit(r"(?U)^\d+$")))
 
 
-def _dealt(trusted: DataFrame) -> DataFrame:
+def _dealt(found: DataFrame) -> DataFrame:
     """Every row once per slice."""
-    return trusted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
 
 
 def _asked(texts: DataFrame, ids: Sequence[str], key: str, words: Column) -> DataFrame:
@@ -74,8 +77,20 @@ def _asked(texts: DataFrame, ids: Sequence[str], key: str, words: Column) -> Dat
     return rows.withColumn("slice", F.pmod(F.xxhash64(*ids), F.lit(SLICES)).cast("int"))
 
 
-def _held(trusted: DataFrame, key: str, words: Column) -> DataFrame:
-    return trusted.select(F.col(key).alias("key"), F.explode(words).alias("word")).distinct()
+def _about(texts: DataFrame, trusted: DataFrame, key: str) -> DataFrame:
+    """The trusted texts of references that ``texts`` name, where the names fit a broadcast; else all."""
+    named = texts.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
+    keyed = trusted.withColumnRenamed(key, "key")
+    return keyed.join(F.broadcast(named), "key", "left_semi") if is_bounded(named, ASKED_KEYS) else keyed
+
+
+def _pairs(asked: DataFrame) -> DataFrame:
+    """Every (key, word) once, so that no pair is more than one row, however many texts hold it."""
+    return asked.select("key", "word").filter("key IS NOT NULL").distinct()
+
+
+def _held(trusted: DataFrame, words: Column) -> DataFrame:
+    return _pairs(trusted.select("key", F.explode(words).alias("word")))
 
 
 def entailment(
@@ -91,13 +106,15 @@ def entailment(
     a null id have counts of zero.
     """
     asked = _asked(texts, ids, key, telling_words(F.col(text)))
-    held = _held(trusted, key, telling_words(F.col(trusted_text))).withColumn("known", F.lit(True))
-    met = asked.join(_dealt(held), ["key", "word", "slice"], "left")
+    about = _about(texts, trusted, key)
+    held = _held(about, telling_words(F.col(trusted_text)))
+    known = _pairs(asked).join(held, ["key", "word"], "left_semi").withColumn("known", F.lit(True))
+    met = asked.join(_dealt(known), ["key", "word", "slice"], "left")
     unknown = F.col("known").isNull() & ~F.col("word").isin(*allowed) if allowed else F.col("known").isNull()
     counts = met.groupBy(*ids).agg(F.count("*").alias("n_words"), F.count_if(unknown).alias("n_unknown"))
 
     lack = "|".join(LACKS)
-    names = trusted.select(F.col(key).alias("key"), F.regexp_like(tx.fold(trusted_text), F.lit(rf"\b(?:{lack})\b")).alias("named"))
+    names = about.select("key", F.regexp_like(tx.fold(trusted_text), F.lit(rf"\b(?:{lack})\b")).alias("named"))
     names = names.groupBy("key").agg(F.max("named").alias("named")).filter("named")
     folded = tx.fold(text)
     flags = texts.select(
@@ -115,11 +132,12 @@ def entailment(
 
 
 def _stems(word: Column) -> Column:
-    """A short word itself; else its beginnings of five or more characters, with the mark of the whole word."""
+    """The word itself, marked as whole, and its shorter beginnings of ``SHORTEST_STEM`` to ``LONGEST_STEM`` characters."""
     size = F.length(word)
-    ends = F.sequence(F.lit(SHORTEST_STEM), F.least(size, F.lit(LONGEST_STEM)))
-    beginnings = F.transform(ends, lambda n: F.struct(F.left(word, n).alias("stem"), (n == size).alias("whole")))
-    return F.when(size < SHORTEST_STEM, F.array(F.struct(word.alias("stem"), F.lit(True).alias("whole")))).otherwise(beginnings)
+    ends = F.sequence(F.lit(SHORTEST_STEM), F.least(size - 1, F.lit(LONGEST_STEM)))
+    beginnings = F.transform(ends, lambda n: F.struct(F.left(word, n).alias("stem"), F.lit(False).alias("whole")))
+    itself = F.array(F.struct(word.alias("stem"), F.lit(True).alias("whole")))
+    return F.when(size <= SHORTEST_STEM, itself).otherwise(F.concat(itself, beginnings))
 
 
 def anchored(
@@ -128,23 +146,34 @@ def anchored(
 ) -> DataFrame:
     """(ids, anchored): whether a word of a text is a word of a trusted text with its ``key``, or one begins the other.
 
-    Beginnings count from five characters on. Words meet by equal stems, so no two words are compared but
-    those of more than 40 characters with the same beginning. Null texts, keys and ids are not anchored.
+    Beginnings count from five characters on. In the order of words, those that begin with a word follow it
+    at once, so each asked word and each of its beginnings is held against the next trusted word only, among
+    words of a key with the same five characters; no two words are compared but those of more than 40
+    characters with the same beginning. Null texts, keys and ids are not anchored.
     """
     asked = _asked(texts, ids, key, anchor_words(F.col(text), dropped))
-    held = _held(trusted, key, anchor_words(F.col(trusted_text), dropped))
-
-    stems = held.select("key", F.inline(_stems(F.col("word")))).groupBy("key", "stem").agg(F.max("whole").alias("held_whole"))
-    mine = asked.select(*ids, "key", "slice", F.inline(_stems(F.col("word"))))
-    hits = mine.join(_dealt(stems), ["key", "stem", "slice"]).filter("whole OR held_whole").select(*ids)
+    wanted = _pairs(asked)
+    held = _held(_about(texts, trusted, key), anchor_words(F.col(trusted_text), dropped))
+
+    mine = wanted.select("key", "word", F.inline(_stems(F.col("word"))))
+    theirs = held.select("key", F.lit(None).cast("string").alias("word"), F.col("word").alias("stem"), F.lit(None).cast("boolean").alias("whole"))
+    start = F.left("stem", F.lit(SHORTEST_STEM))
+    order = Window.partitionBy("key", start).orderBy(F.desc("stem"), F.col("word").asc_nulls_first())
+    trusted_word = F.when(F.col("word").isNull(), F.col("stem"))
+    placed = mine.unionByName(theirs).withColumn(
+        "next", F.last(trusted_word, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    begins = F.col("whole") & (F.length("stem") >= SHORTEST_STEM) & F.col("next").startswith(F.col("stem"))
+    hits = placed.filter(F.col("word").isNotNull() & ((F.col("next") == F.col("stem")) | begins)).select("key", "word")
 
     long = F.length("word") > LONGEST_STEM
     begin = F.left("word", F.lit(LONGEST_STEM)).alias("stem")
-    others = _dealt(held.filter(long).select("key", begin, F.col("word").alias("other")))
-    both = asked.filter(long).select(*ids, "key", "slice", "word", begin).join(others, ["key", "stem", "slice"])
-    long_hits = both.filter(F.col("word").startswith(F.col("other")) | F.col("other").startswith(F.col("word"))).select(*ids)
+    others = held.filter(long).select("key", begin, F.col("word").alias("other"))
+    both = wanted.filter(long).select("key", "word", begin).join(others, ["key", "stem"])
+    long_hits = both.filter(F.col("word").startswith(F.col("other"))).select("key", "word")
 
-    found = hits.union(long_hits).distinct().withColumn("anchored", F.lit(True))
+    met = asked.join(_dealt(hits.union(long_hits).distinct()), ["key", "word", "slice"], "left_semi")
+    found = met.select(*ids).distinct().withColumn("anchored", F.lit(True))
     rows = texts.select(*ids).join(found, list(ids), "left")
     return rows.withColumn("anchored", F.coalesce("anchored", F.lit(False)))
 

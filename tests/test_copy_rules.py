@@ -127,6 +127,31 @@ def test_anchors_equal_a_walk_over_all_pairs(spark):
     assert 20 < sum(want.values()) < 220
 
 
+def test_anchors_move_no_copies_of_trusted_words(spark):
+    def rows_of(stage, words):
+        trusted = spark.createDataFrame([(1, words)], "k int, s string")
+        asked = spark.createDataFrame([(1, 1, "wordy")], "k int, n int, t string")
+        return stage(asked, ["k", "n"], "t", trusted, "k", "s")
+
+    for stage in (anchors.anchored, anchors.entailment):
+        plan = rows_of(stage, "words of it")._jdf.queryExecution().analyzed().toString()
+        # Operators are listed before their inputs: what is dealt out over slices is what both sides hold.
+        above, below = plan.split("explode(sequence(0, 7", 1)
+        assert "LeftSemi" in below and "explode(sequence(0, 7" not in below
+    assert rows_of(anchors.anchored, "words of it").first().anchored
+    assert not rows_of(anchors.anchored, "word of it").first().anchored
+
+
+@pytest.mark.parametrize("asked, held, want", [
+    ("x" * 50, "x" * 45, True), ("x" * 45, "x" * 50, True), ("x" * 50, "x" * 40, True), ("x" * 40, "x" * 50, True),
+    ("x" * 44 + "a", "x" * 44 + "b", False), ("abcdef", "abcde abcdea", True), ("abcde", "abcdz abcdef abcdeg", True), ("abcd", "abcde", False),
+])
+def test_anchors_of_any_length(spark, asked, held, want):
+    texts = spark.createDataFrame([(1, 1, asked)], "k int, n int, t string")
+    trusted = spark.createDataFrame([(1, held), (None, asked)], "k int, s string")
+    assert anchors.anchored(texts, ["k", "n"], "t", trusted, "k", "s").first().anchored == want
+
+
 def test_value(value):
     assert value(lambda t: anchors.tells_value(t, F.lit("fr")), "Renforcement du pilotage")
     assert not value(lambda t: anchors.tells_value(t, F.lit("fr")), "Renforcement de 20 %")
