@@ -169,13 +169,17 @@ def lstrip(text: Column | str, chars: str = SPACE) -> Column:
 
 
 def squeeze(text: Column | str) -> Column:
-    return strip(F.regexp_replace(_col(text), f"{SPACE}+", " "))
+    """Runs of white space as one blank, none at the ends; runs that are one blank already are not touched."""
+    return F.trim(F.regexp_replace(_col(text), f" {SPACE}+|[{SPACE[1:-1]}&&[^ ]]{SPACE}*", " "))
 
 
 def clean(text: Column | str) -> Column:
     """Collapse white space; null words become the empty string."""
-    value = squeeze(F.coalesce(_col(text).cast("string"), F.lit("")))
-    return F.when(F.lower(value).isin(*NULL_WORDS), "").otherwise(value)
+    squeezed = squeeze(F.coalesce(_col(text).cast("string"), F.lit("")))
+    longest = max(map(len, NULL_WORDS))
+    return bind(
+        squeezed, lambda v: F.when((F.length(v) <= longest) & F.lower(v).isin(*NULL_WORDS), "").otherwise(v)
+    )
 
 
 def facet_key(text: Column | str) -> Column:
@@ -189,19 +193,25 @@ def has_phrase(token_array: Column, phrase: Column | str) -> Column:
     return F.contains(padded, F.concat(F.lit(" "), needle, F.lit(" ")))
 
 
-def matching_labels(text: Column, label_rules: Iterable[tuple[str, Sequence[str]]]) -> Column:
-    """Labels with a needle anywhere in the folded, space-padded text (substring test)."""
+def padded(text: Column | str) -> Column:
+    """Search form between two spaces, in which labels are looked for."""
+    return F.concat(F.lit(" "), fold(text), F.lit(" "))
+
 
-    def labels(padded: Column) -> Column:
-        hits = []
-        for label, needles in label_rules:
-            test = F.lit(False)
-            for needle in needles:
-                test = test | F.contains(padded, F.lit(needle))
-            hits.append(F.when(test, F.lit(label)))
-        return F.array_compact(F.array(*hits))
+def labels_in(padded_text: Column, label_rules: Iterable[tuple[str, Sequence[str]]]) -> Column:
+    """Labels with a needle anywhere in a ``padded`` text (substring test)."""
+    hits = []
+    for label, needles in label_rules:
+        test = F.lit(False)
+        for needle in needles:
+            test = test | F.contains(padded_text, F.lit(needle))
+        hits.append(F.when(test, F.lit(label)))
+    return F.array_compact(F.array(*hits))
 
-    return bind(F.concat(F.lit(" "), fold(text), F.lit(" ")), labels)
+
+def matching_labels(text: Column, label_rules: Iterable[tuple[str, Sequence[str]]]) -> Column:
+    """Labels with a needle anywhere in the folded, space-padded text (substring test)."""
+    return bind(padded(text), lambda p: labels_in(p, label_rules))
 
 
 def json_strings(value: Column | str) -> Column:

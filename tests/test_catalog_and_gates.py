@@ -85,6 +85,14 @@ def test_catalog_normalisation(spark):
     assert "Audit technique et organisationnel" in row.key_themes
 
 
+def test_labels_of_a_text_are_looked_for_once(spark):
+    frame = spark.createDataFrame([(" api ", ["B"])], "p string, found array<string>")
+    ordered = frame.select(catalog._in_rule_order(F.col("p"), "found", [("A", ["api"]), ("B", ["x"]), ("C", ["y"])]).alias("v"))
+    assert ordered.first()["v"] == ["A", "B"]
+    plan = ordered._jdf.queryExecution().analyzed().toString()
+    assert plan.index("array_union") < plan.index("filter(")
+
+
 def test_broken_row_list_links_nothing(spark):
     references = spark.createDataFrame([("R1", 1, True)], "reference_id string, row_number int, document_retrieval_eligible boolean")
     passages = spark.createDataFrame([("c2", "broken")], "chunk_id string, reference_rows_json string")
