@@ -130,15 +130,15 @@ def test_anchors_equal_a_walk_over_all_pairs(spark):
 def test_anchors_move_no_copies_of_trusted_words(spark):
     def rows_of(stage, words):
         trusted = spark.createDataFrame([(1, words)], "k int, s string")
-        asked = spark.createDataFrame([(1, 1, "wordy")], "k int, n int, t string")
+        asked = spark.createDataFrame([(1, 1, "words")], "k int, n int, t string")
         return stage(asked, ["k", "n"], "t", trusted, "k", "s")
 
     for stage in (anchors.anchored, anchors.entailment):
-        plan = rows_of(stage, "words of it")._jdf.queryExecution().analyzed().toString()
+        plan = rows_of(stage, "wordsmith of it")._jdf.queryExecution().analyzed().toString()
         # Operators are listed before their inputs: what is dealt out over slices is what both sides hold.
         above, below = plan.split("explode(sequence(0, 7", 1)
         assert "LeftSemi" in below and "explode(sequence(0, 7" not in below
-    assert rows_of(anchors.anchored, "words of it").first().anchored
+    assert rows_of(anchors.anchored, "wordsmith of it").first().anchored
     assert not rows_of(anchors.anchored, "word of it").first().anchored
 
 

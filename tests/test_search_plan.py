@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seekgrain.operators import catalog, fields, grounding, lexical, metrics, pool
+from seekgrain.functions import quality
+from seekgrain.operators import catalog, evidence, fields, grounding, lexical, metrics, pool
 from seekgrain.plans import search as plan
 from seekgrain.presets import SELECTED
 from seekgrain.sources import sinks
@@ -132,3 +133,21 @@ def test_a_stored_index_scores_like_a_fresh_one(spark, tmp_path):
         return scores, sorted(map(tuple, index.terms().collect()))
 
     assert pick(stored) == pick(fresh)
+
+
+def test_pool_rows_carry_no_words(spark):
+    pool = spark.createDataFrame(
+        [(1, "a", "c1", 0.1, 0.5), (1, "b", "c1", 0.1, 0.5), (2, "a", "c1", 0.1, 0.5)],
+        "query_id int, reference_id string, chunk_id string, fused double, dense double",
+    )
+    passages = spark.createDataFrame([("c1", "The programme delivered a resilient platform for every regional team.")], "chunk_id string, t string")
+    measured = quality.measure(passages.withColumn("display_text", F.col("t")), "t", "display_text").drop("t")
+    profile = spark.createDataFrame(
+        [(1, ["resilient", "bank"], [], "en"), (2, ["platform"], [], "en")],
+        "query_id int, query_tokens array<string>, query_concepts array<string>, query_language string",
+    )
+    about = spark.createDataFrame([("a", ["team", "x"]), ("b", [])], "reference_id string, reference_tokens array<string>")
+    rows = evidence.evaluate_pool(pool, measured, "chunk_id", SELECTED, profile, about)
+    got = {(r.query_id, r.reference_id): (r.coverage, r.metadata_support) for r in rows.collect()}
+    assert got == {(1, "a"): (0.5, 0.5), (1, "b"): (0.5, 0.0), (2, "a"): (1.0, 0.5)}
+    assert not {"display_text", "display_tokens", "query_tokens", "reference_tokens"} & set(rows.columns)
