@@ -90,3 +90,17 @@ def test_unique_items_drops_near_copies(spark):
     items = ["Audit des processus métier", "Audit du processus métier", "Déploiement réseau", "", "déploiement  RÉSEAU"]
     frame = spark.createDataFrame([(items,)], "v array<string>")
     assert frame.select(lists.unique_items(F.col("v")).alias("u")).first().u == [items[0], items[2]]
+
+
+def test_strip_looks_at_the_ends_only(spark, value):
+    spaces = tx.SPACES
+    assert value(lambda t: F.regexp_replace(t, tx.SPACE, ""), "".join(map(chr, range(1, 0x3100)))) == "".join(
+        chr(c) for c in range(1, 0x3100) if chr(c) not in spaces
+    )
+    for text in (spaces + "a" + spaces + "b  c d" + spaces, spaces, "", "a\u200bb", "\u200b a \n"):
+        by_pattern = value(lambda t: F.regexp_replace(t, f"^{tx.SPACE}+|{tx.SPACE}+$", ""), text)
+        assert value(tx.strip, text) == by_pattern
+        runs = value(lambda t: F.regexp_replace(F.regexp_replace(t, f"{tx.SPACE}+", " "), "^ | $", ""), text)
+        assert value(tx.squeeze, text) == runs
+    plan = spark.range(1).select(tx.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp" not in plan
