@@ -119,3 +119,44 @@ def test_severities_and_richness(spark):
     levels = spark.createDataFrame([(3, 0, 0), (0, 2, 0), (0, 0, 239)], "a int, s int, n int")
     got = [r.r for r in levels.select(grounding.richness(F.col("a"), F.col("s"), F.col("n")).alias("r")).collect()]
     assert got == ["RICH", "MEDIUM", "SPARSE"]
+
+
+HINTED = [
+    "Réussite du projet", "AVEC SUCCÈS", "LE CLIENT A OBTENU", "dıstınctıon", "ISO9001", "iso 27001", "100%award", "²ROI", "™PRIZE", "Économies",
+    "mises en œuvre", "Livrés", "تم تنفيذ", "prıze", "prıſe certıfıed", "Mise en place", "augmentation des revenus", "PMP", "nothing here",
+]
+
+
+def test_hints_pass_every_text_a_pattern_matches(spark):
+    """Without its hint a text is not searched, so no match may lack it."""
+    rows = spark.createDataFrame([(t,) for t in HINTED], "text string")
+    said = grounding._spoken(grounding.phrase_words(F.col("text")))
+    joined = F.contains("text", F.lit("%")) | F.regexp_like("text", F.lit(grounding.JOINING_SIGNS))
+    patterns = {p: h for p, h in grounding.HINTS.items() if p != grounding.LEAK_PATTERNS["RETRIEVAL_SCORE"]}
+    checks = [
+        F.struct(F.regexp_like("text", F.lit(p)).alias("match"), (joined | grounding._hinted(said, h.split())).alias("hint"))
+        for p, h in patterns.items()
+    ]
+    found = [(r["text"], c["match"], c["hint"]) for r in rows.select("text", F.array(*checks).alias("c")).collect() for c in r["c"]]
+    assert len({text for text, match, _ in found if match}) >= 15
+    assert not [text for text, match, hint in found if match and not hint]
+
+
+def test_names_of_a_long_heading(spark):
+    """A run of thousands of capitalised words is one name and takes no stack frame for each word."""
+    text = "Omega " + "Holding " * 30000 + "J. went"
+    frame = spark.createDataFrame([(text,)], "text string")
+    name = F.regexp_extract_all("text", F.lit(grounding.NAME_PATTERN), F.lit(0))
+    person = F.regexp_extract_all(F.concat(F.lit("Mr "), "text"), F.lit(grounding.PERSON_PATTERN), F.lit(0))
+    row = frame.select(name.alias("n"), person.alias("p")).first()
+    assert [len(n) for n in row["n"]] == [len("Omega " + "Holding " * 30000) - 1]
+    assert [len(p) for p in row["p"]] == [len("Mr " + text)]
+
+
+def test_words_of_brief_texts_are_those_of_the_text(spark):
+    frame = spark.createDataFrame([("Alpha beta\nalpha Beta-gamma ’alpha é É beta  x% 12 beta",)], "text string")
+    row = frame.select(
+        grounding.phrase_words(F.col("text")).alias("a"),
+        F.array_distinct(F.split(F.trim(grounding.phrase_form(F.col("text"))), " ")).alias("b"),
+    ).first()
+    assert row["a"] == row["b"]
