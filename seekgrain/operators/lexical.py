@@ -14,6 +14,8 @@ from seekgrain.presets import TermSettings
 from seekgrain.session import BROADCAST_ROWS, is_bounded, reliable_checkpoint
 
 POSTING_SALTS = 32
+#: Documents whose postings one task scores.
+TASK_DOCUMENTS = 20_000
 LENGTH_ROW = ""
 
 
@@ -229,13 +231,18 @@ def score(
 ) -> DataFrame:
     """Sum of term scores per (query, document) with at least one query term.
 
-    ``query_terms`` has (query, term) and may hold repeats, which multiply a term's part. Postings
-    of a frequent term are spread over slices, so its part of the join is never one task.
+    ``query_terms`` has (query, term) and may hold repeats, which multiply a term's part. With few terms the
+    asked postings are dealt out by document, so that scores are summed where the postings are and need no
+    shuffle; parts grow in number, not in size. With many, postings of a frequent term are spread over slices,
+    so its part of the join is never one task.
     """
     per_query = query_terms.groupBy(query, "term").agg(F.count("*").alias("query_tf"))
     weights = index.terms().join(per_query, "term").select(query, "term", "idf", "query_tf")
     if index.few_query_terms:
-        matched = index.postings.join(F.broadcast(weights), "term")
+        asked = index.postings.join(F.broadcast(query_terms.select("term").distinct()), "term", "left_semi")
+        n_docs = index.totals.select("n_docs").first()["n_docs"] or 0
+        parts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // TASK_DOCUMENTS))
+        matched = asked.repartition(parts, index.key).join(F.broadcast(weights), "term")
     else:
         slices = F.sequence(F.lit(0), F.lit(POSTING_SALTS - 1))
         spread = index.postings.withColumn(

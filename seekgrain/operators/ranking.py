@@ -28,12 +28,13 @@ def top_k(
     """First ``k`` rows of each group with their rank.
 
     Spark prunes to ``k`` rows per group in every input task before the shuffle. For a deep
-    list a first round over ``salts`` slices of the group keeps the last task at ``salts * k``
-    rows, whatever the number of input tasks.
+    list (``salt_on`` given) a first round over ``salts`` slices of the group keeps the last task at
+    ``salts * k`` rows, whatever the number of input tasks. A slice is made of whole input tasks, so
+    that they still prune to ``k`` rows per group; a hash of the key would leave each of them all rows.
     """
     order = _names(order)
     if salt_on is not None and k >= SALT_FROM:
-        salted = df.withColumn("_slice", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+        salted = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts)))
         inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = salted.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= k).drop("_slice", rank)
     final = Window.partitionBy(*keys).orderBy(*order)
@@ -91,8 +92,10 @@ def zero_filled(
     """Add score-0 passages so that a lane can rank every eligible passage.
 
     A lane keeps ``depth`` rows and breaks ties by key, so only the ``depth`` smallest keys can
-    enter it with score 0; they come as one bounded array per query.
+    enter it with score 0; they come as one bounded array per query. Hits beyond the first ``depth`` of a
+    query cannot enter it either and are dropped before they meet the zeros.
     """
+    hits = top_k(hits, [query], [F.desc("score"), F.col(key)], depth, "_best", salt_on=key)
     first = passages.select(key).orderBy(key).limit(depth).agg(F.sort_array(F.collect_list(key)).alias("_first"))
     fill = queries.select(query).distinct().select(
         query, F.explode(first.scalar()).alias(key), F.lit(0.0).alias("score")

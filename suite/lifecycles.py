@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seekgrain import contracts
 from seekgrain.functions import documents, lists
 from seekgrain.operators import corpus_audit, lifecycle, pool, ranking
+from seekgrain.session import reliable_checkpoint
 from suite.base import Tables, query, sql_list
 from suite.retrieval import lanes, sql_fused
 from suite.texts import QUALITY_SQL, measured
@@ -261,7 +262,7 @@ def _(t: Tables) -> DataFrame:
 # ---- judging pools ---------------------------------------------------------------------------------
 def lane_entities(t: Tables) -> DataFrame:
     """Sources ranked by their first document in each lane."""
-    lexical_lane, dense_lane = lanes(t)
+    lexical_lane, dense_lane = (reliable_checkpoint(lane) for lane in lanes(t))
     fused = ranking.fuse(lexical_lane, dense_lane, "item_id", "doc_id", 0.75, 0.25)
     hybrid = ranking.top_k(fused, ["item_id"], [F.desc("fused"), F.col("doc_id")], 2000, salt_on="doc_id")
     hybrid = hybrid.select("item_id", "doc_id", F.col("fused").alias("score"), "rank")

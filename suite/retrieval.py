@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seekgrain.operators import dense, gates, lexical, metrics, ranking
 from seekgrain.presets import SELECTED, WEIGHT_PAIRS, TermSettings
+from seekgrain.session import reliable_checkpoint
 from suite.base import SQL_STOPWORDS, Tables, query, sql_fold, sql_tokens, sql_words
 
 # ---- shared stages -----------------------------------------------------------------------------
@@ -356,7 +357,7 @@ def _(t: Tables) -> DataFrame:
     from seekgrain.operators import evidence
 
     rows = _entity_rows(t).withColumn("lexical", F.coalesce("lexical_score", F.lit(0.0)))
-    rows = rows.withColumnsRenamed({"item_id": "query_id"})
+    rows = reliable_checkpoint(rows.withColumnsRenamed({"item_id": "query_id"}))
     links = rows.select("doc_id", F.col("entity").alias("reference_id")).distinct()
     bare = rows.drop("entity")
     keys = ["query_id", "reference_id"]

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,34 @@ def test_metric_formulas(spark):
     dcg = 3 / math.log2(3) + 1 / math.log2(4)
     assert one.ndcg_at_3 == pytest.approx(dcg / (3 + 1 / math.log2(3)), abs=1e-6)
     assert rows[2].ndcg_at_3 == 0.0 and rows[2].recall_at_3 == 0.0
+
+
+def test_scores_are_summed_where_the_postings_lie(spark):
+    """Only postings are dealt out; the hits of all queries are summed without a shuffle."""
+    docs = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "alpha delta") for i in range(40)], "doc_id int, text string")
+    terms = lexical.query_tokens(spark.createDataFrame([("q1", "gamma delta"), ("q2", "beta")], "q string, text string"), "q", "text")
+    index = lexical.build_index(docs, "doc_id", "text", terms)
+    scored = lexical.score(index, terms.select("q", "term"), "q")
+    plan = scored._jdf.queryExecution().toString().split("== Physical Plan ==")[-1]
+    assert not re.search(r"hashpartitioning\(q#\d+, doc_id#", plan) and scored.count() == 60
+
+
+def test_deep_lists_are_pruned_before_they_are_dealt_out(spark):
+    """A slice is made of whole input tasks, so each of them passes on at most ``k`` rows of a group."""
+    frame = spark.range(0, 40000, 1, 2).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    deep = ranking.top_k(frame, ["k"], [F.desc("i")], 300, salt_on="i", salts=7)
+    assert [r.i for r in deep.orderBy("rank").collect()] == list(range(39999, 39699, -1))
+    sliced = frame.select(F.pmod(F.spark_partition_id(), F.lit(7)).alias("s")).distinct().count()
+    plan = deep._jdf.queryExecution().toString()
+    assert sliced == 2 and "SPARK_PARTITION_ID" in plan
+
+
+def test_zeros_meet_the_best_hits_only(spark):
+    hits = spark.createDataFrame([("q", i, float(s)) for i, s in enumerate([0, 3, 0, 2, 0, 5, -1, 0])], "q string, d int, score double")
+    passages = spark.createDataFrame([(i,) for i in range(10)], "d int")
+    asked = spark.createDataFrame([("q",)], "q string")
+    for depth in (1, 2, 3, 4, 6):
+        filled = ranking.zero_filled(hits, asked, passages, depth, "q", "d")
+        assert filled.count() <= 2 * depth
+        lane = ranking.top_k(filled, ["q"], [F.desc("score"), F.col("d")], depth).orderBy("rank")
+        assert [r.d for r in lane.collect()] == [5, 1, 3, 0, 2, 4][:depth]
