@@ -15,9 +15,9 @@ BOILERPLATE_PATTERN = (
     r"\ben foi de quoi\b|\bservir et valoir ce que de droit\b|\bfait [àa]\b|\bsignature\b|\bt[ée]l(?:[ée]phone)?\b|"
     r"\be[- ]?mail\b|\badresse\b|\bcontrat n[°o]\b|\battestation (?:de|du|d['’])\b|\bpleine satisfaction\b|\[PHONE_LIKE\]"
 )
-FRAGMENT_SPLIT = r"(?U)(?:\r?\n|[•▪◦]|\s+[–—-]\s+|;\s+|(?<=[.!?])\s+)"
+FRAGMENT_SPLIT = r"(?U)(?=[\s•▪◦;])(?:\r?\n|[•▪◦]|\s+[–—-]\s+|;\s+|(?<=[.!?])\s+)"
 PROJECT_OPENING = r"(?iu)le projet|la mission|l’étude|l'etude"
-FRAGMENT_EDGE = r"[ \t\r\n•▪◦\-–—:;]"
+FRAGMENT_EDGE = " \t\r\n•▪◦-–—:;"
 SHORTEST = 12
 
 
@@ -116,17 +116,32 @@ def first_evidence(evidence: DataFrame, chosen: DataFrame) -> DataFrame:
     return top_k(joined, ["reference_id"], order, 1, "_r").drop("_r")
 
 
+def _first_of_equal(values: Column, key) -> Column:
+    """Values in order, of those with an equal key the first one; sorted, not looked up, as a text has thousands."""
+    keyed = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
+    first = tx.bind(keyed, lambda a: F.filter(a, lambda s, i: (i == 0) | (F.get(a, i - 1)["k"] != s["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["i"], s["v"]))), lambda s: s["v"])
+
+
 def safe_fragments(text: Column, maximum: int) -> Column:
-    """Source fragments fit to show: split, tidied, without administrative wording or repeats."""
+    """Source fragments fit to show: split, tidied, without administrative wording or repeats.
+
+    Fragments are searched for that wording only where the text as a whole, its white space squeezed, has some.
+    """
 
     def tidy(part: Column) -> Column:
-        return tx.strip(tx.squeeze(part), FRAGMENT_EDGE)
+        return F.trim(tx.squeeze(part), F.lit(FRAGMENT_EDGE))
 
-    def without_prefix(item: Column) -> Column:
-        return tx.bind(
-            F.struct(F.regexp_like(item, F.lit(BOILERPLATE_PATTERN)).alias("b"), F.regexp_instr(item, F.lit(PROJECT_OPENING)).alias("at")),
-            lambda s: F.when(s["b"] & (s["at"] > 0), F.substring(item, s["at"], F.length(item))).otherwise(item),
+    def is_boilerplate(item: Column) -> Column:
+        return F.regexp_like(item, F.lit(BOILERPLATE_PATTERN))
+
+    def project_part(item: Column) -> Column:
+        """What a fragment with administrative wording says from its project opening on, null without one."""
+        rest = tx.bind(
+            F.regexp_instr(item, F.lit(PROJECT_OPENING)),
+            lambda at: F.when(at > 0, F.substring(item, at, F.length(item))),
         )
+        return tx.bind(rest, lambda r: F.when(~is_boilerplate(r), r))
 
     def fit(item: Column) -> Column:
         clauses = F.filter(
@@ -135,18 +150,16 @@ def safe_fragments(text: Column, maximum: int) -> Column:
         )
         return F.when(F.length(item) > maximum, F.coalesce(F.get(clauses, F.lit(0)), F.lit(""))).otherwise(item)
 
-    parts = F.transform(F.split(display.clean_display(text), FRAGMENT_SPLIT), lambda p: without_prefix(tidy(p)))
-    usable = F.filter(parts, lambda p: (F.length(p) >= SHORTEST) & ~F.regexp_like(p, F.lit(BOILERPLATE_PATTERN)))
-    shaped = F.filter(F.transform(usable, fit), lambda p: p != "")
-    empty = F.array().cast("array<string>")
-    return F.aggregate(
-        shaped,
-        F.struct(empty.alias("kept"), empty.alias("keys")),
-        lambda s, p: F.when(F.array_contains(s["keys"], F.lower(p)), s).otherwise(
-            F.struct(F.array_append(s["kept"], p).alias("kept"), F.array_append(s["keys"], F.lower(p)).alias("keys"))
-        ),
-        lambda s: s["kept"],
-    )
+    def fragments(cleaned: Column) -> Column:
+        parts = F.transform(F.split(cleaned, FRAGMENT_SPLIT), tidy)
+        proper = F.when(
+            is_boilerplate(tx.squeeze(cleaned)),
+            F.transform(parts, lambda p: F.when(is_boilerplate(p), project_part(p)).otherwise(p)),
+        ).otherwise(parts)
+        usable = F.filter(proper, lambda p: F.coalesce(F.length(p) >= SHORTEST, F.lit(False)))
+        return F.filter(F.transform(usable, fit), lambda p: p != "")
+
+    return _first_of_equal(tx.bind(display.clean_display(text), fragments), F.lower)
 
 
 def excerpt(fragments: Column, maximum: int) -> Column:
