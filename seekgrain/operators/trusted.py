@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seekgrain.functions import display, text as tx
 from seekgrain.operators.ranking import top_k
+from seekgrain.session import reliable_checkpoint
 
 SHA_PATTERN = "^[0-9a-f]{64}$"
 # Administrative wording, where a source text is split, and project openings.
@@ -19,11 +20,13 @@ FRAGMENT_SPLIT = r"(?U)(?=[\s•▪◦;])(?:\r?\n|[•▪◦]|\s+[–—-]\s+|;\
 PROJECT_OPENING = r"(?iu)le projet|la mission|l’étude|l'etude"
 FRAGMENT_EDGE = " \t\r\n•▪◦-–—:;"
 SHORTEST = 12
+#: A value that ``text.clean`` leaves empty, told from its first characters.
+MISSING = "(?i)^" + tx.SPACE + "*(?:" + "|".join(tx.NULL_WORDS) + ")" + tx.SPACE + r"*\z"
 
 
 def lineage_valid() -> Column:
     def present(name: str) -> Column:
-        return tx.clean(name) != ""
+        return ~F.regexp_like(F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(MISSING))
 
     return (
         present("document_id")
@@ -41,24 +44,29 @@ def rejection_codes(
 ) -> DataFrame:
     """(reference_id, code): the first check a reference fails, or null when it can be exported.
 
-    Passage facts are aggregated per reference before anything is joined back. links has
-    (chunk_id, row_number).
+    A passage is checked once, whatever the number of its links, and its texts meet none of them. Passage
+    facts are aggregated per reference before anything is joined back. links has (chunk_id, row_number).
     """
     open_to_user = F.col("security_classification").isin(*allowed)
     shown = open_to_user & F.coalesce("approved_for_display", F.lit(False))
-    facts = (
-        links.join(passages, "chunk_id")
-        .groupBy("row_number")
-        .agg(
-            F.count("*").alias("n_linked"),
-            F.count_if(~F.coalesce("approved_for_retrieval", F.lit(False))).alias("n_unapproved"),
-            F.count_if(open_to_user).alias("n_open"),
-            F.count_if(shown).alias("n_shown"),
-            F.count_if(shown & ~F.coalesce(lineage_valid(), F.lit(False))).alias("n_bad_lineage"),
-        )
+    checked = passages.select(
+        "chunk_id", "document_id", "source_sha256",
+        F.coalesce("approved_for_retrieval", F.lit(False)).alias("_approved"),
+        open_to_user.alias("_open"),
+        shown.alias("_shown"),
+        F.when(shown, F.coalesce(lineage_valid(), F.lit(False))).alias("_valid"),
+    )
+    # Written once: the optimiser would move the checks behind a join.
+    linked_passages = links.join(reliable_checkpoint(checked), "chunk_id")
+    facts = linked_passages.groupBy("row_number").agg(
+        F.count("*").alias("n_linked"),
+        F.count_if(~F.col("_approved")).alias("n_unapproved"),
+        F.count_if("_open").alias("n_open"),
+        F.count_if("_shown").alias("n_shown"),
+        F.count_if(F.col("_shown") & ~F.col("_valid")).alias("n_bad_lineage"),
     )
     hashes = (
-        links.join(passages.filter(shown).select("chunk_id", "document_id", "source_sha256"), "chunk_id")
+        linked_passages.filter("_shown")
         .groupBy("row_number", "document_id")
         .agg(F.count_distinct(F.lower("source_sha256")).alias("n_hashes"))
         .groupBy("row_number")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from seekgrain.functions import text as tx
 from seekgrain.operators import grounding, trusted
 
 SUPPORT = "The team supported Alpha Bank with an audit of processes. 12,5 % of 40 sites were covered in 2021."
@@ -177,3 +178,25 @@ def test_boilerplate_across_blanks_is_found_in_its_fragment(spark):
     text = "En foi  de quoi nous signons ici; un audit complet; attestation  du client, le projet  a couvert dix sites"
     row = spark.createDataFrame([(text,)], "t string").select(trusted.safe_fragments(F.col("t"), 80).alias("f")).first()
     assert row.f == ["un audit complet", "le projet a couvert dix sites"]
+
+
+def test_lineage_is_told_from_the_first_characters(spark):
+    names = ["", " \n\u00a0", "n/a", " NaN\t", "None ", "#VALUE!", "n / a", "nano", "x", None, "na na", "\u2003null\u2003"]
+    rows = spark.createDataFrame([(n,) for n in names], "t string")
+    text = F.coalesce("t", F.lit(""))
+    got = rows.select((tx.clean("t") == "").alias("a"), F.regexp_like(text, F.lit(trusted.MISSING)).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_a_passage_is_checked_once_for_all_its_links(spark):
+    """Texts of passages do not meet the links: no join after the checks carries them."""
+    passages = spark.createDataFrame(
+        [("c1", "d", "f", "a" * 64, 1, "p", "u", "text", True, True, "INTERNAL"), ("c2", "d", "f", "b" * 64, 1, "p", "n/a", "text", True, True, "INTERNAL")],
+        "chunk_id string, document_id string, source_file_name string, source_sha256 string, page_number_1_based int, citation_label string, "
+        "citation_uri string, display_text string, approved_for_retrieval boolean, approved_for_display boolean, security_classification string",
+    )
+    references = spark.createDataFrame([("R1", 1, True), ("R2", 2, True), ("R3", 3, True)], "reference_id string, row_number int, document_retrieval_eligible boolean")
+    links = spark.createDataFrame([("c1", 1), ("c2", 2)], "chunk_id string, row_number int")
+    found = trusted.rejection_codes(references, passages, links, links.select("row_number").filter("false"), ["INTERNAL"])
+    assert dict(map(tuple, found.collect())) == {"R1": None, "R2": "INVALID_SOURCE_LINEAGE", "R3": "REFERENCE_WITHOUT_EVIDENCE"}
+    assert "display_text" not in found._jdf.queryExecution().optimizedPlan().toString()
