@@ -6,6 +6,7 @@ import html
 import html.entities
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,17 +75,17 @@ def chunk_pages(
     if maximum <= overlap or minimum <= 0:
         raise ValueError("invalid chunk sizes")
 
-    @F.pandas_udf("array<struct<character_start:int,character_end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [
-                {"character_start": a, "character_end": b}
-                for a, b in chunk_spans(t or "", maximum, overlap, minimum)
-            ]
-        )
+    @F.pandas_udf("array<int>")
+    def ends(texts: pd.Series) -> pd.Series:
+        # Starts and ends in turn, as plain numbers: a batch holds thousands of pages.
+        return texts.map(lambda t: np.array(chunk_spans(t or "", maximum, overlap, minimum), dtype=np.int32).ravel())
 
     others = [c for c in pages.columns if c != text]
-    placed = pages.withColumn("_spans", spans(F.col(text)))
+    spans = F.transform(
+        F.filter("_ends", lambda _, i: i % 2 == 0),
+        lambda start, i: F.struct(start.alias("character_start"), F.get("_ends", 2 * i + 1).alias("character_end")),
+    )
+    placed = pages.withColumn("_ends", ends(F.col(text))).withColumn("_spans", spans)
     return (
         placed.select(*others, text, F.posexplode("_spans").alias("_i", "_span"))
         .select(
@@ -118,7 +119,9 @@ def unescape_html(value: Column, closed: bool = False) -> Column:
             return texts.map(lambda t: CLOSED_REFERENCE.sub(_closed_reference, t), na_action="ignore")
         return texts.map(html.unescape, na_action="ignore")
 
-    return F.pandas_udf(unescape, T.StringType())(value)
+    # A text without the sign stays in the JVM.
+    marked = F.when(F.contains(value, F.lit("&")), value)
+    return F.coalesce(F.pandas_udf(unescape, T.StringType())(marked), value)
 
 
 def strip_markup(decoded: Column | str, maximum: int | None = None) -> Column:

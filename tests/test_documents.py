@@ -87,3 +87,11 @@ def test_page_quality(spark):
     )
     found = [r.q for r in rows.select(documents.page_quality(F.col("t"), F.col("m"), F.col("c")).alias("q")).collect()]
     assert found == ["FAILED", "REVIEW", "REVIEW", "PASS"]
+
+
+def test_texts_without_references_stay_in_the_jvm(spark):
+    """Only texts with the sign go to Python; all are decoded as before."""
+    rows = spark.createDataFrame([("a &amp; b",), ("plain < text",), (None,), ("&eacute;t&#233;",)], "t string")
+    seen = rows.select(documents.unescape_html(F.col("t")).alias("u"))
+    assert [r.u for r in seen.collect()] == ["a & b", "plain < text", None, "été"]
+    assert "CASE WHEN Contains" in seen._jdf.queryExecution().optimizedPlan().toString()
