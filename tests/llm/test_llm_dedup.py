@@ -249,3 +249,59 @@ def test_compact_windows_cover_every_window():
             assert values[s : s + 12].min() == low
         assert values[c] == low and f <= c < f + 12
     assert sorted(seen) == [s for s in range(289) if owner[s] == owner[s + 11]]
+
+
+def test_repeated_passages_leave_no_files_of_done_steps(spark):
+    """Shuffle files go with the step that made them, and tables that no later step reads are removed."""
+    import glob
+    import time
+    from pathlib import Path
+
+    from seekgrain.llm.common import SHUFFLE_CLEANUP, shared_folder
+
+    def shuffles():
+        """Ids of the shuffles that have files, from their names shuffle_<id>_<map>_0.data."""
+        folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.getName().split("_")[1] for d in folder.localDirs() for f in _files(d) if f.getName().endswith(".data")}
+
+    def _files(folder):
+        for f in folder.listFiles() or []:
+            yield from _files(f) if f.isDirectory() else [f]
+
+    tables = Path(shared_folder(spark).removeprefix("file:")) / "tables"
+    before, known, was = shuffles(), set(glob.glob(f"{tables}/*")), spark.conf.get(SHUFFLE_CLEANUP, None)
+    passage = texts(5, 1, 70, 70)[0]
+    rows = [(i, f"{t} {passage}") for i, t in enumerate(texts(6, 12, 100, 160))]
+    found = substring_dedup.repeated_passages(docs(spark, rows))
+    until = time.time() + 20
+    while len(shuffles() - before) > 3 and time.time() < until:  # executors remove files a little later
+        time.sleep(0.2)
+    assert len(shuffles() - before) <= 3  # counts of rows
+    # What the result is read from: verified spans of both searches and what the second one found.
+    assert len(set(glob.glob(f"{tables}/*")) - known) <= 4
+    assert found.count() == 12
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == (was or "false")
+
+
+@pytest.mark.parametrize("kinds", [12, 40, 1000])
+def test_windows_with_repeats_are_compared_alike_as_matrix_and_as_runs(monkeypatch, kinds):
+    import numpy as np
+
+    rng = np.random.default_rng(kinds)
+    for _ in range(40):
+        x = rng.integers(0, kinds, 30 + int(rng.integers(0, 60))).astype(np.uint32)
+        y = np.where(rng.random(len(x)) < 0.08, rng.integers(0, kinds, len(x)), x).astype(np.uint32)
+        brute = [
+            100 * len(a & b) >= 80 * len(a | b)
+            for a, b in ((set(x[s : s + 30].tolist()), set(y[s : s + 30].tolist())) for s in range(len(x) - 29))
+        ]
+        assert substring_dedup.alike_windows(x, y, 30, 80).tolist() == brute
+        with monkeypatch.context() as patch:
+            patch.setattr(substring_dedup, "DENSE", 0)
+            assert substring_dedup.alike_windows(x, y, 30, 80).tolist() == brute
+
+
+@pytest.mark.parametrize("crowded", [0, 1 << 30])
+def test_crowded_blocks_find_the_same(spark, monkeypatch, crowded):
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    test_passages_in_the_middle_of_a_group(spark, monkeypatch, 16)
