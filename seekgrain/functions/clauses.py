@@ -33,7 +33,7 @@ def _ends_in(text: Column, words: Sequence[str]) -> Column:
 def _pieces(text: Column, actions: Sequence[str]) -> Column:
     """Parts between bullets and semicolons and before activity words, tidied; blank parts are dropped."""
     cut = rf"(?iU)\s*[•▪·]\s*|\s*;\s*|\s+(?=(?:{'|'.join(actions)})\b)"
-    parts = F.filter(F.transform(F.split(text, cut), tx.strip), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, cut), lambda p: tx.strip(p)), lambda p: p != "")
     return F.transform(parts, lambda p: tx.strip(F.left(p, F.lit(CLAUSE_CHARS)), "[ \\-:;]"))
 
 

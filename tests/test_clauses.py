@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekgrain.functions import clauses
+from suite import QUERIES
 
 CASES = {
     "préparation du plan ; appui à la rédaction des tests": ["préparation du plan", "appui à la rédaction des tests"],
@@ -84,3 +85,17 @@ def test_coverage(spark, held, texts, expected):
     frame = spark.createDataFrame([(held, texts)], "held array<string>, texts array<string>")
     row = frame.select(clauses.clause_coverage(F.col("held"), F.col("texts")).alias("c")).first()["c"]
     assert tuple(row) == expected
+
+
+def tables(spark, folder):
+    texts = [(1, "un plan ; audit des comptes thble revue annuelle"), (2, "seul"), (3, None), (4, "thblex reste ; the")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    turns = [(1, "des comptes"), (1, None), (2, "seul"), (5, "plan")]
+    spark.createDataFrame(turns, "conv_id bigint, text string").write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+def test_query_of_clauses(spark, tmp_path):
+    rows = QUERIES["activity_clauses"](spark, tables(spark, tmp_path)).collect()
+    found = {r["doc_id"]: (r["n_clauses"], r["clauses"]) for r in rows}
+    assert found == {1: (3, "un plan\naudit des comptes\nthble revue annuelle"), 2: (1, "seul"), 3: (0, ""), 4: (1, "thblex reste the")}
