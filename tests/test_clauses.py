@@ -99,3 +99,9 @@ def test_query_of_clauses(spark, tmp_path):
     rows = QUERIES["activity_clauses"](spark, tables(spark, tmp_path)).collect()
     found = {r["doc_id"]: (r["n_clauses"], r["clauses"]) for r in rows}
     assert found == {1: (3, "un plan\naudit des comptes\nthble revue annuelle"), 2: (1, "seul"), 3: (0, ""), 4: (1, "thblex reste the")}
+
+
+def test_query_of_coverage(spark, tmp_path):
+    rows = QUERIES["clause_coverage"](spark, tables(spark, tmp_path)).collect()
+    found = {r["doc_id"]: (r["n_clauses"], r["n_covered"], r["sufficient"]) for r in rows}
+    assert found == {1: (2, 1, True), 2: (0, 0, True), 3: (0, 0, True), 4: (1, 0, False)}
